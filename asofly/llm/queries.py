@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from asofly.llm import quality
 from asofly.llm.bpe_trie import bpe_round_trip
+from asofly.llm.exact_dedup import exact_dedup
 from asofly.llm.packing import pack_documents
 from asofly.llm.token_counts import token_counts
 from asofly.llm.token_files import token_files
@@ -25,18 +27,76 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path(PIECE_BPE))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_best_fit_packing, op2_token_counts, op5_token_files, op8_bpe_round_trip]
+    made = [op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op5_token_files, op6_quality_rules, op8_bpe_round_trip]
     return {f.__name__: f for f in made}
 
 
+OP3_SQL = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+)
+SELECT doc_id,
+       max(doc_id) OVER (PARTITION BY body) AS keep_id,
+       count(*) OVER (PARTITION BY body) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY body) AS kept,
+       sha256(body) AS text_sha256
+FROM t
+"""
+
+_STOP = ", ".join(f"'{w}'" for w in sorted({*quality.STOP_WORDS, *(w.capitalize() for w in quality.STOP_WORDS)}))
+
+
+def _broken(r: quality.Rule) -> list[str]:
+    low = [f"100 * {r.numerator} < {r.low} * {r.denominator}"] if r.low is not None else []
+    return low + ([f"100 * {r.numerator} > {r.high} * {r.denominator}"] if r.high is not None else [])
+
+
+OP6_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS body,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents
+), g AS (
+  SELECT doc_id, i, ws[i : i + 4] AS five FROM w, unnest(range(1, len(ws) - 3)) AS u(i)
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS times FROM g), range(0, 5) AS o(k)
+  WHERE times > 1 GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(len(list_filter(ws, lambda x: x IN ({_STOP}))) AS BIGINT) AS n_stop_words,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+         AND NOT ({" OR ".join(b for r in quality.RULES for b in _broken(r))}) AS kept
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL}
