@@ -54,7 +54,7 @@ def _covered(words: Column, windows: Column) -> Column:
     by word, so equal hashes of unequal windows count for nothing. A window starting at
     ``p`` newly covers ``min(WINDOW, p - previous start)`` words.
     """
-    order = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    order = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def same(a: Column, b: Column) -> Column:
         # element by element: slice() would copy the whole array for each pair
@@ -72,7 +72,7 @@ def _covered(words: Column, windows: Column) -> Column:
                 w["i"],
             ),
         )
-        return F.array_sort(F.array_compact(hit))
+        return F.sort_array(F.array_compact(hit))
 
     def cover(starts: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("at"))
