@@ -10,6 +10,7 @@ from asofly.llm import quality
 from asofly.llm.bpe_trie import bpe_round_trip
 from asofly.llm.exact_dedup import exact_dedup
 from asofly.llm.packing import pack_documents
+from asofly.llm.simhash import near_duplicates
 from asofly.llm.token_counts import token_counts
 from asofly.llm.token_files import token_files
 from asofly.llm.vocab import PIECE_BPE, WORD_BPE, tokenizer_path
@@ -31,6 +32,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
@@ -44,7 +49,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op5_token_files, op6_quality_rules, op8_bpe_round_trip]
+    made = [op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_simhash, op5_token_files, op6_quality_rules, op8_bpe_round_trip]
     return {f.__name__: f for f in made}
 
 
