@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofly.llm import quality
+from asofly.llm import quality, secrets
 from asofly.llm.bpe_trie import bpe_round_trip
 from asofly.llm.exact_dedup import exact_dedup
 from asofly.llm.packing import pack_documents
@@ -48,8 +48,12 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_simhash, op5_token_files, op6_quality_rules, op8_bpe_round_trip]
+    made = [op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_simhash, op5_token_files, op6_quality_rules, op8_bpe_round_trip, op10_secret_scans]
     return {f.__name__: f for f in made}
 
 
@@ -103,5 +107,34 @@ FROM m
 """
 
 
+def _rule_sql(rank: int, r: secrets.Rule) -> str:
+    pattern = r.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{r.kind}' AS kind, {rank} AS rk, {r.least} AS least, string_split_regex(body, '{pattern}') AS gaps,
+         regexp_extract_all(body, '{pattern}', 0) AS ms, regexp_extract_all(body, '{pattern}', {r.group}) AS gs
+  FROM b WHERE regexp_matches(body, '{pattern}')"""
+
+
+OP10_SQL = f"""
+WITH b AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+m AS ({" UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(secrets.RULES))}
+), u AS (
+  SELECT doc_id, kind, rk, least, length(gs[i]) AS counted, length(ms[i]) AS size,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM m, unnest(range(1, len(ms) + 1)) AS t(i)
+), v AS (
+  SELECT doc_id, kind, rk, CAST(s AS BIGINT) AS s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + size AS BIGINT) AS span FROM u WHERE counted >= least
+), g AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+         count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY s, rk) FILTER (WHERE rk < 3) AS base, string_agg(span, ',' ORDER BY s, rk) AS spans
+  FROM v GROUP BY doc_id
+)
+SELECT b.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM b LEFT JOIN g ON b.doc_id = g.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op10_secret_scans": OP10_SQL}
