@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofly.llm import quality, secrets
+from asofly.llm import html_text, quality, secrets
 from asofly.llm.bpe_trie import bpe_round_trip
 from asofly.llm.exact_dedup import exact_dedup
 from asofly.llm.packing import pack_documents
@@ -14,12 +14,17 @@ from asofly.llm.simhash import near_duplicates
 from asofly.llm.token_counts import token_counts
 from asofly.llm.token_files import token_files
 from asofly.llm.vocab import PIECE_BPE, WORD_BPE, tokenizer_path
+from asofly.llm.warc import warc_round_trip
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
@@ -44,16 +49,24 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(pages(spark, sf_dir))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(pages(spark, sf_dir))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_simhash, op5_token_files, op6_quality_rules, op8_bpe_round_trip, op10_secret_scans]
+    made = [op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_simhash, op5_token_files, op6_quality_rules, op7_warc, op8_bpe_round_trip, op9_html_extraction, op10_secret_scans]
     return {f.__name__: f for f in made}
 
 
@@ -136,5 +149,17 @@ FROM b LEFT JOIN g ON b.doc_id = g.doc_id
 """
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM w
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op10_secret_scans": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL, "op10_secret_scans": OP10_SQL}
