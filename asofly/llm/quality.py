@@ -113,7 +113,10 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     )
     distinct = F.size(F.array_distinct("_windows")) == F.size("_windows")
     repeated = F.when(F.col("_windows").isNull() | distinct, F.lit(0).cast("long")).otherwise(_covered(F.col("_words"), F.col("_windows")))
-    return counted.withColumn("n_repeat_words", repeated).drop("_words", "_windows")
+    # A filter on a measure must not be pushed below this projection: the optimiser would put the word arrays'
+    # expressions into it, and evaluate them for each element. It stops at expressions that aren't deterministic.
+    kept_apart = F.when(F.monotonically_increasing_id() >= 0, repeated)
+    return counted.withColumn("n_repeat_words", kept_apart).drop("_words", "_windows")
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> Column:
