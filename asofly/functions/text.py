@@ -160,7 +160,7 @@ def truncate_at_word(text: Column | str, n: int) -> Column:
 
 def name_tokens(names: Column) -> Column:
     """names and their parts of four characters or with a digit, each once (case ignored)."""
-    pieces = F.flatten(F.transform(names, lambda n: F.concat(F.array(F.trim(n)), F.transform(F.split(n, "[/,;]"), F.trim))))
+    pieces = F.flatten(F.transform(names, lambda n: F.concat(F.array(F.trim(n)), F.transform(F.split(n, "[/,;]"), lambda p: F.trim(p)))))
     good = F.filter(pieces, lambda p: (p != "") & ((F.length(p) >= 4) | p.rlike(r"\d")))
     return F.array_distinct(F.transform(good, F.lower))
 

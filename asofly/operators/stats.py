@@ -150,12 +150,12 @@ def median_survival(curve: DataFrame, by: str, duration: str) -> DataFrame:
 def anova_icc(rows: DataFrame, cluster: str, value: str) -> DataFrame:
     """One-way F and intraclass correlation from grouped moments; the correlation is clipped at zero."""
     g = rows.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    t = g.agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("n2"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"), F.sum(F.col("n") * F.col("v")).alias("within"))
+    t = g.agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("n2"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"), F.sum(F.col("n") * F.col("v")).alias("within"))
     between = g.crossJoin(F.broadcast(t)).agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("gm"), 2)).alias("between"))
     x = t.crossJoin(between)
-    msb, msw = F.try_divide("between", F.col("k") - 1), F.try_divide("within", F.col("N") - F.col("k"))
-    n0 = F.try_divide(F.col("N") - F.col("n2") / F.col("N"), F.col("k") - 1)
-    x = x.select(F.col("k").cast("long").alias("clusters"), F.col("N").cast("long").alias("n"), msb.alias("b"), msw.alias("w"), n0.alias("n0"))
+    msb, msw = F.try_divide("between", F.col("k") - 1), F.try_divide("within", F.col("total") - F.col("k"))
+    n0 = F.try_divide(F.col("total") - F.col("n2") / F.col("total"), F.col("k") - 1)
+    x = x.select(F.col("k").cast("long").alias("clusters"), F.col("total").cast("long").alias("n"), msb.alias("b"), msw.alias("w"), n0.alias("n0"))
     return x.select("clusters", "n", F.try_divide("b", "w").alias("f"), F.greatest(F.lit(0.0), F.try_divide(F.col("b") - F.col("w"), F.col("b") + (F.col("n0") - 1) * F.col("w"))).alias("icc"))
 
 

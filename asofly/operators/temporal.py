@@ -95,7 +95,7 @@ def first_crossing(rows: DataFrame, key: str, date: str, score: str, threshold:
 
 def contiguity(rows: DataFrame, key: str, number: str, date: str, first: int = 0) -> DataFrame:
     """For each key, whether versions are numbered from ``first`` without gaps and dates never go back (null dates skipped)."""
-    w = Window.partitionBy(key).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(key).orderBy(number, date).rowsBetween(Window.unboundedPreceding, -1)
     back = rows.withColumn("_back", F.coalesce(F.col(date) < F.max(date).over(w), F.lit(False)))
     n, distinct = F.count(F.lit(1)), F.count_distinct(number)
     whole = (F.min(number) == first) & (F.max(number) == first + n - 1) & (distinct == n)

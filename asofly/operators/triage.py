@@ -29,7 +29,7 @@ def molecule_rule(names: Column, proposed: Column, known: Column) -> Column:
     return (
         F.when(hit.isNotNull(), made("yes", F.concat(F.lit("known_list:"), hit)))
         .when(suffix.isNotNull(), made("yes", F.concat(F.lit("inn_suffix:"), suffix)))
-        .when(F.exists(names, is_denylisted), made("no", "denylist"))
+        .when(F.exists(names, lambda n: is_denylisted(n)), made("no", "denylist"))
         .when(other.isNotNull(), made("no", "non_antibody_conjugate"))
         .when(F.exists(names, lambda n: n.rlike(V.CLASS_LABEL)), made("yes", "generic_class_label"))
         .when(F.trim(proposed).rlike(V.NON_CLASS_LABEL), made("no", "generic_class_label"))

@@ -23,13 +23,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from asofly.plans import entity_queries, stat_queries, temporal_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """The month in which each customer's record had gone quiet."""
+    _load()
+    return _QUERIES["first_crossing"](spark, sf_dir)

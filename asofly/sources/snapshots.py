@@ -152,7 +152,7 @@ def read_name_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of a pipe table with as many cells as there are columns; header and rule lines are left out."""
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*\|") & ~F.col("value").rlike(r"^[\s|:-]+$")).select(cells.alias("c")).where((F.size("c") == len(columns)) & (F.get("c", F.lit(0)) != columns[0]))
     return rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(columns)])
 
