@@ -12,6 +12,7 @@ not even inflated.
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import posixpath
 import struct
@@ -222,9 +223,9 @@ class WarcReader(DataSourceReader):
                         f.seek(begin)
                         yield from self._member(f.read(end - begin), tests)
             elif path.endswith(".gz"):
-                yield from self._plain(gzip.GzipFile(fileobj=f), tests)
+                yield from self._plain(gzip.GzipFile(fileobj=io.BufferedReader(f)), tests)
             else:
-                yield from self._plain(f, tests)
+                yield from self._plain(io.BufferedReader(f), tests)
 
     def _wanted(self, head: bytes, tests):
         headers = parse_head(head)
