@@ -257,7 +257,7 @@ CASES = {
     "<ul><li>a<li>b<ol><li>c<li>d</ol><li>e</ul>": "- a\n- b\n  1. c\n  2. d\n- e",
     "<table><tr><th>k<th>value<tr><td>longer<td>v<td hidden>no</table>": "k      | value\nlonger | v",
     "<pre> x\n  y</pre>": " x\n  y",
-    "a<div style='display: none'>no</div><script>if(a<b){}</script><!-- c -->b": "a\nb",
+    "a<div style='display: none'>no</div><script>if(a<b){}</script><!-- c -->b": "ab",
     "<div>x</div><div>y</div>z": "x\ny\nz",
     "<head><title>t</title></head><body>&lt;b&gt; &amp;amp;</body>": "<b> &amp;",
     "<a title=\"x>y\" href='q'>link</a><p>": "link",
