@@ -140,7 +140,8 @@ class BpeTrie:
         import numpy as np
 
         table = self.table
-        letters = [w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(table) for w in words]
+        # printable ASCII stands for itself, all other bytes have letters of their own
+        letters = [w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(table) for w in words]
         found = {w: np.array(ids, "<u4").tobytes() for w, ids in self.encode_letters(list(set(letters)))}
         return [found[x] for x in letters]
 
