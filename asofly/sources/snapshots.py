@@ -53,10 +53,10 @@ def append_snapshots(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def read_envelopes(spark: SparkSession, root: str) -> DataFrame:
-    """All ``root/source/YYYY-MM-DD/id.json``; folders that aren't dates are skipped."""
+    """All ``root/source/YYYY-MM-DD/id.json`` (ids percent-encoded, as paths are once more); folders that aren't dates are skipped."""
     raw = spark.read.schema(ENVELOPE).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root)
     part = lambda k: F.regexp_extract(F.col("path"), r"([^/]+)/([^/]+)/([^/]+)\.json$", k)
-    rows = raw.withColumn("path", F.col("_metadata.file_path")).withColumns({"source": part(1), "snapshot_date": parse_full_date(part(2)), "id": F.url_decode(part(3))})
+    rows = raw.withColumn("path", F.col("_metadata.file_path")).withColumns({"source": part(1), "snapshot_date": parse_full_date(part(2)), "id": F.url_decode(F.url_decode(part(3)))})
     return rows.where("snapshot_date is not null")
 
 
