@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 # Characters that neither NFC nor lower-casing treats specially and whose class is the same in all Unicode
 # versions: ASCII without the separators 1C-1F, Latin letters, common punctuation and currency signs.
@@ -191,6 +192,7 @@ def library_words(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+@lru_cache(maxsize=1)
 def library_cache(path: str, limit: int = 300_000) -> WordCache:
-    """A cache filled by the library."""
+    """A cache filled by the library. A worker process keeps it from task to task."""
     return WordCache(library_words(path), library_whole(path), limit)
