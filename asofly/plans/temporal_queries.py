@@ -307,7 +307,7 @@ def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SWEEP_SQL = f"""{PANEL_SQL},
 p AS (SELECT o_custkey, as_of, round_even(45 * (1 - exp(-date_diff('day', d, as_of) / 365.0)), 1) AS score FROM panel WHERE d IS NOT NULL),
-cut AS (SELECT unnest([5.0, 10.0, 20.0, 30.0, 40.0]) AS threshold),
+cut AS (SELECT unnest(CAST([5, 10, 20, 30, 40] AS DOUBLE[])) AS threshold),
 f AS (SELECT o_custkey, threshold, min(as_of) AS flag_date FROM p JOIN cut ON score >= threshold GROUP BY o_custkey, threshold),
 g AS (SELECT c_custkey, c_acctbal < 0 AS dead, DATE '1999-01-01' AS event_month FROM customer)"""
 
