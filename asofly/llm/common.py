@@ -14,6 +14,18 @@ def ascii_lower(text: Column | str) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that a column of ``docs`` has already."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: log2 of the bits of a membership filter. 2**23 bits are 256 bitmaps of 4 KiB, so what is broadcast never exceeds 1 MiB.
 FILTER_BITS = 23
 

@@ -18,8 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofly.llm.common import apply_filter, ascii_lower, build_filter
-from asofly.session import drop_path, scratch_path
+from asofly.llm.common import apply_filter, ascii_lower, build_filter, fresh
+from asofly.session import drop_path, materialize, scratch_path
 
 #: Runs of a level that are compacted into the next.
 LEVEL_RUNS = 4
@@ -124,6 +124,20 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: str = "max") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    dropped = exact_dedup(docs, text, key, keep).where("not kept").select(F.col(key).alias("_dropped"))
-    return docs.join(dropped, F.col(key).eqNullSafe(F.col("_dropped")), "left_anti")
+    """The documents that stay, with all their columns: one row of each group of equal texts.
+
+    Rows are told apart by key and text: a key that repeats with other texts, or is
+    null, doesn't share the fate of its namesakes. Of rows that repeat the winning key
+    and its text any one stays.
+    """
+    own_key, own_sha, verdict_key, verdict_sha = fresh(docs, "_key", "_sha", "_verdict_key", "_verdict_sha")
+    answers = exact_dedup(docs, text, key, keep).groupBy(F.col(key).alias(verdict_key), F.col("text_sha256").alias(verdict_sha)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    verdicts = materialize(answers.where("not kept or n > 1"), "dedup-verdicts")
+    dropped, repeated = (verdicts.where(c).select(verdict_key, verdict_sha) for c in ("not kept", "kept"))
+    marked = docs.withColumns({own_key: F.col(key).cast("long"), own_sha: F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)})
+    same = F.col(own_key).eqNullSafe(F.col(verdict_key)) & (F.col(own_sha) == F.col(verdict_sha))
+    stay = marked.join(dropped, same, "left_anti")
+    if not repeated.isEmpty():
+        once = stay.join(repeated, same, "left_semi").dropDuplicates([own_key, own_sha])
+        stay = stay.join(repeated, same, "left_anti").unionByName(once)
+    return stay.drop(own_key, own_sha)
