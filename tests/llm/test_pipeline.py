@@ -1,8 +1,15 @@
 """The pipeline's stages against brute force."""
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
+from asofly.llm.exact_dedup import drop_copies
+from asofly.llm.quality import keep_good
+from asofly.llm.secrets import redact, secret_scan
+from asofly.llm.simhash import drop_near_copies
 from tests.llm.test_text import brute_components, brute_print, brute_spans, lower
 
 
@@ -62,3 +69,51 @@ def test_entry(spark):
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+EDGE = [
+    (1, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (2, "ALPHA beta gamma delta"), (2, "one other text here"), (None, "alpha beta gamma delta"), (None, "a lone text, nothing like it"),
+    (3, None), (4, ""), (5, "password = hunter22"), (None, "token: abcdef99"), (5, "secret=qwerty1 and more"), (6, "plain"),
+]
+
+
+def edge(spark, rows=EDGE):
+    """Null and repeated keys, repeated rows, and columns with the names that stages use inside."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({c: F.lit("clash") for c in ("key", "_key", "_sha", "_tag", "_spans", "_own", "tag", "kept", "body", "_dropped", "spans")})
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_edges_exact(spark):
+    got = kept(drop_copies(edge(spark)))
+    assert sorted(lower(t) for _, t in got) == sorted({lower(t) for _, t in EDGE})
+    assert (2, "ALPHA beta gamma delta") in got and (2, "one other text here") in got and (None, "a lone text, nothing like it") in got and (4, "") in got
+    assert drop_copies(edge(spark, EDGE[:2])).count() == 1
+    assert drop_copies(edge(spark, [])).columns == edge(spark).columns
+
+
+def test_edges_near(spark):
+    got = kept(drop_near_copies(edge(spark)))
+    assert got.count((1, EDGE[0][1])) == 2 and (None, EDGE[0][1]) not in got and (2, "ALPHA beta gamma delta") not in got
+    assert (2, "one other text here") in got and (None, "a lone text, nothing like it") in got and (3, None) in got and (4, "") not in got
+    assert drop_near_copies(edge(spark, [])).count() == 0
+
+
+def test_edges_secrets(spark):
+    got = redact(edge(spark))
+    assert got.columns == edge(spark).columns
+    texts = Counter(r.text for r in got.collect())
+    want = Counter(t for _, t in EDGE)
+    for t, clean in (("password = hunter22", "[assign]"), ("token: abcdef99", "[assign]"), ("secret=qwerty1 and more", "[assign] and more")):
+        want[clean] += want.pop(t)
+    assert texts == want
+    assert sorted(r.n_assign for r in secret_scan(edge(spark)).collect()) == [0] * 9 + [1] * 3
+    assert redact(edge(spark, [])).count() == 0 == secret_scan(edge(spark, [])).count()
+
+
+def test_edges_quality(spark):
+    rows = [(None, "the " + " ".join(f"word{i}" for i in range(12))), (1, "the " + " ".join(f"word{i}" for i in range(12))), (1, None), (2, "")]
+    assert kept(keep_good(edge(spark, rows))) == sorted(rows[:2], key=str)
