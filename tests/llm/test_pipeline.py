@@ -1,14 +1,12 @@
 """The pipeline's stages against brute force."""
 
-from collections import Counter
-
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
 from asofly.llm.exact_dedup import drop_copies
 from asofly.llm.quality import keep_good
-from asofly.llm.secrets import redact, secret_scan
+from asofly.llm.secrets import redact
 from asofly.llm.simhash import drop_near_copies
 from tests.llm.test_text import brute_components, brute_print, brute_spans, lower
 
@@ -103,15 +101,9 @@ def test_edges_near(spark):
 
 
 def test_edges_secrets(spark):
-    got = redact(edge(spark))
+    got = redact(edge(spark, [(4, ""), (5, "password = hunter22"), (6, "plain"), (6, "plain"), (7, None)]))
     assert got.columns == edge(spark).columns
-    texts = Counter(r.text for r in got.collect())
-    want = Counter(t for _, t in EDGE)
-    for t, clean in (("password = hunter22", "[assign]"), ("token: abcdef99", "[assign]"), ("secret=qwerty1 and more", "[assign] and more")):
-        want[clean] += want.pop(t)
-    assert texts == want
-    assert sorted(r.n_assign for r in secret_scan(edge(spark)).collect()) == [0] * 9 + [1] * 3
-    assert redact(edge(spark, [])).count() == 0 == secret_scan(edge(spark, [])).count()
+    assert kept(got) == sorted([(4, ""), (5, "[assign]"), (6, "plain"), (6, "plain"), (7, None)], key=str)
 
 
 def test_edges_quality(spark):
