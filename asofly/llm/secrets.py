@@ -224,9 +224,18 @@ def _tight(rule: Rule) -> Rule:
     return rule
 
 
+def identity(text: str, key: str) -> Column:
+    """What a row is known by in the index: its key and its text's XXH64, so that null and repeated keys are told apart."""
+    return F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"))
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, spans): the spans of all rules, for the documents that have any; sorted by start, then the rules' order."""
-    body = F.col(text)
+    """(key, spans): the spans of all rules, for the documents that have any; sorted by start, then the rules' order.
+
+    ``key`` of the result is the row's ``identity``.
+    """
+    docs = docs.select(identity(text, key).alias("key"), F.col(text).alias("body"))
+    body = F.col("body")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     trigrams = sorted({t for q in queries.values() for a in q for t in a})
     if len(trigrams) > 62:
@@ -234,15 +243,15 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[
     order = {r.kind: i for i, r in enumerate(rules)}
     parts = []
     if queries:
-        index = materialize(postings(docs, trigrams, body, key), "postings")
+        index = materialize(postings(docs, trigrams, body, "key"), "postings")
         wanted = materialize(candidates(index, trigrams, queries), "candidates")
         # Only rows that pass a filter of fixed size carry their text into the join.
-        near = apply_filter(docs.select(F.col(key).alias("key"), body.alias("body")), F.col("key"), build_filter(wanted, "key"))
+        near = apply_filter(docs, F.col("key"), build_filter(wanted, "key"))
         matched = near.join(wanted, "key")
         verified = F.concat(*[F.when(F.array_contains("kinds", r.kind), _found(F.col("body"), r)).otherwise(_none()) for r in rules if r.kind in queries])
         parts.append(matched.select("key", verified.alias("spans")))
     for rule in (_tight(r) for r in rules if r.kind not in queries):
-        full = docs.where(body.rlike(rule.pattern)).select(F.col(key).alias("key"), _found(body, rule).alias("spans"))
+        full = docs.where(body.rlike(rule.pattern)).select("key", _found(body, rule).alias("spans"))
         parts.append(full)
     spans = reduce(lambda a, b: a.unionByName(b), parts).where(F.size("spans") > 0)
     ranked = F.transform(F.flatten(F.collect_set("spans")), lambda s: F.struct(s["start"].alias("start"), _rank(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
@@ -266,15 +275,16 @@ def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules:
 
     Spans are ``kind:start:end`` (code points, end exclusive), by start and then the
     rules' order, comma-joined; base_sha256 is the digest of the base kinds' spans.
-    Null counts as empty. Keys name documents: rows that repeat a key must repeat its
-    text, and share its answer; rows with a null key are answered as without secrets.
-    Other columns are not read; an empty table gives no rows.
+    Null counts as empty. Every row is answered for its own text, also where keys
+    repeat; rows with a null key are answered as without secrets and not scanned, as the
+    query's SQL has it (``redact`` does scan them). Other columns are not read; an empty
+    table gives no rows.
     """
-    found = scan(docs, text, key, rules)
-    rows = docs.select(F.col(key).cast("long").alias("key"))
+    found = scan(docs.where(F.col(key).isNotNull()), text, key, rules)
+    rows = docs.select(identity(text, key).alias("key"))
     spans = F.coalesce(F.col("spans"), F.array().cast(found.schema["spans"].dataType))
     base = [r.kind for r in BASE_RULES]
-    joined = rows.join(found, "key", "left").select("key", spans.alias("spans"))
+    joined = rows.join(found, "key", "left").select(F.col("key")["key"].cast("long").alias("key"), spans.alias("spans"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -287,9 +297,11 @@ def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules:
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every secret span replaced by ``[kind]``; overlapping spans are replaced as one.
 
-    All columns stay; ``n_chars``, where there is one, is the new length.
+    All columns and rows stay, and each row is searched itself, also where keys repeat
+    or are null; ``n_chars``, where there is one, is the new length.
     """
-    name, spans = fresh(docs, "_key", "_spans")
+    columns = docs.columns
+    own, name, spans = fresh(docs, "_own", "_key", "_spans")
     found = scan(docs, text, key, rules).select(F.col("key").alias(name), F.col("spans").alias(spans))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -299,7 +311,7 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: st
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], label).alias("out"))
 
     clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    joined = docs.join(found, F.col(key) == F.col(name), "left").withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(clean))
+    joined = docs.withColumn(own, identity(text, key)).join(found, F.col(own) == F.col(name), "left").withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(clean))
     if n_chars in docs.columns:
         joined = joined.withColumn(n_chars, F.when(F.col(spans).isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
-    return joined.select(*docs.columns)
+    return joined.select(*columns)

@@ -1,12 +1,14 @@
 """The pipeline's stages against brute force."""
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
 from asofly.llm.exact_dedup import drop_copies
 from asofly.llm.quality import keep_good
-from asofly.llm.secrets import redact
+from asofly.llm.secrets import RULES, redact, secret_scan
 from asofly.llm.simhash import drop_near_copies
 from tests.llm.test_text import brute_components, brute_print, brute_spans, lower
 
@@ -106,6 +108,21 @@ def test_edges_secrets(spark):
     assert kept(got) == sorted([(4, ""), (5, "[assign]"), (6, "plain"), (6, "plain"), (7, None)], key=str)
 
 
+def test_secrets_null_and_repeated_keys(spark):
+    """Each row is searched for its own text: null keys are redacted, namesakes don't lend their spans."""
+    got = redact(edge(spark))
+    assert got.columns == edge(spark).columns
+    want = Counter(t for _, t in EDGE)
+    for t, clean in (("password = hunter22", "[assign]"), ("token: abcdef99", "[assign]"), ("secret=qwerty1 and more", "[assign] and more")):
+        want[clean] += want.pop(t)
+    assert Counter(r.text for r in got.collect()) == want
+    rows = Counter((r.doc_id, r.spans) for r in secret_scan(edge(spark)).collect())
+    assert rows == Counter((k, "" if k is None else brute_spans(t, RULES)) for k, t in EDGE)
+    same = [(None, f"{i} password = hunter{i} x") for i in range(50)] + [(7, "0123456789abcdef01234567"), (7, "nothing in this one, but as long")]
+    assert sorted(r.text for r in redact(edge(spark, same)).collect()) == sorted([f"{i} [assign] x" for i in range(50)] + ["[hex]", "nothing in this one, but as long"])
+    assert redact(edge(spark, [])).count() == 0 == secret_scan(edge(spark, [])).count()
+
+
 def test_edges_quality(spark):
     rows = [(None, "the " + " ".join(f"word{i}" for i in range(12))), (1, "the " + " ".join(f"word{i}" for i in range(12))), (1, None), (2, "")]
     assert kept(keep_good(edge(spark, rows))) == sorted(rows[:2], key=str)
