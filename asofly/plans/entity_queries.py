@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofly.functions import text as X
@@ -118,11 +118,21 @@ _ALIAS = {t: V.TARGET_ALIASES[t] for t in ("ERBB2", "CD22", "DLL3")}
 SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'ERBB2' WHEN doc_id % 4 = 0 THEN 'DLL3' WHEN doc_id % 6 = 1 THEN 'CD22' END AS target,
   CASE WHEN doc_id % 6 = 0 THEN 'stem' WHEN doc_id % 4 = 0 THEN 'trial_text' WHEN doc_id % 6 = 1 THEN 'name' ELSE 'unresolved' END AS source FROM n""")
 def target_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets by tiers of evidence; an ambiguous text resolves nothing."""
+    """Targets by tiers of evidence in the heads of texts; an ambiguous text resolves nothing."""
+    return targets(spark, sf_dir, F.substring("text", 1, 60))
+
+
+@query()
+def target_resolution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``target_resolution``, with the whole texts searched."""
+    return targets(spark, sf_dir, F.col("text"))
+
+
+def targets(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.expr("case doc_id % 6 when 0 then 'Trastuzumab xyz' when 1 then 'anti-CD22 conjugate' else 'abc-1' end").alias("name"),
-        F.concat(F.substring("text", 1, 60), F.expr("case doc_id % 4 when 0 then ' targets DLL3' when 1 then ' HER2 and CD22' else '' end")).alias("snippet"),
+        F.concat(text, F.expr("case doc_id % 4 when 0 then ' targets DLL3' when 1 then ' HER2 and CD22' else '' end")).alias("snippet"),
     )
     return d.select("doc_id", X.resolve_target(F.array("name"), F.array("snippet")).alias("r")).select("doc_id", "r.target", "r.source")
 

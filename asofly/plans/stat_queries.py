@@ -179,9 +179,12 @@ _REASON_SQL = f"""r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'short' ELS
 s AS (SELECT doc_id, CASE WHEN length(trim(r)) >= 15 THEN {_REASONS_SQL} END AS stated FROM r)"""
 
 
-def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+_WHOLE_SQL = _REASON_SQL.replace("left(text, 40)", "text")
+
+
+def stated(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     tail = F.expr("case doc_id % 5 when 0 then ' business decision after an interim analysis' when 1 then ' slow recruitment' when 2 then ' Dose-Limiting toxicity' when 3 then ' funding' else '' end")
-    r = F.when(F.col("doc_id") % 7 == 0, "short").otherwise(F.concat(F.substring("text", 1, 40), tail))
+    r = F.when(F.col("doc_id") % 7 == 0, "short").otherwise(F.concat(F.col("text") if whole else F.substring("text", 1, 40), tail))
     return table(spark, sf_dir, "documents").select("doc_id", stated_reason(r).alias("stated"))
 
 
@@ -191,12 +194,18 @@ def reason_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stated(spark, sf_dir).groupBy("stated").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_WHOLE_SQL} SELECT stated, count(*) AS n FROM s GROUP BY stated")
+def reason_classifier_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classes of stop reasons written anywhere in the documents."""
+    return stated(spark, sf_dir, whole=True).groupBy("stated").agg(F.count(F.lit(1)).alias("n"))
+
+
 _TRUE_SQL = "t AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxicity_safety' WHEN quality = 0 THEN 'futility_efficacy' ELSE 'accrual_failure' END AS truth FROM labels)"
 
 
-def stated_and_true(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stated_and_true(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     t = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxicity_safety").when(F.col("quality") == 0, "futility_efficacy").otherwise("accrual_failure").alias("truth"))
-    return stated(spark, sf_dir).join(t, "doc_id").where("stated is not null")
+    return stated(spark, sf_dir, whole).join(t, "doc_id").where("stated is not null")
 
 
 @query(f"WITH {_REASON_SQL}, {_TRUE_SQL} SELECT stated, truth, count(*) AS n FROM s JOIN t USING (doc_id) WHERE stated IS NOT NULL GROUP BY ALL")
@@ -211,6 +220,18 @@ def stated_vs_true(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.agreement(stated_and_true(spark, sf_dir), "stated", "truth").withColumn("rate", F.round("rate", 6))
 
 
+@query(f"WITH {_WHOLE_SQL}, {_TRUE_SQL} SELECT stated, truth, count(*) AS n FROM s JOIN t USING (doc_id) WHERE stated IS NOT NULL GROUP BY ALL")
+def confusion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``confusion``, with the whole texts searched."""
+    return L.confusion(stated_and_true(spark, sf_dir, whole=True), "stated", "truth")
+
+
+@query(f"WITH {_WHOLE_SQL}, {_TRUE_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE stated = truth) AS agree, round(count(*) FILTER (WHERE stated = truth) / count(*), 6) AS rate FROM s JOIN t USING (doc_id) WHERE stated IS NOT NULL")
+def stated_vs_true_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``stated_vs_true``, with the whole texts searched."""
+    return L.agreement(stated_and_true(spark, sf_dir, whole=True), "stated", "truth").withColumn("rate", F.round("rate", 6))
+
+
 @query("""WITH k AS (SELECT lang, sum(toxic) AS k, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang)
 SELECT lang, CAST(k AS BIGINT) AS k, n, round(greatest(0.0, (k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS low,
   round(least(1.0, (k / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) AS high FROM k""")
