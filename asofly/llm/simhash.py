@@ -50,7 +50,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", tagged: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", tagged: bool = False, size: int = SHINGLE) -> DataFrame:
     """(key, print): the fingerprint of every row as a signed 64-bit integer; null texts have fingerprint zero.
 
     ``tagged`` adds the text's XXH64 as ``tag``, which tells rows of one key apart.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", tagge
         import numpy as np
 
         for batch in batches:
-            prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
+            prints = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["key", "print", "tag"][: 3 if tagged else 2])
 
     return source.mapInArrow(run, "key long, print long" + (", tag long" if tagged else ""))
@@ -248,7 +248,7 @@ def trie_links(prints: DataFrame, budget: int = BUDGET, leaves: int = TILE_LEAVE
     return dealt.groupBy("task").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET, leaves: int = TILE_LEAVES, tagged: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET, leaves: int = TILE_LEAVES, tagged: bool = False, size: int = SHINGLE) -> DataFrame:
     """key, fingerprint (16 lower-case hex digits), component_id, linked for every row.
 
     Fingerprints link at ``budget`` or fewer differing bits; a component is named by its
@@ -256,9 +256,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bu
     have fingerprint zero and link like any other. Repeated rows share their answer.
     Rows with a null key get a fingerprint, and the component of their fingerprint's
     other keys, or null. Other columns are not read; an empty table gives no rows.
-    ``tagged`` adds the text's XXH64 as ``tag``.
+    ``tagged`` adds the text's XXH64 as ``tag``; ``size`` is the words in a shingle.
     """
-    made = materialize(fingerprints(docs, text, key, tagged), "fingerprints")
+    made = materialize(fingerprints(docs, text, key, tagged, size), "fingerprints")
     classes = materialize(made.where("key is not null").groupBy("print").agg(F.min("key").alias("rep")), "fingerprint-classes")
     links = materialize(trie_links(classes, budget, leaves), "trie-links")
     component = connected_components(links, "a", "b").select(F.col("vertex").alias("rep"), "component")
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bu
     return joined.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce("linked", F.lit(False)).alias("linked"), *(["tag"] if tagged else []))
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET, size: int = SHINGLE) -> DataFrame:
     """The documents whose key names their component, with all their columns: one of each group.
 
     Rows are told apart by key and text, so a key that repeats with other texts doesn't
@@ -276,7 +276,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     exact deduplication is the stage that drops those.
     """
     own_key, own_tag, lost_key, lost_tag = fresh(docs, "_key", "_tag", "_lost_key", "_lost_tag")
-    found = near_duplicates(docs, text, key, tagged=True)
+    found = near_duplicates(docs, text, key, budget, tagged=True, size=size)
     lost = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(lost_key), F.col("tag").alias(lost_tag))
     marked = docs.withColumns({own_key: F.col(key).cast("long"), own_tag: F.xxhash64(F.col(text))})
     return marked.join(lost, F.col(own_key).eqNullSafe(F.col(lost_key)) & (F.col(own_tag) == F.col(lost_tag)), "left_anti").drop(own_key, own_tag)
