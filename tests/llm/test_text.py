@@ -282,6 +282,12 @@ def test_html_never_fails(parts):
     html_text.render("".join(parts))
 
 
+def test_html_far_paragraph_end():
+    """An end tag finds its paragraph behind any number of unclosed inline tags."""
+    for n in (31, 40, 1000):
+        assert html_text.render("<p hidden>no" + "<b>" * n + "</p>yes") == "yes"
+
+
 def test_html_deep_and_table(spark):
     assert html_text.render("<div>" * 20_000 + "x") == "x"
     assert html_text.render("<b" * 20_000) == "<b" * 20_000
