@@ -325,6 +325,22 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
+OBSERVED_SQL = SWEEP_SQL.replace("SELECT unnest(CAST([5, 10, 20, 30, 40] AS DOUBLE[])) AS threshold", "SELECT DISTINCT round(score, 6) AS threshold FROM p")
+
+
+@query(f"""WITH {OBSERVED_SQL}
+SELECT threshold, count(flag_date) AS n_flagged, count(*) FILTER (WHERE dead AND flag_date IS NOT NULL) AS n_correct, round(count(*) FILTER (WHERE dead AND flag_date IS NOT NULL) / nullif(count(flag_date), 0), 6) AS precision,
+  round(count(*) FILTER (WHERE dead AND flag_date IS NOT NULL) / (SELECT count(*) FROM g WHERE dead), 6) AS recall, median(date_diff('day', event_month, flag_date)) FILTER (WHERE dead) AS median_lead_days
+FROM cut LEFT JOIN f USING (threshold) LEFT JOIN g ON c_custkey = o_custkey GROUP BY threshold""")
+def threshold_sweep_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``threshold_sweep``, at every staleness that was observed."""
+    p = asof_month_panel(spark, sf_dir).where("staleness is not null").withColumnRenamed("o_custkey", "program_id")
+    cuts = survival.thresholds(p, "staleness")
+    out = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("program_id"), F.when(F.col("c_acctbal") < 0, "dead").otherwise("censored").alias("outcome"), F.lit("1999-01-01").cast("date").alias("event_month"))
+    c = survival.curve(survival.flags(p, "staleness", cuts), out, cuts)
+    return c.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+
+
 @query(f"""
 WITH c AS (SELECT c_custkey, count(o_orderkey) > 10 AS is_gold, bool_or(coalesce(o_orderstatus, '') = 'P') AS has_evidence, max(CAST(o_orderdate AS DATE)) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
 SELECT c_custkey, CASE WHEN is_gold OR has_evidence THEN 0 WHEN last IS NOT NULL THEN 1 ELSE 2 END AS priority_tier, CAST(CASE WHEN NOT (is_gold OR has_evidence) AND last IS NOT NULL THEN -date_diff('day', last, DATE '{AS_OF}') ELSE 0 END AS DOUBLE) AS priority_key FROM c""")
