@@ -26,8 +26,13 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: log2 of the bits of a membership filter. 2**23 bits are 256 bitmaps of 4 KiB, so what is broadcast never exceeds 1 MiB.
-FILTER_BITS = 23
+#: log2 of the bits of a membership filter, by default and at most: 2**26 bits are 2048 bitmaps of 4 KiB, a broadcast of 8 MiB.
+FILTER_BITS, MOST_BITS = 23, 26
+
+
+def filter_bits(n: int) -> int:
+    """log2 of the bits for ``n`` keys: sixteen bits a key while that stays within the most that is broadcast."""
+    return min(MOST_BITS, max(15, (16 * n).bit_length()))
 
 
 def _slot(key: Column, bits: int) -> Column:
@@ -37,7 +42,7 @@ def _slot(key: Column, bits: int) -> Column:
 def build_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
     """Bitmap filter of the values of ``key``: rows (bucket, bitmap), at most ``2**bits / 2**15`` of them.
 
-    A filter of fixed size: with more keys it lets more rows through, and never loses one.
+    A filter of bounded size: with more keys it lets more rows through, and never loses one.
     """
     return (
         keys.select(_slot(F.col(key), bits).alias("_slot"))
@@ -46,12 +51,34 @@ def build_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFram
     )
 
 
-def apply_filter(df: DataFrame, key: Column, bitmaps: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``df`` whose key may be in the filter (no false negatives)."""
-    probed = df.withColumn("_slot", _slot(key, bits))
-    joined = probed.join(F.broadcast(bitmaps), F.bitmap_bucket_number("_slot") == F.col("_bucket"))
-    at = F.bitmap_bit_position("_slot")
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(bitmap_bit_position(_slot) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+def _flagged(df: DataFrame, key: Column, bitmaps: DataFrame, bits: int, how: str) -> tuple[DataFrame, str]:
+    """``df`` with a flag column: whether the row's key may be in the filter."""
+    slot, bucket, bitmap, flag = fresh(df, "_slot", "_bucket", "_bitmap", "_maybe")
+    joined = df.withColumn(slot, _slot(key, bits)).join(
+        F.broadcast(bitmaps.select(F.col("_bucket").alias(bucket), F.col("_bitmap").alias(bitmap))), F.bitmap_bucket_number(slot) == F.col(bucket), how
+    )
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.pmod(at, F.lit(8)).cast("int")
     hit = byte.bitwiseAND(F.pow(F.lit(2), bit).cast("int")) != 0
-    return joined.where(hit).drop("_slot", "_bucket", "_bitmap")
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(slot, bucket, bitmap), flag
+
+
+def apply_filter(df: DataFrame, key: Column, bitmaps: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose key may be in the filter (no false negatives)."""
+    flagged, flag = _flagged(df, key, bitmaps, bits, "inner")
+    return flagged.where(flag).drop(flag)
+
+
+def probe(df: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose key may be among ``keys`` (a written table), and the rows whose key isn't: a filter sized by a count.
+
+    The second part needs no join any more, so wide rows of it aren't shuffled. With more
+    than about 2**26 keys the filter lets most rows through: the join then sees them all.
+    """
+    n = keys.count()
+    if not n:
+        return df.where(F.lit(False)), df
+    bits = filter_bits(n)
+    flagged, flag = _flagged(df, key, build_filter(keys, column, bits), bits, "left")
+    return flagged.where(flag).drop(flag), flagged.where(~F.col(flag)).drop(flag)

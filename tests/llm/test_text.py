@@ -76,6 +76,30 @@ def test_index_levels(spark):
     assert rows == {bytes([d]): (40 + max(i for i in range(20) if i % 7 == d), 5 * len(range(d, 20, 7))) for d in range(7)}
 
 
+def test_index_reads_its_filters_and_order(spark):
+    """A digest that a filter lacks isn't looked up in that run, and sorted shards are merged without a shuffle or a sort."""
+    index = DigestIndex(spark, "max", level_runs=9)
+    batch = spark.range(1000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("winner"))
+    index.flush(batch.where("winner < 600"))
+    index.flush(batch.where("winner >= 500"))
+    assert {r.winner for r in index.groups().collect()} == set(range(500, 600)) and {r.n_rows for r in index.groups().collect()} == {2}
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    plan = index.merged(index.runs())._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "false")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
+    whole = {bytes(r.digest): (r.winner, r.n_rows) for r in index.compact().collect()}
+    assert len(whole) == 1000 and sum(n for _, n in whole.values()) == 1100
+    blind = DigestIndex(spark, "max", level_runs=9)
+    blind.filter_of = lambda run: (setattr(run, "bits", 15), build_filter(batch.limit(0), "digest", 15))[1]
+    blind.flush(batch.where("winner < 600"))
+    blind.flush(batch.where("winner >= 500"))
+    assert blind.groups().count() == 0
+    names = {r.name for i in (index, blind) for r in [*i.runs(), *i.merged_away]}
+    index.close()
+    blind.close()
+    assert len(names) == 5 and not names & {t.name for t in spark.catalog.listTables()}
+
+
 def brute_print(text):
     words = WORDS.findall(lower(text))
     if not words:
