@@ -2,59 +2,113 @@
 
 Fingerprints are leaves of a binary trie. Two nodes of a depth are walked together
 with the number of bits in which their paths differ; a pair of nodes over the error
-budget is dropped with all below it. The upper part of the trie is cut into tiles
-(sub-tries of a bounded number of leaves), tile pairs within the budget are the
-tasks, and a task goes on with the walk below its two tiles. It returns a spanning
-forest of the links found, never the links themselves, so a dense group costs no
-more rows than it has members. Components are then found over all forests.
+budget is dropped with all below it.
+
+The walk is dealt to tasks by sub-tries that share a block of bits: two paths that
+differ in at most ``b`` bits agree on one of any ``b + 1`` blocks, so each path goes
+to one group a block, and a group is walked by one task. A group of too many paths
+is dealt again by blocks of the bits that are still open, in rounds of written
+tables, until every group is small; nothing about single groups reaches the driver.
+A task returns a spanning forest of the links found, never the links themselves, so a
+dense group costs no more rows than it has members. Components are then found over
+all forests.
+
+Two kinds of links use the walk. ``near_duplicates`` links 64-bit fingerprints at a
+few differing bits, exactly. ``similar_documents`` links texts of which five-word
+shingles agree to about 0.8: fingerprints of 192 bits are cut into eight paths of 24
+bits, and a pair that one of the eight tries brings together within its budget is
+linked if all 192 bits are within the budget of the whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.common import fresh
+from asofly.llm.common import fresh, probe
 from asofly.operators.graph import connected_components
-from asofly.session import materialize
+from asofly.session import materialize, scratch_scope
 
 #: Bits of a fingerprint, error budget, words in a shingle, seed of XXH64.
 BITS, BUDGET, SHINGLE, SEED = 64, 2, 3, 42
-#: Leaves of a tile, node pairs walked at once, and pairs of leaves below which a pair of nodes is compared directly.
-TILE_LEAVES, BLOCK, DIRECT = 20_000, 200_000, 64
+#: Similar texts: words in a shingle, 64-bit words of a fingerprint, bits in which two of them may differ.
+#: A five-word Jaccard similarity of 0.8 makes each bit differ with probability 0.152: 29 of 192, with a deviation of 5.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BUDGET = 5, 3, 34
+#: Bits of a path cut from a wide fingerprint, and the budget of its trie.
+PATH_BITS, PATH_BUDGET = 24, 2
+#: Paths that one task walks as a group, rows that a task walks at once.
+GROUP_ROWS, TASK_ROWS = 50_000, 200_000
+#: Node pairs walked at once, pairs of leaves below which a pair of nodes is compared directly, and pairs compared at once.
+BLOCK, DIRECT, PAIRS = 200_000, 64, 1_000_000
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """SimHash of a text's word shingles: bit ``b`` is set if it is in more than half of their hashes."""
+def shingle_hashes(text: str | None, size: int):
+    """Blocks of XXH64 values of a text's word shingles, repeats included, and their number; no words, no blocks."""
     import numpy as np
     import xxhash
 
     words = text.encode("utf-8").translate(UPPER_TO_LOWER).split() if text else []
     if not words:
-        return 0
+        return [], 0
     body = b" ".join(words)
     n = max(1, len(words) - size + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(size, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
+    return (
+        np.fromiter((digest(body[a:b], SEED) for a, b in zip(starts[k : k + 65536], stops[k : k + 65536], strict=True)), np.uint64) for k in range(0, n, 65536)
+    ), n
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """SimHash of a text's word shingles: bit ``b`` is set if it is in more than half of their hashes."""
+    import numpy as np
+
+    blocks, n = shingle_hashes(text, size)
     ones = np.zeros(BITS, np.int64)
-    for k in range(0, n, 65536):
-        hashes = np.fromiter((digest(body[a:b], SEED) for a, b in zip(starts[k : k + 65536], stops[k : k + 65536], strict=True)), np.uint64)
+    for hashes in blocks:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(text: str | None, size: int = WIDE_SHINGLE, words: int = WIDE_WORDS):
+    """SimHash of ``words`` 64-bit words: the shingles' hashes, and values mixed from each for the further words."""
+    import numpy as np
+
+    blocks, n = shingle_hashes(text, size)
+    ones = np.zeros(words * 64, np.int64)
+    for hashes in blocks:
+        table = np.stack([hashes, *(_mixed(hashes, k) for k in range(1, words))], axis=1)
+        for at in range(0, len(table), 8192):
+            ones += np.unpackbits(table[at : at + 8192].view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)
+
+
+def _mixed(hashes, k: int):
+    """Values as good as independent of the hashes: a Weyl step and two rounds of multiply and shift."""
+    import numpy as np
+
+    x = hashes + np.uint64((0x9E3779B97F4A7C15 * k) & (2**64 - 1))
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", tagged: bool = False, size: int = SHINGLE) -> DataFrame:
     """(key, print): the fingerprint of every row as a signed 64-bit integer; null texts have fingerprint zero.
 
     ``tagged`` adds the text's XXH64 as ``tag``, which tells rows of one key apart.
     """
+    return _prints(docs, text, key, tagged, ["print"], lambda t: fingerprint(t, size))
+
+
+def _prints(docs: DataFrame, text: str, key: str, tagged: bool, names: list[str], make: Callable) -> DataFrame:
     tag = [F.xxhash64(F.col(text)).alias("tag")] if tagged else []
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *tag)
 
@@ -62,53 +116,11 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", tagge
         import numpy as np
 
         for batch in batches:
-            prints = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["key", "print", "tag"][: 3 if tagged else 2])
-
-    return source.mapInArrow(run, "key long, print long" + (", tag long" if tagged else ""))
-
-
-def tiles(prints: DataFrame, leaves: int = TILE_LEAVES) -> list[tuple[int, int]]:
-    """(path, depth) of disjoint sub-tries that cover all fingerprints, each of at most ``leaves`` leaves.
-
-    Counts are taken a few levels at a time, below the nodes that are still too large;
-    the driver sees a number for each node, of which there are about twice the leaves
-    over the tile size, never fingerprints. Distinct leaves end every split at depth 64.
-    """
-    done: list[tuple[int, int]] = []
-    todo, depth = [(0, 0)], 0
-    whole = prints.select(F.col("print"))
-    while todo:
-        step = min(4, BITS - depth)
-        below = depth + step
-        # the path to depth d is the upper d bits
-        level = whole.select(F.shiftrightunsigned("print", BITS - below).alias("node") if below < BITS else F.col("print").alias("node"))
-        if depth:
-            level = level.join(F.broadcast(whole.sparkSession.createDataFrame([(p,) for p, _ in todo], "up long")), F.shiftrightunsigned("node", step) == F.col("up"), "left_semi")
-        counts = {r.node & ((1 << below) - 1): r.n for r in level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
-        todo = []
-        for node, n in sorted(counts.items()):
-            if n <= leaves or below == BITS:
-                done.append((node, below))
-            else:
-                todo.append((node, below))
-        depth = below
-    return sorted(done, key=lambda t: t[0] << (BITS - t[1]))
-
-
-def tile_pairs(found: list[tuple[int, int]], budget: int = BUDGET) -> list[tuple[int, int]]:
-    """Pairs (i <= j) of tiles whose paths, as far as both go, differ in at most ``budget`` bits."""
-    import numpy as np
+            prints = np.array([make(t) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(names)).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["key", *names, *(["tag"] if tagged else [])])
 
-    paths = np.array([p << (BITS - d) for p, d in found], np.uint64)
-    depths = np.array([d for _, d in found], np.int64)
-    out: list[tuple[int, int]] = []
-    for i in range(len(found)):
-        common = np.minimum(depths[i:], depths[i])
-        mask = (~np.uint64(0)) << (BITS - common).astype(np.uint64)
-        differ = np.bitwise_count((paths[i:] ^ paths[i]) & mask)
-        out += [(i, i + int(j)) for j in np.flatnonzero(differ <= budget)]
-    return out
+    return source.mapInArrow(run, ", ".join(f"{c} long" for c in ["key", *names, *(["tag"] if tagged else [])]))
 
 
 class Forest:
@@ -134,35 +146,35 @@ class Forest:
                 root[:] = up
 
 
-def walk(left, right, same: bool, budget: int = BUDGET):
+def walk(left, right, same: bool, budget: int = BUDGET, bits: int = BITS, ranges=None, near: Callable | None = None):
     """Blocks (i, j) of index pairs with ``left[i]`` and ``right[j]`` at most ``budget`` bits apart.
 
-    Both arrays are sorted and distinct, and so are tries: a node of a depth is a range
-    of equal upper bits. ``same``: both are one array, and only i < j is returned.
+    The values' upper ``bits`` are the paths; both arrays are sorted, and so are tries: a
+    node of a depth is a range of equal upper bits. ``same``: both are one array, and only
+    i < j is returned. ``ranges`` (begins, ends) are the roots of several tries that lie in
+    one array one after another. ``near(i, j)`` is a further test of pairs.
     """
     import numpy as np
 
     if not len(left) or not len(right):
         return
-    stack = [(np.array([0]), np.array([len(left)]), np.array([0]), np.array([len(right)]), np.array([0]), 0)]
+    begin, end = ranges if ranges is not None else (np.array([0]), np.array([len(left)]))
+    right_end = end if same else np.array([len(right)])
+    stack = [(begin, end, begin, right_end, np.zeros(len(begin), np.int64), 0)]
     while stack:
         l0, l1, r0, r1, differ, depth = stack.pop()
         sizes = (l1 - l0) * (r1 - r0)
-        small = (sizes <= DIRECT) if depth < BITS else np.ones(len(sizes), bool)
+        small = (sizes <= DIRECT) if depth < bits else np.ones(len(sizes), bool)
         if small.any():
-            a0, a1, b0, b1, n = l0[small], l1[small], r0[small], r1[small], sizes[small]
-            for at in range(0, len(n), 16384):
-                part = slice(at, at + 16384)
-                count = n[part]
-                which = np.repeat(np.arange(len(count)), count)
-                place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                width = (b1 - b0)[part][which]
-                i, j = a0[part][which] + place // width, b0[part][which] + place % width
-                near = np.bitwise_count(left[i] ^ right[j]) <= budget
+            for i, j in _pairs(l0[small], l1[small], r0[small], r1[small]):
+                good = np.bitwise_count(left[i] ^ right[j]) <= budget
                 if same:
-                    near &= i < j
-                if near.any():
-                    yield i[near], j[near]
+                    good &= i < j
+                if near is not None and good.any():
+                    i, j = i[good], j[good]
+                    good = near(i, j)
+                if good.any():
+                    yield i[good], j[good]
         large = ~small
         if not large.any():
             continue
@@ -181,6 +193,31 @@ def walk(left, right, same: bool, budget: int = BUDGET):
             stack.append((*[x[at : at + BLOCK] for x in parts], depth + 1))
 
 
+def _pairs(a0, a1, b0, b1):
+    """All index pairs of each pair of ranges, at most about ``PAIRS`` at a time; wide ranges are cut into stripes."""
+    import numpy as np
+
+    count = (a1 - a0) * (b1 - b0)
+    for k in np.flatnonzero(count > PAIRS):
+        width = int(b1[k] - b0[k])
+        step = max(1, PAIRS // width)
+        for a in range(int(a0[k]), int(a1[k]), step):
+            for b in range(int(b0[k]), int(b1[k]), PAIRS):
+                i, j = np.arange(a, min(a + step, a1[k])), np.arange(b, min(b + PAIRS, b1[k]))
+                yield np.repeat(i, len(j)), np.tile(j, len(i))
+    fits = count <= PAIRS
+    a0, b0, b1, count = a0[fits], b0[fits], b1[fits], count[fits]
+    at, total = 0, np.cumsum(count)
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        n = count[at:to]
+        which = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        width = (b1 - b0)[at:to][which]
+        yield a0[at:to][which] + place // width, b0[at:to][which] + place % width
+        at = to
+
+
 def _middle(values, low, high, depth: int):
     """First index of each range whose bit at ``depth`` is set, by bisection: within a node the bit splits the range in two."""
     import numpy as np
@@ -195,88 +232,196 @@ def _middle(values, low, high, depth: int):
     return low
 
 
-def trie_links(prints: DataFrame, budget: int = BUDGET, leaves: int = TILE_LEAVES) -> DataFrame:
-    """(a, b): a spanning forest of the links between rows (print, rep) with distinct fingerprints, as pairs of reps."""
-    spark = prints.sparkSession
-    found = tiles(prints, leaves)
-    pairs = tile_pairs(found, budget)
-    shared = spark.sparkContext.broadcast((found, pairs))
+def blocks(fixed: int, bits: int, budget: int) -> list[int]:
+    """Masks of the upper ``bits``: ``fixed`` and one of ``budget + 1`` blocks of the bits that are still open."""
+    free = [b for b in range(64 - bits, 64) if not fixed >> b & 1]
+    cuts = [len(free) * k // (budget + 1) for k in range(budget + 2)]
+    return [fixed | sum(1 << b for b in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def trie_links(prints: DataFrame, budget: int = BUDGET, leaves: int = GROUP_ROWS, words: tuple[str, ...] = ("print",), bits: int = BITS, whole: int | None = None) -> DataFrame:
+    """(a, b): a spanning forest of the links between rows (words, rep) with distinct fingerprints, as pairs of reps.
+
+    Fingerprints are cut into paths of ``bits`` bits, and pairs found that are within
+    ``budget`` on one of the paths and, with ``whole``, within that on all bits. A group
+    of more than ``leaves`` paths is dealt again. Where no bits are open to deal it by
+    (its paths are all within the budget, and only ``whole`` can part them), it is cut
+    into chunks and each pair of chunks is a group.
+    """
+    group = ["tag", "fixed", "part", "chunk"]
+    extra = list(words) if whole is not None else []
+    names = [*group, "path", "rep", *extra]
+    schema = ", ".join(f"{c} long" for c in names)
+
+    def batch_of(columns) -> pa.RecordBatch:
+        import numpy as np
+
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names)
+
+    def dealt(tag, fixed: int, chunk, path, rest):
+        import numpy as np
+
+        for mask in blocks(fixed, bits, budget):
+            m = np.uint64(mask)
+            yield batch_of([tag, np.full(len(path), m), path & m, chunk, path, *rest])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        tiles_, pairs_ = shared.value
-        begins = np.array([p << (BITS - d) for p, d in tiles_], np.uint64)
-        of: list[list[tuple[int, int]]] = [[] for _ in tiles_]
-        for k, (i, j) in enumerate(pairs_):
-            of[i].append((k, 0))
-            if i != j:
-                of[j].append((k, 1))
-        size = np.array([len(x) for x in of])
-        first = np.cumsum(size) - size
-        flat = np.array([x for xs in of for x in xs], np.int64).reshape(-1, 2)
         for batch in batches:
-            value = batch.column(0).to_numpy().view(np.uint64)
-            rep = batch.column(1).to_numpy()
-            tile = np.searchsorted(begins, value, "right") - 1
-            n = size[tile]
-            which = np.repeat(np.arange(len(value)), n)
-            at = first[tile][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[at, 0]), pa.array(flat[at, 1]), pa.array(value[which].view(np.int64)), pa.array(rep[which])], ["task", "side", "print", "rep"])
-
-    def join(table: pa.Table) -> pa.Table:
+            columns = [c.to_numpy().view(np.uint64) for c in batch.columns]
+            table, rep = np.stack(columns[:-1], axis=1), columns[-1]
+            for tag, path in enumerate(_paths(table, bits)):
+                yield from dealt(np.full(len(path), tag, np.int64), 0, np.zeros(len(path), np.int64), path, [rep, *columns[: len(extra)]])
+
+    def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            c = {n: batch.column(k).to_numpy().view(np.uint64) for k, n in enumerate(names)}
+            for fixed in np.unique(c["fixed"]):
+                of = c["fixed"] == fixed
+                yield from dealt(c["tag"][of], int(fixed), c["chunk"][of], c["path"][of], [c[n][of] for n in ("rep", *extra)])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        value, rep, side = (table.column(c).to_numpy() for c in ("print", "rep", "side"))
-        value = value.view(np.uint64)
-        order = np.lexsort((value, side))
-        value, rep, side = value[order], rep[order], side[order]
-        cut = int((side == 0).sum())
-        same = pairs_same(table.column("task")[0].as_py())
-        forest = Forest(len(value))
-        left, right, shift = (value, value, 0) if same else (value[:cut], value[cut:], cut)
-        for i, j in walk(left, right, same, budget):
-            forest.add(i, j + shift)
-        member = np.flatnonzero(forest.root != np.arange(len(value)))
-        return pa.table({"a": pa.array(rep[member]), "b": pa.array(rep[forest.root[member]])})
+        def links(table) -> pa.RecordBatch:
+            keys, path, rep, wide = table[:4], table[4], table[5].view(np.int64), table[6:]
+            new = np.concatenate([[True], np.any(keys[:, 1:] != keys[:, :-1], axis=0)])
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(path))
+            some = end - begin > 1
+            forest = Forest(len(path))
+
+            def near(i, j):
+                good = forest.root[i] != forest.root[j]
+                at = np.flatnonzero(good)
+                good[at] = sum(np.bitwise_count(w[i[at]] ^ w[j[at]]).astype(np.int64) for w in wide) <= whole
+                return good
+
+            if some.any():
+                for i, j in walk(path, path, True, budget, bits, (begin[some], end[some]), near if extra else None):
+                    forest.add(i, j)
+            member = np.flatnonzero(forest.root != np.arange(len(path)))
+            return pa.RecordBatch.from_arrays([pa.array(rep[member]), pa.array(rep[forest.root[member]])], ["a", "b"])
+
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([c.to_numpy().view(np.uint64) for c in batch.columns]))
+            size += batch.num_rows
+            if size >= TASK_ROWS:
+                table = np.concatenate(held, axis=1)
+                # the last group may go on in the next batch
+                cut = int(np.flatnonzero(np.append(True, np.any(table[:4, 1:] != table[:4, :-1], axis=0)))[-1])
+                if cut:
+                    yield links(table[:, :cut])
+                held, size = [table[:, cut:]], table.shape[1] - cut
+        if size:
+            yield links(np.concatenate(held, axis=1))
+
+    def walked(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*group).sortWithinPartitions(*group, F.col("path").bitwiseXOR(F.lit(-(2**63)))).mapInArrow(join, "a long, b long")
+
+    rows = prints.select(*words, "rep").mapInArrow(deal, schema)
+    found: list[DataFrame] = []
+    with scratch_scope(prints.sparkSession):
+        while True:
+            sizes = materialize(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaves), "hot-groups")
+            if sizes.isEmpty():
+                found.append(materialize(walked(rows), "trie-links", keep=True))
+                break
+            found.append(materialize(walked(rows.join(sizes, group, "left_anti")), "trie-links", keep=True))
+            hot = rows.join(sizes, group)
+            tight = F.lit(bits) - F.bit_count("fixed") <= budget
+            # no bit is open any more: chunks of the group, each pair of them a group of its own
+            n = F.ceil(F.col("n") / leaves)
+            own, other = F.pmod(F.xxhash64("rep"), n), F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+            chunks = hot.where(tight).withColumn("own", own).withColumn("other", other).withColumn("chunk", F.least("own", "other") * n + F.greatest("own", "other") + 1)
+            found.append(materialize(walked(chunks.select(*names)), "trie-links", keep=True))
+            rows = materialize(hot.where(~tight).select(*names).mapInArrow(deal_again, schema), "trie-rows")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _paths(table, bits: int):
+    """The paths of fingerprints (a row of 64-bit words each): pieces of ``bits`` bits, as the upper bits of a word."""
+    import numpy as np
+
+    if bits == BITS:
+        yield from np.ascontiguousarray(table.T)
+        return
+    flat = np.unpackbits(np.ascontiguousarray(table).view(np.uint8), axis=1)
+    for at in range(0, flat.shape[1] - bits + 1, bits):
+        piece = np.zeros((len(table), BITS), np.uint8)
+        piece[:, :bits] = flat[:, at : at + bits]
+        yield np.packbits(piece, axis=1).view(">u8").astype(np.uint64).reshape(-1)
 
-    def pairs_same(task: int) -> bool:
-        i, j = shared.value[1][task]
-        return i == j
 
-    dealt = prints.select("print", "rep").mapInArrow(deal, "task long, side long, print long, rep long")
-    return dealt.groupBy("task").applyInArrow(join, "a long, b long")
+def _components(made: DataFrame, words: tuple[str, ...], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``made`` with component_id and linked: classes of equal fingerprints, named by their least key, and links between them."""
+    classes = materialize(made.where("key is not null").groupBy(*words).agg(F.min("key").alias("rep")), "fingerprint-classes")
+    component = connected_components(links(classes), "a", "b").select(F.col("vertex").alias("rep"), "component")
+    named = classes.join(component, "rep", "left").select(*words, F.coalesce("component", "rep").alias("component_id"), F.col("component").isNotNull().alias("linked"))
+    return made.join(named, list(words), "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET, leaves: int = TILE_LEAVES, tagged: bool = False, size: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET, leaves: int = GROUP_ROWS, tagged: bool = False, size: int = SHINGLE) -> DataFrame:
     """key, fingerprint (16 lower-case hex digits), component_id, linked for every row.
 
     Fingerprints link at ``budget`` or fewer differing bits; a component is named by its
-    smallest key; ``linked`` says whether another fingerprint is in it. Texts without a word
-    have fingerprint zero and link like any other. Repeated rows share their answer.
-    Rows with a null key get a fingerprint, and the component of their fingerprint's
-    other keys, or null. Other columns are not read; an empty table gives no rows.
-    ``tagged`` adds the text's XXH64 as ``tag``; ``size`` is the words in a shingle.
+    smallest key; ``linked`` says whether another fingerprint is in it. Null texts and texts
+    without a word have fingerprint zero and link like any other. Repeated rows share their
+    answer. Rows with a null key get a fingerprint, and the component of their
+    fingerprint's other keys, or null. Texts are hashed whole, in blocks of shingles.
+    Other columns are not read; an empty table gives no rows. ``tagged`` adds the text's
+    XXH64 as ``tag``; ``size`` is the words in a shingle.
     """
     made = materialize(fingerprints(docs, text, key, tagged, size), "fingerprints")
-    classes = materialize(made.where("key is not null").groupBy("print").agg(F.min("key").alias("rep")), "fingerprint-classes")
-    links = materialize(trie_links(classes, budget, leaves), "trie-links")
-    component = connected_components(links, "a", "b").select(F.col("vertex").alias("rep"), "component")
-    named = classes.join(component, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"), F.col("component").isNotNull().alias("linked"))
-    joined = made.join(named, "print", "left")
-    return joined.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce("linked", F.lit(False)).alias("linked"), *(["tag"] if tagged else []))
+    found = _components(made, ("print",), lambda classes: trie_links(classes, budget, leaves))
+    return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "linked", *(["tag"] if tagged else []))
+
+
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WIDE_SHINGLE, whole: int = WIDE_BUDGET, leaves: int = GROUP_ROWS) -> DataFrame:
+    """key, tag (the text's XXH64), component_id, linked for every row: groups of texts whose shingles agree to about 0.8.
+
+    Texts link if their 192-bit fingerprints over ``size`` words differ in at most ``whole``
+    bits and one of eight paths in at most two. Nulls, empty and repeated rows, null keys,
+    long texts and other columns are as in ``near_duplicates``.
+    """
+    names = tuple(f"w{k}" for k in range(WIDE_WORDS))
+    made = materialize(_prints(docs, text, key, True, list(names), lambda t: wide_fingerprint(t, size)), "fingerprints")
+    found = _components(made, names, lambda classes: trie_links(classes, PATH_BUDGET, leaves, names, PATH_BITS, whole))
+    return found.select(F.col("key").alias(key), "tag", "component_id", "linked")
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """The documents without those whose component another key names."""
+    own_key, own_tag, lost_key, lost_tag = fresh(docs, "_key", "_tag", "_lost_key", "_lost_tag")
+    lost = materialize(found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(lost_key), F.col("tag").alias(lost_tag)), "near-copies")
+    marked = docs.withColumns({own_key: F.col(key).cast("long"), own_tag: F.xxhash64(F.col(text))})
+    # Only rows that pass a filter of the lost ones carry their texts into the join.
+    maybe, sure = probe(marked, F.struct(own_key, own_tag), lost.select(F.struct(F.col(lost_key).alias(own_key), F.col(lost_tag).alias(own_tag)).alias("lost")), "lost")
+    same = F.col(own_key).eqNullSafe(F.col(lost_key)) & (F.col(own_tag) == F.col(lost_tag))
+    return sure.unionByName(maybe.join(lost, same, "left_anti")).drop(own_key, own_tag)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", budget: int = BUDGET, size: int = SHINGLE) -> DataFrame:
-    """The documents whose key names their component, with all their columns: one of each group.
+    """The documents whose key names their component of ``near_duplicates``, with all their columns: one of each group.
 
     Rows are told apart by key and text, so a key that repeats with other texts doesn't
     share the fate of its namesakes. Rows with a null key go where a row with a key is
     in their group, and stay otherwise. Rows that repeat the winning key stay with it:
-    exact deduplication is the stage that drops those.
+    exact deduplication is the stage that drops those. Null and empty texts are one
+    group. An empty table gives no rows.
     """
-    own_key, own_tag, lost_key, lost_tag = fresh(docs, "_key", "_tag", "_lost_key", "_lost_tag")
-    found = near_duplicates(docs, text, key, budget, tagged=True, size=size)
-    lost = found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(lost_key), F.col("tag").alias(lost_tag))
-    marked = docs.withColumns({own_key: F.col(key).cast("long"), own_tag: F.xxhash64(F.col(text))})
-    return marked.join(lost, F.col(own_key).eqNullSafe(F.col(lost_key)) & (F.col(own_tag) == F.col(lost_tag)), "left_anti").drop(own_key, own_tag)
+    return _one_of_each(docs, near_duplicates(docs, text, key, budget, tagged=True, size=size), text, key)
+
+
+def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WIDE_SHINGLE, whole: int = WIDE_BUDGET) -> DataFrame:
+    """As ``drop_near_copies``, with the groups of ``similar_documents``: five-word shingles, a similarity of about 0.8."""
+    return _one_of_each(docs, similar_documents(docs, text, key, size, whole), text, key)
