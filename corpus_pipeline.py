@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from asofly.llm import quality, secrets
 from asofly.llm.exact_dedup import drop_copies
 from asofly.llm.packing import pack_documents
-from asofly.llm.simhash import drop_near_copies
+from asofly.llm.simhash import drop_similar
 from asofly.llm.vocab import WORD_BPE, tokenizer_path
-from asofly.session import materialize
+from asofly.session import drop_path, scratch_path, scratch_scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id."""
-    return drop_near_copies(docs)
+    """Of each group of texts whose five-word shingles agree to about 0.8, the document with the smallest doc_id."""
+    return drop_similar(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents``; each stage's result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole ``documents``; each stage's result is written and read again, and deleted when the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_scope(spark):
+            path = scratch_path(spark, f"stage-{name}", keep=True)
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
