@@ -10,7 +10,8 @@ from asofly.llm.exact_dedup import drop_copies
 from asofly.llm.quality import keep_good
 from asofly.llm.secrets import RULES, redact, secret_scan
 from asofly.llm.simhash import drop_near_copies
-from tests.llm.test_text import brute_components, brute_print, brute_spans, lower
+from tests.llm.test_shingles import brute_similar
+from tests.llm.test_text import brute_spans, lower
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +46,8 @@ def test_exact(staged):
 
 
 def test_near(staged):
-    found = brute_components({r.doc_id: brute_print(r.text) for r in staged[2].collect()}, 2)
+    """The stage is the rule for stages on word shingles: five words, a similarity of about 0.8."""
+    found = brute_similar({r.doc_id: r.text for r in staged[2].collect()})
     assert ids(staged[3]) == sorted(set(found.values()))
 
 
