@@ -6,7 +6,11 @@ large indexed ones, to tasks. Predicates on the record type and on header column
 are pushed down: a task inflates the head of a record, parses its headers, and goes
 on to the payload only if they pass and the option ``payload`` isn't ``false``. With
 the index that the writer leaves beside a file, the rest of an unwanted record is
-not even inflated.
+neither read nor inflated.
+
+Each commit leaves a manifest of its own that names its files. Readers take the files
+of all manifests, so appending adds records and files of failed attempts don't count;
+mode ``overwrite`` removes what earlier commits named.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ import posixpath
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -45,7 +50,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from asofly.session import scratch_path
+from asofly.llm.common import probe
+from asofly.session import materialize, scratch_path, scratch_scope
 
 #: Column, its WARC header, and how the header's text is read.
 HEADERS = {
@@ -60,7 +66,7 @@ HEADERS = {
 SCHEMA = "warc_type string, record_id string, target_uri string, payload_digest string, refers_to string, page_id long, payload_length long, payload binary"
 ARROW = pa.schema([*((c, pa.int64() if kind is int else pa.string()) for c, (_, kind) in HEADERS.items()), ("payload", pa.binary())])
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-MANIFEST = "_files.json"
+MANIFEST = "_files-"
 #: Bytes of files dealt to a task; first bytes inflated to find the headers; bytes of rows in a batch.
 TASK_BYTES, HEAD_BYTES, BATCH_BYTES = 32 << 20, 2048, 8 << 20
 
@@ -155,6 +161,24 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def _manifests(store, root: str) -> dict[str, list[str]]:
+    """Names of the files that each commit made, by the commit's manifest."""
+    from pyarrow import fs
+
+    found = {}
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(MANIFEST):
+            with store.open_input_file(info.path) as f:
+                found[info.path] = json.loads(f.read())
+    return found
+
+
+def _length(headers: dict[str, str]) -> int | None:
+    """A record's content length; None if there is none or it isn't a number."""
+    value = headers.get("content-length", "")
+    return int(value) if value.isascii() and value.isdigit() else None
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, folder: str, payload: bool):
         self.folder, self.payload = folder, payload
@@ -173,9 +197,9 @@ class WarcReader(DataSourceReader):
         store, root = _store(self.folder)
         listed = [i for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File]
         sizes = {posixpath.relpath(i.path, root): i.size for i in listed}
-        if MANIFEST in sizes:
-            with store.open_input_file(f"{root}/{MANIFEST}") as f:
-                named = set(json.loads(f.read()))
+        manifests = _manifests(store, root)
+        if manifests:
+            named = {n for names in manifests.values() for n in names}
             sizes = {n: s for n, s in sizes.items() if n in named or n.removesuffix(".idx") in named}
         tasks: list[Task] = []
         group: list[str] = []
@@ -221,7 +245,8 @@ class WarcReader(DataSourceReader):
                 for begin, end in zip([0, *ends], ends, strict=False):
                     if low <= begin < high:
                         f.seek(begin)
-                        yield from self._member(f.read(end - begin), tests)
+                        first = f.read(min(HEAD_BYTES, end - begin))
+                        yield from self._member(first, lambda f=f, n=end - begin - len(first): f.read(n), tests)
             elif path.endswith(".gz"):
                 yield from self._plain(gzip.GzipFile(fileobj=io.BufferedReader(f)), tests)
             else:
@@ -238,25 +263,34 @@ class WarcReader(DataSourceReader):
             return block.partition(b"\r\n\r\n")[2]
         return block
 
-    def _member(self, data: bytes, tests):
-        """One gzip member: the head is inflated first, the rest only for a wanted payload."""
+    def _member(self, first: bytes, more: Callable[[], bytes], tests):
+        """One gzip member: the head is inflated from its first bytes; the rest is read for a longer head or a wanted payload."""
         inflate = zlib.decompressobj(31)
-        head = inflate.decompress(data, HEAD_BYTES)
-        while (cut := head.find(b"\r\n\r\n")) < 0 and inflate.unconsumed_tail:
-            head += inflate.decompress(inflate.unconsumed_tail, HEAD_BYTES)
+        head, rest = inflate.decompress(first, HEAD_BYTES), None
+        while (cut := head.find(b"\r\n\r\n")) < 0 and not inflate.eof:
+            data = inflate.unconsumed_tail
+            if not data:
+                if rest is not None:
+                    break
+                data = rest = more()
+            head += inflate.decompress(data, HEAD_BYTES)
         if cut < 0:
             return
         headers, row, wanted = self._wanted(head[:cut], tests)
         if not wanted:
             return
         payload = None
-        if self.payload and row["warc_type"] != "revisit":
-            block = head[cut + 4 :] + inflate.decompress(inflate.unconsumed_tail)
-            payload = self._body(headers, block[: int(headers.get("content-length", 0))])
+        if self.payload and row["warc_type"] != "revisit" and (length := _length(headers)) is not None:
+            block = head[cut + 4 :] + inflate.decompress(inflate.unconsumed_tail + (more() if rest is None else b""))
+            payload = self._body(headers, block[:length])
         yield row, payload
 
     def _plain(self, f, tests):
-        """Records of a stream without an index: unwanted blocks are read past."""
+        """Records of a stream without an index: unwanted blocks are read past.
+
+        A record without a proper length has a null payload; the next one is looked for
+        line by line.
+        """
         while True:
             line = f.readline()
             if not line:
@@ -267,7 +301,11 @@ class WarcReader(DataSourceReader):
             while (line := f.readline()) not in (b"\r\n", b"\n", b""):
                 head.append(line)
             headers, row, wanted = self._wanted(b"".join(head), tests)
-            length = int(headers.get("content-length", 0))
+            length = _length(headers)
+            if length is None:
+                if wanted:
+                    yield row, None
+                continue
             if not wanted:
                 f.seek(length, 1)
                 continue
@@ -285,28 +323,30 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Writes response and revisit records; a file counts once the commit names it in the manifest."""
+    """Writes response and revisit records; a file counts once the commit names it in a manifest."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, overwrite: bool):
+        self.folder, self.overwrite = folder, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        rows = (row for batch in iterator for row in batch.to_pylist())
+        if (first := next(rows, None)) is None:
+            return Written("")  # a task without rows makes no file
         store, root = _store(self.folder)
         store.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         ends: list[int] = []
         at = 0
         with store.open_output_stream(f"{root}/{name}", compression=None) as out:
-            for batch in iterator:
-                for row in batch.to_pylist():
-                    kind = row["warc_type"]
-                    block = b"" if kind == "revisit" else HTTP_HEAD + (row["payload"] or b"")
-                    headers = {h: row[c] for c, (h, _) in HEADERS.items() if c != "warc_type"}
-                    packed = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    data = packed.compress(record(kind, headers, block)) + packed.flush()
-                    out.write(data)
-                    at += len(data)
-                    ends.append(at)
+            for row in chain([first], rows):
+                kind = row["warc_type"]
+                block = b"" if kind == "revisit" else HTTP_HEAD + (row["payload"] or b"")
+                headers = {h: row[c] for c, (h, _) in HEADERS.items() if c != "warc_type"}
+                packed = zlib.compressobj(1, zlib.DEFLATED, 31)
+                data = packed.compress(record(kind, headers, block)) + packed.flush()
+                out.write(data)
+                at += len(data)
+                ends.append(at)
         with store.open_output_stream(f"{root}/{name}.idx") as out:
             out.write(struct.pack(f"<{len(ends)}q", *ends))
         return Written(name)
@@ -314,15 +354,25 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = _store(self.folder)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps([m.name for m in messages if m]).encode())
+        before = _manifests(store, root) if self.overwrite else {}
+        with store.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
+            out.write(json.dumps([m.name for m in messages if m and m.name]).encode())
+        for manifest, names in before.items():
+            store.delete_file(manifest)
+            for name in names:
+                _delete(store, f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = _store(self.folder)
         for m in messages:
-            if m:
-                for name in (m.name, f"{m.name}.idx"):
-                    store.delete_file(f"{root}/{name}")
+            if m and m.name:
+                _delete(store, f"{root}/{m.name}")
+
+
+def _delete(store, path: str) -> None:
+    """Remove an archive file and its index."""
+    for name in (path, f"{path}.idx"):
+        store.delete_file(name)
 
 
 class WarcSource(DataSource):
@@ -337,7 +387,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true") != "false")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -353,30 +403,46 @@ LEAST_SHARED = 100
 
 
 def plan_records(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
-    """Rows for the writer: of equal payloads of ``LEAST_SHARED`` bytes or more, the smallest key is the response, others revisit it."""
+    """Rows for the writer: of equal payloads of ``LEAST_SHARED`` bytes or more, the smallest key is the response, others revisit it.
+
+    Who revisits is found without payloads. Rows that pass a filter of the revisits' keys
+    are told apart by a join; all others keep their payload where it is.
+    """
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(
-        F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("target_uri"), F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("long").alias("payload_length"), body.alias("body")
-    )
-    groups = rows.where(F.col("payload_length") >= LEAST_SHARED).groupBy("sha256").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(groups, "sha256", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select(
-        F.when(revisit, "revisit").otherwise("response").alias("warc_type"),
-        F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.expr("uuid()")), F.lit(">")).alias("record_id"),
-        "target_uri",
-        F.concat(F.lit("sha256:"), "sha256").alias("payload_digest"),
-        F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))).alias("refers_to"),
-        "page_id",
-        "payload_length",
-        F.when(~revisit, F.col("body").cast("binary")).alias("payload"),
+    slim = pages.select(
+        F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("target_uri"), F.sha2(body, 256).alias("sha256"), F.octet_length(body).cast("long").alias("payload_length")
     )
-
-
-def archive_pages(pages: DataFrame, folder: str, html: str = "html", key: str = "page_id", url: str = "url") -> None:
+    known = materialize(slim, "page-digests")
+    groups = known.where(F.col("payload_length") >= LEAST_SHARED).groupBy("sha256").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
+    shared, _ = probe(known, F.col("sha256"), groups := materialize(groups, "page-groups"), "sha256")
+    revisits = materialize(shared.join(groups, "sha256").where(~F.col("page_id").eqNullSafe(F.col("first"))), "page-revisits")
+    lost = revisits.select(F.col("page_id").alias("lost_id"), F.col("sha256").alias("lost_sha")).distinct()
+    maybe, sure = probe(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("target_uri"), body.alias("body")), F.col("page_id"), revisits, "page_id")
+    digested = [d.withColumns({"sha256": F.sha2("body", 256), "payload_length": F.octet_length("body").cast("long")}) for d in (maybe, sure)]
+    full = digested[1].unionByName(digested[0].join(lost, F.col("page_id").eqNullSafe(F.col("lost_id")) & (F.col("sha256") == F.col("lost_sha")), "left_anti"))
+
+    def records(rows: DataFrame, kind: str, refers: Column, payload: Column) -> DataFrame:
+        return rows.select(
+            F.lit(kind).alias("warc_type"),
+            F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.expr("uuid()")), F.lit(">")).alias("record_id"),
+            "target_uri",
+            F.concat(F.lit("sha256:"), "sha256").alias("payload_digest"),
+            refers.alias("refers_to"),
+            "page_id",
+            "payload_length",
+            payload.alias("payload"),
+        )
+
+    first = F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))
+    return records(full, "response", F.lit(None).cast("string"), F.col("body").cast("binary")).unionByName(records(revisits, "revisit", first, F.lit(None).cast("binary")))
+
+
+def archive_pages(pages: DataFrame, folder: str, html: str = "html", key: str = "page_id", url: str = "url", mode: str = "append") -> None:
     """Write one record for each row of ``pages``."""
-    register(pages.sparkSession)
-    plan_records(pages, html, key, url).write.format("warc").mode("append").save(folder)
+    spark = pages.sparkSession
+    register(spark)
+    with scratch_scope(spark):
+        plan_records(pages, html, key, url).write.format("warc").mode(mode).save(folder)
 
 
 def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
@@ -391,7 +457,8 @@ def warc_round_trip(pages: DataFrame, html: str = "html", key: str = "page_id",
     record's header is an error; revisits have no payload, and their headers say how
     long it was and what its digest was. Null html is empty. Null keys stay null and
     never name a response; rows that repeat the first key of a group are responses too.
-    Other columns are not read; an empty table gives no rows.
+    A payload is one record however long it is. Other columns are not read; an empty
+    table gives no rows.
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")

@@ -276,6 +276,46 @@ def test_warc_without_index(tmp_path, spark):
     assert df.where("page_id = 3").count() == 2 and df.where("page_id is null").count() == 4
 
 
+def test_warc_append_and_overwrite(spark):
+    """A second commit adds to the first; overwriting leaves the last alone, without files of the others."""
+    import os
+
+    folder = scratch_path(spark, "warc-append")
+    page = lambda k: spark.createDataFrame([(k, "u", f"page {k}")], "page_id long, url string, html string")
+    for k in (1, 2):
+        warc.archive_pages(page(k), folder)
+    assert sorted((r.page_id, bytes(r.payload)) for r in warc.read_archives(spark, folder).collect()) == [(1, b"page 1"), (2, b"page 2")]
+    warc.archive_pages(page(3), folder, mode="overwrite")
+    assert [r.page_id for r in warc.read_archives(spark, folder).collect()] == [3]
+    left = sorted(n.partition(".")[2] or n[:6] for n in os.listdir(folder.removeprefix("file:")) if not n.endswith(".crc"))
+    assert left == ["json", "warc.gz", "warc.gz.idx"]
+
+
+def test_warc_malformed_records(tmp_path, spark):
+    """A record without a proper length has no payload; those around it are whole, with and without an index."""
+    import struct
+
+    good = [warc.record("response", {"X-Page-Id": k}, warc.HTTP_HEAD + b"<p>" + b"z" * 9000) for k in (1, 2)]
+    bad = [good[0].replace(b"Content-Length: ", b"Content-Length: x").replace(b"X-Page-Id: 1", f"X-Page-Id: {k}".encode()) for k in (7, 8)]
+    bad[1] = bad[1].replace(b"Content-Length: x", b"Content-Length: -")
+    parts = [good[0], bad[0], bad[1], good[1], b"no record at all"]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    import gzip
+
+    members = [gzip.compress(x) for x in parts]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "b.warc.gz.idx").write_bytes(struct.pack("<5q", *np.cumsum([len(m) for m in members])))
+    rows = warc.read_archives(spark, f"file://{tmp_path}").where("warc_type = 'response'").collect()
+    want = [(k, 9003) for k in (1, 1, 2, 2)] + [(7, None), (7, None), (8, None), (8, None)]
+    assert sorted(((r.page_id, r.payload and len(r.payload)) for r in rows), key=str) == sorted(want, key=str)
+
+
+def test_warc_long_payload_and_long_head(spark):
+    rows = [(1, "u" * 10_000, "é" * 3_000_000), (2, "u", "é" * 3_000_000)]
+    got = {r.page_id: r for r in warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].payload_bytes == got[2].payload_bytes == 6_000_000 and got[2].refers_to == 1
+
+
 CASES = {
     "<p>one <b>two</b>\n three<p>four<br>five": "one two three\n\nfour\nfive",
     "<ul><li>a<li>b<ol><li>c<li>d</ol><li>e</ul>": "- a\n- b\n  1. c\n  2. d\n- e",
