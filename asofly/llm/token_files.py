@@ -1,29 +1,45 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets.
 
-A data set is a folder of parts in ascending key order. Part ``k`` has
+A data set is a folder of parts in ascending key order. A part has
 
-* ``part-k.ids``: the ids of its documents one after another, little-endian unsigned
+* ``NAME.ids``: the ids of its documents one after another, little-endian unsigned
   16- or 32-bit (the smaller that holds the vocabulary), and nothing else;
-* ``part-k.off``: for each document two little-endian signed 64-bit integers, its
-  key and the index in ``part-k.ids`` of the first id behind it.
-
-Prefix sums over the parts' totals (one number a part) give each part's base, the
-number of ids in all parts before it. Files are memory-mapped where the folder is
-local to the reader, and read whole from any other store. Parts are written under
-a name of their own and renamed, so a repeated task leaves one whole file.
+* ``NAME.off``: for each document two little-endian signed 64-bit integers, its
+  key and the index in ``NAME.ids`` of the first id behind it.
+
+Texts are encoded where they lie; only packed ids travel to their place in the order.
+Both files of a part carry the name of the task attempt that wrote them, and the
+table of parts, which Spark commits once, says which attempt counts: a repeated task
+can't leave one file of each. Prefix sums over the parts' totals (one row a part) give
+each part's base, the number of ids in all parts before it. Files are memory-mapped
+where the folder is local to the reader, and read whole from any other store.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofly.llm.words import library_cache
-from asofly.session import materialize, scratch_path
+from asofly.session import materialize, scratch_path, scratch_scope
+
+#: Bytes of ids in a part: the most, and the least that is split off to give all cores work.
+MOST_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
+
+
+@dataclass(frozen=True)
+class Part:
+    """A part's files, the number of ids before it, its documents, and how many of its first ones have a null key."""
+
+    name: str
+    base: int
+    n_docs: int
+    n_null: int
 
 
 def _open_fs(folder: str):
@@ -32,86 +48,93 @@ def _open_fs(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _put(folder: str, name: str, write) -> None:
-    """Write a file through a name of this attempt's own, then rename it."""
-    import uuid
-
-    store, root = _open_fs(folder)
-    store.create_dir(root, recursive=True)
-    own = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(own) as out:
-        write(out)
-    store.move(own, f"{root}/{name}")
+def id_type(path: str) -> str:
+    """numpy type of the ids of a vocabulary file."""
+    from tokenizers import Tokenizer
 
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
-def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> DataFrame:
-    """Encode ``docs`` in ascending key order and write the parts; (part, n_docs, n_ids) for each.
 
-    Null texts are empty; a null key sorts first and is stored as the smallest
-    64-bit integer; rows with equal keys keep an arbitrary order among themselves.
-    """
-    spark = docs.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    source = (
-        docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.col(text).alias("text"))
-        .repartitionByRange(n, "key")
-        .sortWithinPartitions("key")
-    )
+def encode(docs: DataFrame, path: str, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, ids, sum): the packed ids of every text with ``end_id`` behind them, in the vocabulary's id type, and their checksum."""
+    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    width = id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        cache = library_cache(path)
-        keys: list[np.ndarray] = []
-        ends: list[np.ndarray] = []
-        last = np.array([end_id], "<u4").tobytes()
-        total = 0
-        width = id_type(path)
-
-        def body(out) -> None:
-            nonlocal total
-            for batch in batches:
-                packed = [x + last for x in cache.pack(batch.column(1).to_pylist())]
-                ids = np.frombuffer(b"".join(packed), "<u4")
-                out.write(ids.astype(width).tobytes())
-                keys.append(batch.column(0).to_numpy())
-                ends.append(total + np.cumsum([len(x) // 4 for x in packed], dtype="<i8"))
-                total += len(ids)
-
-        _put(folder, f"part-{part:06d}.ids", body)
-        table = np.column_stack([np.concatenate(keys), np.concatenate(ends)]).astype("<i8") if keys else np.empty((0, 2), "<i8")
-        _put(folder, f"part-{part:06d}.off", lambda out: out.write(table.tobytes()))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(table)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
-
-    return materialize(source.mapInArrow(run, "part int, n_docs long, n_ids long"), "token-parts")
 
+        cache, last = library_cache(path), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            packed = [x + last for x in cache.pack(batch.column(1).to_pylist())]
+            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(zlib.crc32, ids), pa.int64())], ["key", "ids", "sum"])
 
-def id_type(path: str) -> str:
-    """numpy type of the ids of a vocabulary file."""
-    from tokenizers import Tokenizer
+    return source.mapInArrow(run, "key long, ids binary, sum long")
 
-    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+def parts_for(n_bytes: int, tasks: int) -> int:
+    """Parts for so many bytes of ids: enough for all tasks where there are bytes enough, and none too large."""
+    return max(1, -(-n_bytes // MOST_BYTES), min(tasks, -(-n_bytes // LEAST_BYTES)))
 
 
-def part_bases(parts: DataFrame) -> list[tuple[int, int, int]]:
-    """(part, base, n_docs) by a prefix sum of the parts' totals: a row for each file on the driver, never one for a document."""
+def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> DataFrame:
+    """Encode ``docs`` and write the parts in ascending key order; (part, name, n_docs, n_ids, n_null) for each.
+
+    Null texts are empty; null keys sort first, and their number is kept beside the
+    part. Rows with equal keys are ordered by their ids, so a repeated task writes the
+    same again, and many rows of one key spread over parts. An empty table has parts
+    without documents.
+    """
+    spark = docs.sparkSession
+    width = id_type(path)
+    with scratch_scope(spark):
+        encoded = materialize(encode(docs, path, end_id, text, key), "token-ids")
+        total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+        n = partitions or parts_for(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        order = [F.col("key").asc_nulls_first(), "sum", "ids"]
+        source = encoded.repartitionByRange(n, F.col("key").asc_nulls_first(), "sum").sortWithinPartitions(*order).select("key", "ids")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import uuid
+
+            import numpy as np
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            name = f"part-{part:06d}-{uuid.uuid4().hex}"
+            store, root = _open_fs(folder)
+            store.create_dir(root, recursive=True)
+            n_docs = n_ids = n_null = 0
+            with store.open_output_stream(f"{root}/{name}.ids") as ids, store.open_output_stream(f"{root}/{name}.off") as off:
+                for batch in batches:
+                    packed = batch.column(1).to_pylist()
+                    ids.write(b"".join(packed))
+                    ends = n_ids + np.cumsum([len(x) // np.dtype(width).itemsize for x in packed], dtype="<i8")
+                    off.write(np.column_stack([batch.column(0).fill_null(0).to_numpy(), ends]).astype("<i8").tobytes())
+                    n_docs, n_null = n_docs + len(packed), n_null + batch.column(0).null_count
+                    n_ids = int(ends[-1]) if len(ends) else n_ids
+            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": n_docs, "n_ids": n_ids, "n_null": n_null}], pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_null", pa.int64())]))
+
+        return materialize(source.mapInArrow(run, "part int, name string, n_docs long, n_ids long, n_null long"), "token-parts", keep=True)
+
+
+def part_bases(parts: DataFrame) -> list[Part]:
+    """The parts in order, each with its base, by a prefix sum: a row for each file on the driver, never one for a document."""
     out, base = [], 0
-    for row in sorted(parts.collect(), key=lambda r: r.part):
-        out.append((row.part, base, row.n_docs))
+    for row in sorted(parts.where("n_docs > 0").collect(), key=lambda r: r.part):
+        out.append(Part(row.name, base, row.n_docs, row.n_null))
         base += row.n_ids
     return out
 
 
-def read_token_files(spark: SparkSession, folder: str, bases: list[tuple[int, int, int]], width: str, key: str = "doc_id") -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, parts: list[Part], width: str, key: str = "doc_id") -> DataFrame:
     """key, start, n_tokens and ids_crc32 of every document, from the files.
 
     ``start`` is the number of ids before the document in the whole data set,
     ``ids_crc32`` the checksum of its ids as little-endian unsigned 32-bit integers.
     """
-    todo = spark.createDataFrame(bases or [(-1, 0, 0)], "part int, base long, n_docs long").where("part >= 0")
-    todo = todo.repartition(max(1, min(len(bases), 4096)), "part") if bases else todo
+    todo = spark.createDataFrame([(p.name, p.base, p.n_docs, p.n_null) for p in parts], "name string, base long, n_docs long, n_null long")
+    todo = todo.repartition(max(1, min(len(parts), 4096)), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -122,33 +145,35 @@ def read_token_files(spark: SparkSession, folder: str, bases: list[tuple[int, in
 
         def load(name: str, kind: str) -> np.ndarray:
             if local:
-                import os
-
-                return np.memmap(name, kind, "r") if os.path.getsize(name) else np.empty(0, kind)
+                return np.memmap(name, kind, "r")
             with store.open_input_file(name) as f:
                 return np.frombuffer(f.read(), kind)
 
         for batch in batches:
-            for part, base, n_docs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = load(f"{root}/part-{part:06d}.ids", width)
-                table = load(f"{root}/part-{part:06d}.off", "<i8").reshape(-1, 2)
-                if len(table) != n_docs:
-                    raise OSError(f"part {part} holds {len(table)} documents instead of {n_docs}")
-                ends = np.asarray(table[:, 1])
-                starts = np.concatenate([np.zeros(min(1, n_docs), "<i8"), ends[:-1]])
-                for a in range(0, n_docs, 8192):
-                    s, e = starts[a : a + 8192], ends[a : a + 8192]
-                    sums = [zlib.crc32(np.ascontiguousarray(ids[x:y], "<u4")) for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-                    keys = np.asarray(table[a : a + 8192, 0])
+            for part in batch.to_pylist():
+                ids = load(f"{root}/{part['name']}.ids", width)
+                table = load(f"{root}/{part['name']}.off", "<i8").reshape(-1, 2)
+                if len(table) != part["n_docs"]:
+                    raise OSError(f"{part['name']} holds {len(table)} documents instead of {part['n_docs']}")
+                for a in range(0, len(table), 8192):
+                    end = np.asarray(table[a : a + 8192, 1])
+                    start = np.concatenate([[table[a - 1, 1] if a else 0], end[:-1]])
+                    sums = [zlib.crc32(np.ascontiguousarray(ids[x:y], "<u4")) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                    null = np.arange(a, a + len(end)) < part["n_null"]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.int64(), mask=keys == -(2**63)), pa.array(base + s), pa.array(e - s), pa.array(sums, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"]
+                        [pa.array(np.asarray(table[a : a + 8192, 0]), pa.int64(), mask=null), pa.array(part["base"] + start), pa.array(end - start), pa.array(sums, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"]
                     )
 
     return todo.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 1, text: str = "text", key: str = "doc_id", folder: str | None = None) -> DataFrame:
-    """Write the token files of ``docs`` and read every document back from them."""
+    """Write the token files of ``docs`` and read every document back from them: key, start, n_tokens, ids_crc32.
+
+    Null and empty texts are the one id ``end_id``; a long text is one document however
+    long. Repeated rows and rows with equal keys are documents of their own; null keys
+    come first and stay null. Other columns are not read; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-files")
     parts = write_token_files(docs, folder, path, end_id, text, key)

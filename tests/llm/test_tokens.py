@@ -129,6 +129,31 @@ def test_files(docs, library):
     assert start > 0
 
 
+def test_files_order_and_parts(spark, library, monkeypatch):
+    """Many rows of one key spread over parts, null keys come first, the smallest long is a key like any other, and only listed files count."""
+    import os
+
+    from asofly.llm import token_files as T
+
+    monkeypatch.setattr(T, "LEAST_BYTES", 64)
+    rows = [(7, f"same key {k}") for k in range(60)] + [(None, "b c"), (None, "a"), (-(2**63), "least"), (3, "x y"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path, folder = tokenizer_path(WORD_BPE), T.scratch_path(spark, "files-test")
+    parts = T.part_bases(T.write_token_files(docs, folder, path))
+    with open(f"{folder.removeprefix('file:')}/part-000000-lost.ids", "wb") as f:
+        f.write(b"attempt that failed")
+    assert len(parts) >= 3 and len(os.listdir(folder.removeprefix("file:"))) >= 2 * len(parts) + 1
+    got = sorted(T.read_token_files(spark, folder, parts, T.id_type(path)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -(2**63), 3, *[7] * 60, 9]
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    sums = lambda rs: sorted(rs, key=str)
+    assert sums((r.doc_id, r.ids_crc32) for r in got) == sums((k, zlib.crc32(np.array([*library[0](t), 1], "<u4").tobytes())) for k, t in rows)
+    assert T.parts_for(0, 8) == 1 and T.parts_for(10 * T.MOST_BYTES, 4) == 10
+
+
 def check_packing(rows, body, library, capacity):
     seen: dict = {}
     for r in rows:
