@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,7 +97,7 @@ class BpeTrie:
                 if left[b] == b:
                     break
                 limit, b = rank[b] + 1, left[b]
-        if len(self.known) > 2_000_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         self.known[key] = good
         return good
@@ -150,8 +151,9 @@ class BpeTrie:
         return b" ".join(map(self.bytes.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
 def trie_cache(path: str, limit: int = 300_000) -> WordCache:
-    """Piece and word caches filled by the trie walk; the library only normalises and splits unusual pieces."""
+    """Piece and word caches filled by the trie walk; the library only normalises and splits unusual pieces. A worker keeps them from task to task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -184,7 +186,8 @@ def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "d
     """Encode every text and decode it again: key, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no tokens and decode to the empty text. Repeated rows
-    give repeated results, null keys stay null, and other columns are not read.
+    give repeated results, null keys stay null, and other columns are not read. A text
+    is encoded whole, however long; an empty table gives no rows.
     """
     fields = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))

@@ -40,9 +40,9 @@ WIDE_SHINGLE, WIDE_WORDS, WIDE_BUDGET = 5, 3, 34
 #: Bits of a path cut from a wide fingerprint, and the budget of its trie.
 PATH_BITS, PATH_BUDGET = 24, 2
 #: Paths that one task walks as a group, rows that a task walks at once.
-GROUP_ROWS, TASK_ROWS = 50_000, 200_000
+GROUP_ROWS, TASK_ROWS = 50_000, 100_000
 #: Node pairs walked at once, pairs of leaves below which a pair of nodes is compared directly, and pairs compared at once.
-BLOCK, DIRECT, PAIRS = 200_000, 64, 1_000_000
+BLOCK, DIRECT, PAIRS = 100_000, 64, 200_000
 
 UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 

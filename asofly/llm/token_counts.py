@@ -1,9 +1,10 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a broadcast table with the lengths (in tokens) of the corpus's most
-frequent pre-tokens, tier two each worker's bounded cache, filled by the library.
-No pre-token is shuffled: the table comes from per-task counters that are merged
-as a tree of packed sketches of fixed size.
+Tier one is a broadcast table with the lengths (in tokens) of the most frequent
+pre-tokens of a bounded sample of rows, tier two each worker's bounded cache, filled by
+the library. The table only saves work: no count depends on which pre-tokens are in it.
+No pre-token of the texts is shuffled; the sample's counters are merged as a tree of
+packed sketches of fixed size.
 
 A pre-token is a maximal run of spaces with what follows up to the next space or
 line end. No piece of the vocabulary has anything before a space sign or beside a
@@ -16,6 +17,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
 #: Entries of the broadcast table and of each sketch on the way to it; the longest pre-token kept in it.
 TABLE_ENTRIES, TABLE_CHARS = 8192, 24
+#: Rows of the sample that the table is made from, and entries of a task's sketch.
+SAMPLE_ROWS, SKETCH_ENTRIES = 4000, 2048
 #: Sketches merged by one task.
 FAN_IN = 32
 
@@ -108,16 +112,22 @@ class PieceCounter:
         return [n + sum(map(fresh.__getitem__, left)) for n, left in zip(sums, rest, strict=True)]
 
 
-def _pack(counts: Counter) -> str:
-    return json.dumps(counts.most_common(TABLE_ENTRIES), ensure_ascii=False, separators=(",", ":"))
+def _pack(counts: Counter, entries: int = TABLE_ENTRIES) -> str:
+    return json.dumps(counts.most_common(entries), ensure_ascii=False, separators=(",", ":"))
+
+
+@lru_cache(maxsize=1)
+def worker_counter(path: str) -> PieceCounter:
+    """The counter of a worker process, which keeps its cache from task to task."""
+    return PieceCounter(path)
 
 
 def frequent_segments(docs: DataFrame, text: str = "text") -> list[str]:
-    """The most frequent pre-tokens over all rows, by merging sketches of at most ``TABLE_ENTRIES`` entries.
+    """The most frequent pre-tokens of a sample of about ``SAMPLE_ROWS`` rows, by merging sketches.
 
-    Each task counts its rows (a full counter is cut to its most frequent half);
-    rounds of ``FAN_IN`` to one merge the tasks' sketches, until so few are left
-    that their size on the driver has a fixed bound.
+    Each task counts its rows of the sample, whole texts; rounds of ``FAN_IN`` to one
+    merge the tasks' sketches, until so few are left that their size on the driver has
+    a fixed bound.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +140,10 @@ def frequent_segments(docs: DataFrame, text: str = "text") -> list[str]:
                     counts.update(split_segments(text))
                     if len(counts) > 400_000:
                         counts = Counter(dict(counts.most_common(100_000)))
-        short = Counter({s: n for s, n in counts.items() if n > 1 and len(s) <= TABLE_CHARS})
-        yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "sketch": [_pack(short)]})
+        short = Counter({s: n for s, n in counts.items() if len(s) <= TABLE_CHARS})
+        if not short:
+            return
+        yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId()], pa.int64()), "sketch": [_pack(short, SKETCH_ENTRIES)]})
 
     def merge(group):
         import pandas as pd
@@ -142,7 +154,8 @@ def frequent_segments(docs: DataFrame, text: str = "text") -> list[str]:
                 counts[s] += n
         return pd.DataFrame({"slot": [int(group["slot"].iloc[0])], "sketch": [_pack(counts)]})
 
-    source = docs.select(text)
+    n = docs.count()
+    source = docs.select(text) if n <= SAMPLE_ROWS else docs.select(text).sample(SAMPLE_ROWS / n, seed=1)
     tasks = source.rdd.getNumPartitions()
     level = source.mapInArrow(sketch, "slot long, sketch string")
     while tasks > FAN_IN:
@@ -159,7 +172,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     """key, n_bytes, n_tokens, over_limit of every text, without begin, end or added special tokens.
 
     Null and empty texts have no bytes and no tokens. Repeated rows give repeated
-    results, null keys stay null, and other columns are not read.
+    results, null keys stay null, and other columns are not read. A text is counted
+    whole, however long; an empty table gives no rows.
     """
     table = PieceCounter(path).lengths(frequent_segments(docs, text))
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -168,7 +182,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path, shared.value)
+        counter = worker_counter(path)
+        counter.table = shared.value
         for batch in batches:
             n = counter.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(

@@ -46,24 +46,33 @@ def split_white(text: str) -> list[str]:
     return text.split()
 
 
+#: Bytes that an entry of a map takes beside its text and value, about; entries of more bytes than that are not kept.
+ENTRY_BYTES, LONG_ENTRY = 180, 2048
+
+
 class Generations:
-    """Bounded map in two generations: a full young one becomes the old one, whose entries move back when used."""
+    """Map in two generations, bounded in entries and bytes: a full young one becomes the old one, whose entries move back when used."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, limit: int, most_bytes: int = 20 << 20):
+        self.limit, self.most_bytes = limit, most_bytes
+        self.size = 0
+        self.young: dict = {}
+        self.old: dict = {}
 
-    def get(self, key: str) -> bytes | None:
+    def get(self, key: str):
         """Value of a key that the young generation lacks or has."""
         if (known := self.young.get(key)) is None and (known := self.old.get(key)) is not None:
-            self.young[key] = known
+            self.put(key, known)
         return known
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
+    def put(self, key: str, value) -> None:
+        n = ENTRY_BYTES + len(key) * (1 if key.isascii() else 2) + (len(value) if isinstance(value, bytes) else 0)
+        if n > LONG_ENTRY:
+            return  # long pieces hardly come again
+        if len(self.young) >= self.limit or self.size > self.most_bytes:
+            self.old, self.young, self.size = self.young, {}, 0
         self.young[key] = value
+        self.size += n
 
 
 class WordCache:
@@ -75,7 +84,7 @@ class WordCache:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.encode, self.encode_whole = encode, encode_whole
-        self.pieces, self.words = Generations(limit), Generations(limit)
+        self.pieces, self.words = Generations(limit), Generations(limit, 8 << 20)
 
     def pack(self, texts: Iterable[str | None], block_pieces: int = 200_000) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
