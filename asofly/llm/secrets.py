@@ -10,7 +10,7 @@ against the expression. A rule whose expression has no mandatory trigram scans a
 from __future__ import annotations
 
 import re._parser as sre
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -18,8 +18,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.common import apply_filter, build_filter, fresh
-from asofly.session import materialize
+from asofly.llm.common import fresh, probe
+from asofly.session import materialize, scratch_scope
 
 # ---------------------------------------------------------------- rules
 
@@ -66,6 +66,9 @@ Query = frozenset[frozenset[str]] | None
 #: Alternative strings kept for an expression part, and longest such string, before it is reduced to trigrams.
 MAX_STRINGS, MAX_LENGTH = 64, 16
 
+#: Trigrams noted in one word of a document's mask.
+WORD_BITS = 62
+
 
 @dataclass(frozen=True)
 class _Part:
@@ -177,15 +180,20 @@ def postings(docs: DataFrame, trigrams: list[str], text: Column, key: str) -> Da
 def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, Query]) -> DataFrame:
     """(key, kinds): documents that fulfil some rule's query, with the rules' kinds.
 
-    The postings of a document are united into the set of its trigrams (a bit each),
-    which intersects the posting lists of every alternative in one pass.
+    The postings of a document are united into the set of its trigrams (a bit each, in
+    as many words as there are trigrams for), which intersects the posting lists of every
+    alternative in one pass.
     """
     number = {t: i for i, t in enumerate(trigrams)}
-    masks = index.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("mask"))
+    words = range(-(-len(trigrams) // WORD_BITS))
+    masks = index.groupBy("key").agg(*[F.bit_or(F.when(F.expr(f"trigram div {WORD_BITS} = {w}"), F.expr(f"shiftleft(1L, trigram % {WORD_BITS})")).otherwise(F.lit(0).cast("long"))).alias(f"mask{w}") for w in words])
+
+    def holds(alternative: frozenset[str]) -> Column:
+        need = [sum(1 << number[t] % WORD_BITS for t in alternative if number[t] // WORD_BITS == w) for w in words]
+        return reduce(lambda a, b: a & b, (F.col(f"mask{w}").bitwiseAND(F.lit(m).cast("long")) == m for w, m in enumerate(need) if m))
 
     def fulfils(query: Query) -> Column:
-        alternatives = sorted(sum(1 << number[t] for t in a) for a in query)
-        return reduce(lambda a, b: a | b, (F.col("mask").bitwiseAND(F.lit(m)) == m for m in alternatives))
+        return reduce(lambda a, b: a | b, (holds(x) for x in sorted(query, key=sorted)))
 
     kinds = F.array_compact(F.array(*[F.when(fulfils(q), F.lit(kind)) for kind, q in queries.items()]))
     return masks.select("key", kinds.alias("kinds")).where(F.size("kinds") > 0)
@@ -193,6 +201,34 @@ def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, Query])
 
 # ------------------------------------------------------------ verification
 
+#: Elements of an array that are scanned at once; see ``running``.
+SCAN_BLOCK = 256
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What ``op`` makes of the elements of an integer array up to each one.
+
+    Appending to an array copies it, so a scan is made in blocks: within each block,
+    over the blocks' last values, and both put together. Empty stays empty.
+    """
+
+    def scan(xs: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(xs, none, lambda out, x: F.array_append(out, F.when(F.size(out) > 0, op(F.element_at(out, -1), x)).otherwise(x)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / SCAN_BLOCK).cast("int"))), lambda b: scan(F.slice(values, b * SCAN_BLOCK + 1, SCAN_BLOCK)))
+
+    def put(blocks: Column) -> Column:
+        lasts = scan(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(lasts, lambda lasts: F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: op(F.get(lasts, i - 1), x))))))
+
+    return F.when(F.size(values) > 0, let(blocks, put)).otherwise(F.array().cast("array<int>"))
+
 
 def _found(text: Column, rule: Rule) -> Column:
     """Spans (kind, start, end) of a rule's matches, leftmost first and non-overlapping, the too short ones dropped.
@@ -200,21 +236,18 @@ def _found(text: Column, rule: Rule) -> Column:
     The text between matches and the matches themselves alternate; running sums of
     their lengths (code points) are the places.
     """
-    gaps = F.split(text, rule.pattern)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("match"), counted.alias("counted"))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    sizes = F.arrays_zip(
+        F.transform(F.slice(F.split(text, rule.pattern), F.lit(1), F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("match"), F.transform(counted, F.length).alias("counted")
+    )
 
-    def step(state: Column, row: Column) -> Column:
-        begin = state["at"] + F.length(row["gap"])
-        end = begin + F.length(row["match"])
-        span = F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end"))
-        good = F.length(row["counted"]) >= rule.least
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(good, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def spans(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda r: r["gap"] + r["match"]), lambda a, b: a + b)
+        at = lambda ends: F.transform(rows, lambda r, i: F.when(r["counted"] >= rule.least, F.struct(F.lit(rule.kind).alias("kind"), (F.get(ends, i) - r["match"]).alias("start"), F.get(ends, i).alias("end"))))
+        return F.array_compact(let(ends, at))
 
-    return F.aggregate(rows, start, step, lambda s: s["spans"])
+    return let(sizes, spans)
 
 
 def _tight(rule: Rule) -> Rule:
@@ -232,30 +265,29 @@ def identity(text: str, key: str) -> Column:
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, spans): the spans of all rules, for the documents that have any; sorted by start, then the rules' order.
 
-    ``key`` of the result is the row's ``identity``.
+    ``key`` of the result is the row's ``identity``. The result is a written table.
     """
     docs = docs.select(identity(text, key).alias("key"), F.col(text).alias("body"))
     body = F.col("body")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     trigrams = sorted({t for q in queries.values() for a in q for t in a})
-    if len(trigrams) > 62:
-        raise ValueError("more trigrams than a mask holds: split the rules")
     order = {r.kind: i for i, r in enumerate(rules)}
     parts = []
-    if queries:
-        index = materialize(postings(docs, trigrams, body, "key"), "postings")
-        wanted = materialize(candidates(index, trigrams, queries), "candidates")
-        # Only rows that pass a filter of fixed size carry their text into the join.
-        near = apply_filter(docs, F.col("key"), build_filter(wanted, "key"))
-        matched = near.join(wanted, "key")
-        verified = F.concat(*[F.when(F.array_contains("kinds", r.kind), _found(F.col("body"), r)).otherwise(_none()) for r in rules if r.kind in queries])
-        parts.append(matched.select("key", verified.alias("spans")))
-    for rule in (_tight(r) for r in rules if r.kind not in queries):
-        full = docs.where(body.rlike(rule.pattern)).select("key", _found(body, rule).alias("spans"))
-        parts.append(full)
-    spans = reduce(lambda a, b: a.unionByName(b), parts).where(F.size("spans") > 0)
-    ranked = F.transform(F.flatten(F.collect_set("spans")), lambda s: F.struct(s["start"].alias("start"), _rank(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return spans.groupBy("key").agg(F.sort_array(F.array_distinct(ranked)).alias("spans"))
+    with scratch_scope(docs.sparkSession):
+        if queries:
+            index = materialize(postings(docs, trigrams, body, "key"), "postings")
+            wanted = materialize(candidates(index, trigrams, queries), "candidates")
+            # Only rows that pass a filter, sized by a count, carry their text into the join.
+            near, _ = probe(docs, F.col("key"), wanted, "key")
+            matched = near.join(wanted, "key")
+            verified = F.concat(*[F.when(F.array_contains("kinds", r.kind), _found(F.col("body"), r)).otherwise(_none()) for r in rules if r.kind in queries])
+            parts.append(matched.select("key", verified.alias("spans")))
+        for rule in (_tight(r) for r in rules if r.kind not in queries):
+            full = docs.where(body.rlike(rule.pattern)).select("key", _found(body, rule).alias("spans"))
+            parts.append(full)
+        spans = reduce(lambda a, b: a.unionByName(b), parts).where(F.size("spans") > 0)
+        ranked = F.transform(F.flatten(F.collect_set("spans")), lambda s: F.struct(s["start"].alias("start"), _rank(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+        return materialize(spans.groupBy("key").agg(F.sort_array(F.array_distinct(ranked)).alias("spans")), "spans", keep=True)
 
 
 def _none() -> Column:
@@ -275,43 +307,52 @@ def secret_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules:
 
     Spans are ``kind:start:end`` (code points, end exclusive), by start and then the
     rules' order, comma-joined; base_sha256 is the digest of the base kinds' spans.
-    Null counts as empty. Every row is answered for its own text, also where keys
-    repeat; rows with a null key are answered as without secrets and not scanned, as the
-    query's SQL has it (``redact`` does scan them). Other columns are not read; an empty
-    table gives no rows.
+    Null texts count as empty, and texts are searched whole, however long. Every row is
+    answered for its own text, also where its key is null or repeats. Other columns are
+    not read; an empty table gives no rows.
     """
-    found = scan(docs.where(F.col(key).isNotNull()), text, key, rules)
+    found = scan(docs, text, key, rules)
     rows = docs.select(identity(text, key).alias("key"))
-    spans = F.coalesce(F.col("spans"), F.array().cast(found.schema["spans"].dataType))
+    maybe, sure = probe(rows, F.col("key"), found, "key")
+    none = F.array().cast(found.schema["spans"].dataType)
+    joined = maybe.join(found, "key", "left").select("key", F.coalesce("spans", none).alias("spans")).unionByName(sure.select("key", none.alias("spans")))
     base = [r.kind for r in BASE_RULES]
-    joined = rows.join(found, "key", "left").select(F.col("key")["key"].cast("long").alias("key"), spans.alias("spans"))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return joined.select(
-        F.col("key").alias(key), *[count(k) for k in base], F.sha2(_joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")
+        F.col("key")["key"].cast("long").alias(key), *[count(k) for k in base], F.sha2(_joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")
     )
 
 
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with the spans, sorted by start, replaced by ``[kind]``; a span that begins within an earlier one is a part of it."""
+
+    def cut(chars: Column, ends: Column) -> Column:
+        piece = lambda a, n: F.array_join(F.slice(chars, a + 1, n), "")
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+        parts = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(piece(before(i), s["start"] - before(i)), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), piece(F.element_at(ends, -1), F.size(chars)))
+
+    furthest = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return let(F.split(text, ""), lambda chars: let(furthest, lambda ends: cut(chars, ends)))
+
+
 def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", n_chars: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every secret span replaced by ``[kind]``; overlapping spans are replaced as one.
 
     All columns and rows stay, and each row is searched itself, also where keys repeat
-    or are null; ``n_chars``, where there is one, is the new length.
+    or are null; null and empty texts stay as they are, and long texts are searched
+    whole. ``n_chars``, where there is one, is the new length. Only rows that pass a filter
+    of those with secrets are joined. An empty table gives no rows.
     """
     columns = docs.columns
     own, name, spans = fresh(docs, "_own", "_key", "_spans")
-    found = scan(docs, text, key, rules).select(F.col("key").alias(name), F.col("spans").alias(spans))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        keep = F.substring(F.col(text), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        label = F.when(s["start"] >= state["at"], F.concat(keep, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], label).alias("out"))
-
-    clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    joined = docs.withColumn(own, identity(text, key)).join(found, F.col(own) == F.col(name), "left").withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(clean))
+    found = scan(docs, text, key, rules)
+    maybe, sure = probe(docs.withColumn(own, identity(text, key)), F.col(own), found, "key")
+    joined = maybe.join(found.select(F.col("key").alias(name), F.col("spans").alias(spans)), F.col(own) == F.col(name), "left")
+    clean = joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(spans))))
     if n_chars in docs.columns:
-        joined = joined.withColumn(n_chars, F.when(F.col(spans).isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
-    return joined.select(*columns)
+        clean = clean.withColumn(n_chars, F.when(F.col(spans).isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
+    return sure.select(*columns).unionByName(clean.select(*columns))

@@ -211,12 +211,11 @@ def test_secrets(spark):
     df = make(spark, SECRETS)
     rows = {r.doc_id: r for r in secrets.secret_scan(df).collect()}
     for k, t in SECRETS:
-        if k is not None:
-            assert rows[k].spans == brute_spans(t, secrets.RULES), t
-            base = brute_spans(t, secrets.BASE_RULES)
-            assert rows[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-            assert [rows[k].n_assign, rows[k].n_access, rows[k].n_hex] == [base.count(f"{x}:") for x in ("assign", "access", "hex")]
-    assert rows[None].spans == "" and len(rows) == len(SECRETS)
+        assert rows[k].spans == brute_spans(t, secrets.RULES), t
+        base = brute_spans(t, secrets.BASE_RULES)
+        assert rows[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [rows[k].n_assign, rows[k].n_access, rows[k].n_hex] == [base.count(f"{x}:") for x in ("assign", "access", "hex")]
+    assert rows[None].spans == "assign:0:14" and len(rows) == len(SECRETS)
     assert secrets.secret_scan(df.limit(0)).count() == 0
     clean = secrets.redact(df.withColumn("n_chars", F.length("text").cast("long")))
     got = {r.doc_id: r for r in clean.collect()}
@@ -225,6 +224,35 @@ def test_secrets(spark):
     assert got[10].text == "plain " * 5000 and got[2].text is None
 
 
+def brute_redacted(text, rules):
+    out, at = "", 0
+    found = sorted((m.start(), rank, m.end(), r.kind) for rank, r in enumerate(rules) for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.least)
+    for a, _, b, kind in found:
+        if a >= at:
+            out += text[at:a] + f"[{kind}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_many_secrets_in_one_text(spark):
+    """Thousands of spans in a long text, more than a block of the scan, characters of all widths between them."""
+    rnd = random.Random(4)
+    words = ["token=abcdefgh", "secret: 0123456789abcdef01234567", "é😀", "plain", "passwd:passwd:abcdefg", "deadbeef" * 4, "ghp_" + "a" * 40]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(n))) for k, n in enumerate((0, 1, 255, 256, 257, 600, 9000))]
+    df = make(spark, rows)
+    assert {r.doc_id: r.spans for r in secrets.secret_scan(df).collect()} == {k: brute_spans(t, secrets.RULES) for k, t in rows}
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {k: brute_redacted(t, secrets.RULES) for k, t in rows}
+
+
+def test_more_trigrams_than_one_word(spark):
+    """Rules with hundreds of trigrams are scanned in one go."""
+    rules = tuple(secrets.Rule(f"k{i}", f"word{i:03d}long[0-9]+") for i in range(0, 300, 7)) + secrets.BASE_RULES
+    assert len({t for r in rules for a in secrets.trigram_query(r.pattern) or () for t in a}) > 124
+    rows = [(1, "a word007long5 b word294long77"), (2, "word007lon5 word008long5"), (3, None), (4, "token=abcdefgh word063long1")]
+    got = {r.doc_id: r.spans for r in secrets.secret_scan(make(spark, rows), rules=rules).collect()}
+    assert got == {k: brute_spans(t, rules) for k, t in rows}
+
+
 @pytest.mark.parametrize(
     "pattern,texts",
     [("(password|passwd)x?", ["Password", "passwd"]), ("abc[de]f", ["abcdf", "ABCEF"]), ("ab?cdef", ["abcdef", "acdef"]), ("(?:foo|ba)r+bar", ["foorbar", "barrbar"]), ("xox[ab]-[0-9]{3}", ["xoxa-123"]), ("a{3}b+c", ["aaabbc"])],
