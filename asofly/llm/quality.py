@@ -47,21 +47,23 @@ RULES = (
 )
 
 
+def _window_hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def _covered(words: Column, windows: Column) -> Column:
     """Words that lie in a window found twice or more.
 
-    Windows are sorted by (hash, place); neighbours of equal hash are compared word
-    by word, so equal hashes of unequal windows count for nothing. A window starting at
+    Windows are sorted by hash, then their words, then place: equal windows are
+    neighbours even where other windows have their hash. A window starting at
     ``p`` newly covers ``min(WINDOW, p - previous start)`` words.
     """
-    order = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    # element by element: slice() would copy the whole array for each window
+    window = lambda i: F.array(*[F.get(words, i + k) for k in range(WINDOW)])
+    order = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), window(i).alias("w"), i.alias("i"))))
 
     def same(a: Column, b: Column) -> Column:
-        # element by element: slice() would copy the whole array for each pair
-        equal = a["h"] == b["h"]
-        for k in range(WINDOW):
-            equal = equal & (F.get(words, a["i"] + k) == F.get(words, b["i"] + k))
-        return equal
+        return (a["h"] == b["h"]) & (a["w"] == b["w"])
 
     def twice(order: Column) -> Column:
         last = F.size(order) - 1
@@ -98,7 +100,7 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     starts = F.sequence(F.lit(0), F.size("_words") - WINDOW)
     windows = F.when(
         F.size("_words") >= WINDOW,
-        F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(WINDOW)])),
+        F.transform(starts, lambda i: _window_hash(*[F.get(F.col("_words"), i + k) for k in range(WINDOW)])),
     )
     counted = base.select(
         key,
@@ -134,8 +136,9 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row.
 
-    Null texts have no words and fail the base rule. Repeated rows give repeated
-    results, null keys stay null, and other columns are not read.
+    Null and empty texts have no words and fail the base rule; texts are measured whole,
+    however long. Repeated rows give repeated results, null keys stay null, and other
+    columns are not read; an empty table gives no rows.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     return measures(docs, text, key).select(
@@ -144,7 +147,11 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", rule
 
 
 def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that the rules keep, with all their columns, in one projection and no shuffle."""
+    """The documents that the rules keep, with all their columns, in one projection and no shuffle.
+
+    Null and empty texts go; each row is judged by its own whole text, whatever its key,
+    so repeated rows and null keys stay or go alike. An empty table gives no rows.
+    """
     row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_body"))
     names = docs.columns
     return _with_verdict(row, rules).where("kept").select(*[F.col("_row")[n].alias(n) for n in names])

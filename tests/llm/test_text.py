@@ -191,6 +191,14 @@ def test_quality(spark):
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_quality_with_equal_hashes(spark, monkeypatch):
+    """Repeated windows are found also where all windows have one hash."""
+    monkeypatch.setattr(quality, "_window_hash", lambda *words: F.xxhash64(F.length(words[0])))
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 80)))) for i in range(30)]
+    assert Counter(tuple(r)[:6] for r in quality.quality_rules(make(spark, rows)).collect()) == Counter((k, *brute_quality(t)) for k, t in rows)
+
+
 def brute_spans(text, rules):
     out = []
     for rank, r in enumerate(rules):
