@@ -1,4 +1,9 @@
-"""The corpus pipeline: five operators applied one after another to ``documents``."""
+"""The corpus pipeline: five operators applied one after another to ``documents``.
+
+In every stage, texts are taken whole however long they are, other columns may have any
+names, and an empty table gives an empty table. What a stage does with null and empty
+texts, null keys and repeated rows is stated with it.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +18,37 @@ from asofly.session import drop_path, scratch_path, scratch_scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts go; every row is judged by its own text."""
     return quality.keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
+    """Of equal texts, the document with the largest doc_id.
+
+    Null and empty texts are equal; null keys lose to others; of repeated rows one stays.
+    """
     return drop_copies(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles agree to about 0.8, the document with the smallest doc_id."""
+    """Of each group of texts whose five-word shingles agree to about 0.8, the document with the smallest doc_id.
+
+    Texts without a word are one group. Rows that repeat a key are told apart by their
+    texts; a null key goes where a row with a key is in its group, and stays otherwise.
+    """
     return drop_similar(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kinds."""
+    """All documents, secrets replaced by their kinds; each row by its own text, whatever its key. Null texts stay null."""
     return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 ids: a row for each piece of a document."""
+    """Token sequences of at most 4096 ids: a row for each piece of a document.
+
+    Null and empty texts are one end id; repeated rows and null keys are packed each for itself.
+    """
     return pack_documents(docs, tokenizer_path(WORD_BPE))
 
 
