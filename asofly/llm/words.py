@@ -53,7 +53,7 @@ ENTRY_BYTES, LONG_ENTRY = 180, 2048
 class Generations:
     """Map in two generations, bounded in entries and bytes: a full young one becomes the old one, whose entries move back when used."""
 
-    def __init__(self, limit: int, most_bytes: int = 20 << 20):
+    def __init__(self, limit: int, most_bytes: int = 48 << 20):
         self.limit, self.most_bytes = limit, most_bytes
         self.size = 0
         self.young: dict = {}
@@ -84,7 +84,7 @@ class WordCache:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.encode, self.encode_whole = encode, encode_whole
-        self.pieces, self.words = Generations(limit), Generations(limit, 8 << 20)
+        self.pieces, self.words = Generations(limit), Generations(limit, 12 << 20)
 
     def pack(self, texts: Iterable[str | None], block_pieces: int = 200_000) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
@@ -151,8 +151,9 @@ class WordCache:
 TEXT_WORDS = 200
 
 
+@lru_cache(maxsize=1)
 def _load(path: str):
-    """The library's tokenizer, unused truncation and padding. One thread: the executor's cores are Spark's."""
+    """The library's tokenizer, unused truncation and padding; one a worker. One thread: the executor's cores are Spark's."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
