@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.words import SPECIAL, WordCache
+from asofly.llm.words import SPECIAL, WordCache, slices
 
 
 def byte_letters() -> list[str]:
@@ -199,7 +199,7 @@ def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "d
 
         cache = trie_cache(path)
         decode = cache.trie.decode
-        for batch in batches:
+        for batch in slices(batches):
             packed = cache.pack(batch.column(1).to_pylist())
             ids = [np.frombuffer(x, "<u4") for x in packed]
             yield pa.RecordBatch.from_arrays(

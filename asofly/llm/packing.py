@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asofly.llm.common import probe
-from asofly.llm.words import library_cache
+from asofly.llm.words import library_cache, slices
 from asofly.session import materialize, scratch_path, scratch_scope
 
 #: A bin with at least this share of its capacity used is finished.
@@ -156,7 +156,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
             bins, offsets = packer.place(list(lengths))
             return table(keys, [pieces, starts, lengths, sums, [(part << 36) + b for b in bins], offsets], False)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, ids in zip(batch.column(0).to_pylist(), cache.pack(batch.column(1).to_pylist()), strict=True):
                 ids += last
                 for k in range(0, len(ids), wide):

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asofly.llm.common import fresh, probe
+from asofly.llm.words import slices
 from asofly.operators.graph import connected_components
 from asofly.session import materialize, scratch_scope
 
@@ -115,7 +116,7 @@ def _prints(docs: DataFrame, text: str, key: str, tagged: bool, names: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.array([make(t) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(names)).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["key", *names, *(["tag"] if tagged else [])])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofly.llm.words import Generations
+from asofly.llm.words import Generations, slices
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
@@ -134,7 +134,7 @@ def frequent_segments(docs: DataFrame, text: str = "text") -> list[str]:
         from pyspark import TaskContext
 
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     counts.update(split_segments(text))
@@ -184,7 +184,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_counter(path)
         counter.table = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             n = counter.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["key", "n_bytes", "n_tokens", "over_limit"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofly.llm.words import library_cache
+from asofly.llm.words import library_cache, slices
 from asofly.session import materialize, scratch_path, scratch_scope
 
 #: Bytes of ids in a part: the most, and the least that is split off to give all cores work.
@@ -64,7 +64,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 1, text: str = "text", key:
         import numpy as np
 
         cache, last = library_cache(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             packed = [x + last for x in cache.pack(batch.column(1).to_pylist())]
             ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in packed]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(zlib.crc32, ids), pa.int64())], ["key", "ids", "sum"])

@@ -86,7 +86,7 @@ class WordCache:
         self.encode, self.encode_whole = encode, encode_whole
         self.pieces, self.words = Generations(limit), Generations(limit, 12 << 20)
 
-    def pack(self, texts: Iterable[str | None], block_pieces: int = 200_000) -> list[bytes]:
+    def pack(self, texts: Iterable[str | None], block_pieces: int = 50_000) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
         # Blocks are many small live objects and no cycles: the collector would walk them again and again.
         gc.disable()
@@ -147,6 +147,13 @@ class WordCache:
         return found
 
 
+def slices(batches: Iterable, rows: int = 512):
+    """The batches in slices of a few rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: Words that go to the library in one text.
 TEXT_WORDS = 200
 
