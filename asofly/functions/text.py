@@ -47,8 +47,7 @@ def match_pattern(name: Column | str) -> Column:
 def looks_like_dev_code(name: Column | str) -> Column:
     """a development code, also after a formulation ("... for injection") is taken off."""
     n = F.trim(col(name))
-    code = r"^[A-Za-z]{2,8}[-\s]?\d{2,6}[A-Za-z]{0,3}$"
-    return n.rlike(code) | F.regexp_replace(n, r"(?i)\s+for\s+(injection|infusion|intravenous\s+use)\s*$", "").rlike(code)
+    return n.rlike(V.DEV_CODE) | F.regexp_replace(n, V.FORMULATION, "").rlike(V.DEV_CODE)
 
 
 def is_denylisted(name: Column | str, denylist=V.DENYLIST) -> Column:
@@ -94,8 +93,7 @@ def payload_class(names: Column) -> Column:
 
 def stem_target(names: Column) -> Column:
     """target named by an antibody stem in the first name that has one."""
-    stems = {s: t for t, ss in V.STEM_TARGETS.items() for s in ss}
-    one = lambda n: first_matching([(F.contains(F.lower(n), F.lit(s)), F.lit(t)) for s, t in stems.items()])
+    one = lambda n: first_matching([(F.contains(F.lower(n), F.lit(s)), F.lit(t)) for s, t in V.STEM_TARGETS.items()])
     return F.get(F.filter(F.transform(names, one), lambda t: t.isNotNull()), F.lit(0))
 
 

@@ -29,15 +29,12 @@ def name_edges(keys: DataFrame, mention: str) -> DataFrame:
 def anchor_edges(keys: DataFrame) -> DataFrame:
     """An edge from a key to a longer one that holds it as whole words, unless their suffixes differ.
 
-    Found by an equi-join on runs of words: each key is expanded into its own word runs
-    (at most ``words**2 / 2`` for a name), and a run that is itself a key is the match.
+    Found by an equi-join on runs of words: each key is expanded into its own word runs of
+    the lengths that anchors have, and a run that is itself a key is the match.
     """
     names = keys.select("key").distinct()
-    words = F.split("key", " ")
-    n = F.size(words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(words, i, k), " "))))
-    held = names.select(F.col("key").alias("b"), F.explode(F.array_distinct(runs)).alias("a")).where("a <> b")
     anchors = names.select(F.col("key").alias("a")).where(F.length("a") >= 4)
+    held = _word_runs(names, "key", F.split("key", " "), anchors.select(F.size(F.split("a", " ")).alias("n"))).select(F.col("key").alias("b"), F.col("run").alias("a")).where("a <> b")
     differ = (F.size(suffixes_in("a")) > 0) & (F.size(suffixes_in("b")) > 0) & (F.array_join(suffixes_in("a"), ",") != F.array_join(suffixes_in("b"), ","))
     return held.join(anchors, "a").where(~differ).select("a", "b")
 
@@ -94,12 +91,19 @@ def shared_members(members: DataFrame, group: str, member: str, verified: str) -
 def shared_with(members: DataFrame, group: str, member: str) -> DataFrame:
     """For each member of each group the sorted names of the other groups that claim it.
 
-    The claims on a member are collected once; a member is claimed by few groups.
+    The claims on a member are collected once. The output is as long as the claims on each
+    member squared: it is for members that few groups claim; ``claims`` has a row for each
+    member with all its groups, and their number, instead.
     """
     claims = members.groupBy(member).agg(F.sort_array(F.collect_set(group)).alias("_all"))
     return members.select(group, member).distinct().join(claims, member).select(group, member, F.array_remove("_all", F.col(group)).alias("shared_with"))
 
 
+def claims(members: DataFrame, group: str, member: str) -> DataFrame:
+    """Each member with the sorted groups that claim it and how many those are: what ``shared_with`` says, in linear size."""
+    return members.groupBy(member).agg(F.sort_array(F.collect_set(group)).alias("groups")).withColumn("n_groups", F.size("groups"))
+
+
 def later_successor(rows: DataFrame, key: str, group: list[str], start: str) -> DataFrame:
     """Whether another member of the group starts later: the group's greatest start decides, no pairs.
 
@@ -122,18 +126,24 @@ def containment(left: DataFrame, left_name: str, right: DataFrame, right_name: s
     a = left.select(normalise(left_name).alias("a")).distinct()
     b = right.select(normalise(right_name).alias("b")).distinct()
 
-    def runs(df: DataFrame, c: str) -> DataFrame:
-        words = F.split(c, r"[^\p{L}\p{N}]+")
-        n = F.size(words)
-        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(words, i, k), " "))))
-        return df.select(c, F.array_join(words, " ").alias(f"{c}_all"), F.explode(F.array_distinct(every)).alias("run")).where("run <> ''")
-
-    ra, rb = runs(a, "a"), runs(b, "b")
-    down = ra.join(rb.select("b", F.col("b_all").alias("run")).distinct(), "run").select("a", "b")
-    up = rb.join(ra.select("a", F.col("a_all").alias("run")).distinct(), "run").select("a", "b")
+    words = lambda c: F.split(c, r"[^\p{L}\p{N}]+")
+    whole_a, whole_b = (df.select(c, F.array_join(words(c), " ").alias("run"), F.size(words(c)).alias("n")).where("run <> ''") for df, c in ((a, "a"), (b, "b")))
+    down = _word_runs(a, "a", words("a"), whole_b).join(whole_b.drop("n"), "run").select("a", "b")
+    up = _word_runs(b, "b", words("b"), whole_a).join(whole_a.drop("n"), "run").select("a", "b")
     return down.unionByName(up).distinct()
 
 
+def _word_runs(df: DataFrame, name: str, words: Column, lengths: DataFrame) -> DataFrame:
+    """(name, run): the runs of a name's words, of the lengths that occur in ``lengths`` (n): words times lengths, not their square.
+
+    The distinct lengths are one row of integers, at most as long as the longest name has words.
+    """
+    one = lengths.agg(F.array_sort(F.collect_set("n")).alias("_lengths"))
+    fit = F.filter("_lengths", lambda k: k <= F.size("_words"))
+    runs = F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), F.size("_words") - k + 1), lambda i: F.array_join(F.slice("_words", i, k), " "))))
+    return df.select(name, words.alias("_words")).crossJoin(F.broadcast(one)).select(name, F.explode(F.array_distinct(runs)).alias("run")).where("run <> ''")
+
+
 def compare_tables(old: DataFrame, new: DataFrame, key: str, name: str) -> DataFrame:
     """(key, change): added, removed, renamed or kept, by a full outer join."""
     j = old.select(key, F.col(name).alias("_old"), F.lit(True).alias("_o")).join(new.select(key, F.col(name).alias("_new"), F.lit(True).alias("_n")), key, "full")

@@ -11,7 +11,7 @@ from asofly.functions.scoring import any_sponsor, asset_scope, band, program_sco
 from asofly.functions.text import evidence_source, mentions, stated_reason
 from asofly.operators.labels import latest_labels
 from asofly.operators.stats import cluster_bootstrap
-from asofly.operators.temporal import as_of_month_panel
+from asofly.operators.temporal import as_of_month_panel, dense_ids
 
 
 def summarize(studies: DataFrame, key: str = "nct_id", study: str = "study") -> DataFrame:
@@ -88,12 +88,15 @@ def timeline(events: DataFrame, key: str) -> DataFrame:
 
 
 def interval_widths(rows: DataFrame, order: list[str], cluster: str, value: str, sizes: list[int]) -> list[tuple[int, float | None]]:
-    """Width of the bootstrap interval over growing prefixes of the labels."""
-    out = []
-    for n in sizes:
-        ci = cluster_bootstrap(rows.orderBy(*order).limit(n), cluster, F.col(value).cast("double"), F.lit(1.0), resamples=500).first()
-        out.append((n, None if ci.low is None else ci.high - ci.low))
-    return out
+    """Width of the bootstrap interval over growing prefixes of the labels; a row for each size on the driver.
+
+    Rows are numbered once, each counts for the prefixes that reach it, and all prefixes
+    are drawn in one job.
+    """
+    placed = dense_ids(rows, order, "_at").withColumn("_size", F.explode(F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n > F.col("_at"))))
+    ci = cluster_bootstrap(placed, cluster, F.col(value).cast("double"), F.lit(1.0), resamples=500, by=["_size"])
+    width = {r._size: None if r.low is None else r.high - r.low for r in ci.collect()}
+    return [(n, width.get(n)) for n in sizes]
 
 
 def stratum_progress(programs: DataFrame, labelled: DataFrame) -> DataFrame:

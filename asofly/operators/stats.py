@@ -16,7 +16,7 @@ def share_of(rows: DataFrame, by: list[str], domain: DataFrame | None = None) ->
         cond = test[0]
         for t in test[1:]:
             cond = cond & t
-        counts = F.broadcast(domain).alias("d").join(counts.alias("c"), cond, "full").select(*[F.coalesce(f"d.{c}", f"c.{c}").alias(c) for c in by], F.coalesce("c.n", F.lit(0)).alias("n"))
+        counts = domain.alias("d").join(counts.alias("c"), cond, "full").select(*[F.coalesce(f"d.{c}", f"c.{c}").alias(c) for c in by], F.coalesce("c.n", F.lit(0)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select(*by, "n", F.try_divide("n", "total").alias("share"))
 
@@ -56,7 +56,7 @@ def require_coverage(weights: DataFrame, stratum: list[str]) -> DataFrame:
 
 def weighted_distribution(labelled: DataFrame, weights: DataFrame, stratum: list[str], value: str) -> DataFrame:
     """A10: weighted share and raw count of each value."""
-    joined = labelled.join(F.broadcast(weights), stratum).groupBy(value).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    joined = labelled.join(weights, stratum).groupBy(value).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
     total = joined.agg(F.sum("w").alias("total"))
     return joined.crossJoin(F.broadcast(total)).select(value, "n", F.try_divide("w", "total").alias("weighted_share"))
 
@@ -68,21 +68,24 @@ def index_percentile(sorted_values: Column, share: float) -> Column:
     return F.when(n > 0, F.get(sorted_values, at.cast("int")))
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, value: Column, weight: Column, resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """Estimate and 95 % interval of a weighted mean; whole clusters are drawn, not rows.
+def cluster_bootstrap(rows: DataFrame, cluster: str, value: Column, weight: Column, resamples: int = 1000, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """Estimate and 95 % interval of a weighted mean, of each group of ``by``; whole clusters are drawn, not rows.
 
     Rows are first summed for each cluster. Each resample draws as many clusters as
     there are, by hash of (resample, slot, seed): work is resamples x clusters, and a
     cluster meets only the slots that drew it.
     """
-    per = rows.groupBy(cluster).agg(F.sum(weight).alias("w"), F.sum(weight * value).alias("wx"))
-    numbered = dense_ids(per, [cluster], "i")
-    k = per.agg(F.count(F.lit(1)).alias("k"))
-    draws = rows.sparkSession.range(resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(k)).withColumn("slot", F.explode(F.expr("sequence(1, k)")))
-    drawn = draws.select("r", F.pmod(F.xxhash64("r", "slot", F.lit(seed + 1)), F.col("k")).cast("long").alias("i"))
-    means = drawn.groupBy("r", "i").agg(F.count(F.lit(1)).alias("times")).join(numbered, "i").groupBy("r").agg(F.try_divide(F.sum(F.col("times") * F.col("wx")), F.sum(F.col("times") * F.col("w"))).alias("m"))
-    ends = means.agg(F.sort_array(F.collect_list("m")).alias("s")).select(index_percentile(F.col("s"), 0.025).alias("low"), index_percentile(F.col("s"), 0.975).alias("high"))
-    return per.agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("estimate"), F.count(F.lit(1)).alias("clusters")).crossJoin(ends)
+    by = by or []
+    per = rows.groupBy(*by, cluster).agg(F.sum(weight).alias("w"), F.sum(weight * value).alias("wx"))
+    all_numbered = dense_ids(per, [*by, cluster], "n")
+    groups = all_numbered.groupBy(*by).agg(F.min("n").alias("base"), F.count(F.lit(1)).alias("k"))
+    draws = groups.crossJoin(rows.sparkSession.range(resamples).withColumnRenamed("id", "r")).where("k > 0").withColumn("slot", F.explode(F.expr("sequence(1, k)")))
+    drawn = draws.select(*by, "r", (F.col("base") + F.pmod(F.xxhash64("r", "slot", F.lit(seed + 1)), F.col("k"))).cast("long").alias("n"))
+    times = drawn.groupBy(*by, "r", "n").agg(F.count(F.lit(1)).alias("times"))
+    means = times.join(all_numbered.select("n", "w", "wx"), "n").groupBy(*by, "r").agg(F.try_divide(F.sum(F.col("times") * F.col("wx")), F.sum(F.col("times") * F.col("w"))).alias("m"))
+    ends = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("s")).select(*by, index_percentile(F.col("s"), 0.025).alias("low"), index_percentile(F.col("s"), 0.975).alias("high"))
+    total = per.groupBy(*by).agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("estimate"), F.count(F.lit(1)).alias("clusters"))
+    return total.join(ends, by) if by else total.crossJoin(ends)
 
 
 def grouped_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
@@ -98,19 +101,22 @@ def grouped_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
 def leave_one_out_ratio(rows: DataFrame, group: list[str], key: str, value: str, least: int = 2) -> DataFrame:
     """Each row's value over the median of the other members' positive values; null below ``least`` of them.
 
-    Each group's positive values are ranked once (no pairs): the median of the others is read
-    from the ranked values around the middle, stepping over the row's own rank.
+    All rows are ordered once over range partitions, so a group of any size is split, and a
+    positive row's rank is its place less that of its group's first (no pairs, no window
+    over a group). The median of the others is read from the ranked values around the
+    middle, stepping over the row's own rank. Rows of a null group have no peers.
     """
-    w = Window.partitionBy(*group)
-    positive = F.col(value) > 0
-    ranked = rows.withColumn("_r", F.when(positive, F.row_number().over(Window.partitionBy(*group, positive).orderBy(value, key)))).withColumn("_n", F.sum(F.when(positive, 1).otherwise(0)).over(w))
+    positive = F.coalesce(F.col(value) > 0, F.lit(False))
+    placed = dense_ids(rows.withColumn("_pos", positive), [*group, "_pos", value, key], "_at")
+    base = placed.where("_pos").groupBy(*group).agg(F.min("_at").alias("_base"), F.count(F.lit(1)).alias("_n"))
+    ranked = placed.join(base, group, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).withColumn("_r", F.when(F.col("_pos"), F.col("_at") - F.col("_base") + 1))
     mids = ranked.where("_r is not null and _r between _n div 2 - 2 and _n div 2 + 3").groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("_r", value))).alias("_mid"))
     peers = F.col("_n") - F.when(F.col("_r").isNotNull(), 1).otherwise(0)
     joined = ranked.join(mids, group, "left").withColumn("peers", peers)
 
     def at(position: Column) -> Column:
         shifted = F.when(F.col("_r").isNotNull() & (position >= F.col("_r")), position + 1).otherwise(position)
-        return F.try_element_at("_mid", shifted.cast("int"))
+        return F.try_element_at("_mid", shifted.cast("long"))
 
     low, high = F.floor((F.col("peers") + 1) / 2), F.floor((F.col("peers") + 2) / 2)
     median = F.when(F.col("peers") >= least, (at(low) + at(high)) / 2)
@@ -187,7 +193,7 @@ def _normal_cdf(x: Column) -> Column:
 def gaussian_mixture(rows: DataFrame, value: str, k: int = 2, rounds: int = 200, tol: float = 1e-8) -> dict:
     """M7: 1-D mixture by EM over distinct values; log-likelihood, BIC and, for two components, Ashman's D.
 
-    Each round is one aggregate that returns k triples of sums; starts are quantiles.
+    It ends after ``rounds``, or when the log-likelihood moves by less than ``tol``. Each round is one aggregate that returns k triples of sums; starts are quantiles.
     """
     import math
 
@@ -212,7 +218,7 @@ def gaussian_mixture(rows: DataFrame, value: str, k: int = 2, rounds: int = 200,
             aggs += [F.sum(r).alias(f"r{i}"), F.sum(r * F.col("x")).alias(f"s{i}"), F.sum(r * F.col("x") * F.col("x")).alias(f"q{i}")]
         row = counts.agg(*aggs).first()
         comps = [(max(row[f"r{i}"] / n, 1e-12), row[f"s{i}"] / max(row[f"r{i}"], 1e-300), max(row[f"q{i}"] / max(row[f"r{i}"], 1e-300) - (row[f"s{i}"] / max(row[f"r{i}"], 1e-300)) ** 2, floor)) for i in range(k)]
-        if abs(row.ll - last) < tol * max(1.0, abs(row.ll)):
+        if abs(row.ll - last) < tol:
             break
         last = row.ll
     counts.unpersist()

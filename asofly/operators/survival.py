@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 COVARIATES = ("silence_score_asof", "log_cost_index", "log_conviction_ratio")
 MIN_EVENTS = 10
+#: Thresholds up to which they are broadcast: 8 bytes each.
+FEW_CUTS = 1_000_001
 
 
 def outcomes(programs: DataFrame, labels: DataFrame, panel_end: Column) -> DataFrame:
@@ -126,12 +128,21 @@ def flags(predictions: DataFrame, score: str, cuts: DataFrame) -> DataFrame:
     """First date at which each program's score reaches each threshold.
 
     A program's first crossing of a threshold lies on a strict running maximum of its
-    scores, so only those records meet the (few, broadcast) thresholds.
+    scores, so only those records meet the thresholds. Thresholds are broadcast while
+    their number is counted to be at most ``FEW_CUTS``, as those of a hazard rounded to six
+    places always are; more of them are met through their buckets of a thousandth.
     """
     clean = predictions.where(F.col(score).isNotNull() & ~F.isnan(score))
     before = F.max(score).over(Window.partitionBy("program_id").orderBy("as_of").rowsBetween(Window.unboundedPreceding, -1))
     records = clean.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(score) > F.col("_before")))
-    hit = records.join(F.broadcast(cuts), (F.col("threshold") <= F.col(score)) & (F.col("_before").isNull() | (F.col("threshold") > F.col("_before"))))
+    met = (F.col("threshold") <= F.col(score)) & (F.col("_before").isNull() | (F.col("threshold") > F.col("_before")))
+    if cuts.count() <= FEW_CUTS:
+        hit = records.join(F.broadcast(cuts), met)
+    else:
+        bucket = lambda c: F.floor(c * 1000).cast("long")
+        low = cuts.agg(F.min(bucket(F.col("threshold")))).first()[0]
+        spans = records.withColumn("_b", F.explode(F.sequence(F.greatest(F.coalesce(bucket(F.col("_before")), F.lit(low)), F.lit(low)), F.greatest(bucket(F.col(score)), F.lit(low)))))
+        hit = spans.join(cuts.withColumn("_b", bucket(F.col("threshold"))), "_b").where(met)
     return hit.groupBy("program_id", "threshold").agg(F.min("as_of").alias("flag_date"))
 
 

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from asofly.plans import entity_queries, stat_queries, temporal_queries  # noqa: F401
+    from asofly.plans import entity_queries, record_queries, stat_queries, temporal_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -159,7 +159,7 @@ def pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: a two-part mixture of order values (iterative)."""
-    g = stats.gaussian_mixture(orders(spark, sf_dir), "o_totalprice", tol=1e-5)
+    g = stats.gaussian_mixture(orders(spark, sf_dir), "o_totalprice")
     return spark.createDataFrame([(i, *map(float, c), float(g["log_likelihood"])) for i, c in enumerate(g["components"])], "component int, weight double, mean double, variance double, log_likelihood double")
 
 

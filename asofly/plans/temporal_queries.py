@@ -10,6 +10,7 @@ from asofly.functions.scoring import archetypes, band, primary_archetype, progra
 from asofly.operators import differ, stats, survival, temporal, triage
 from asofly.plans.registry import query
 from asofly.plans.tables import AS_OF, as_of, lineitem, orders, table
+from asofly.session import materialize
 
 
 @query(f"""
@@ -116,7 +117,7 @@ SELECT event_type, count(DISTINCT (o_custkey, from_version, to_version)) AS pair
 UNION ALL SELECT NULL, count(*), 0, round(count(*) / any_value(n.pairs), 6) FROM pairs, n WHERE (o_custkey, from_version, to_version) NOT IN (SELECT (o_custkey, from_version, to_version) FROM ev)""")
 def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: pairs that fire each event type, and those that fire none."""
-    pairs = order_pairs(spark, sf_dir)
+    pairs = materialize(order_pairs(spark, sf_dir), "version-pairs")  # read three times
     return differ.noise_floor(pairs, order_events(pairs), "o_custkey").withColumn("share", F.round("share", 6))
 
 
@@ -124,7 +125,7 @@ def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, direction, count(DISTINCT (o_custkey, from_version, to_version)) AS n, round(count(DISTINCT (o_custkey, from_version, to_version)) / any_value(pairs), 6) AS share FROM ev, n GROUP BY event_type, direction""")
 def event_direction_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types by direction."""
-    pairs = order_pairs(spark, sf_dir)
+    pairs = materialize(order_pairs(spark, sf_dir), "version-pairs")
     return differ.direction_mix(pairs, order_events(pairs), "o_custkey").withColumn("share", F.round("share", 6))
 
 

@@ -157,11 +157,18 @@ def read_markdown_table(spark: SparkSession, path: str, columns: list[str]) -> D
     return rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(columns)])
 
 
+#: Rows of the longest report table.
+REPORT_ROWS = 2000
+
+
 def markdown_table(df: DataFrame, title: str) -> str:
-    """A small result as a Markdown table (reports are a bounded number of rows on the driver)."""
+    """A small result as a Markdown table; one of more than ``REPORT_ROWS`` rows is refused, not cut: it should be written as a table."""
     head = df.columns
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"more than {REPORT_ROWS} rows: write them as a table")
     lines = [f"## {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.collect()]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
