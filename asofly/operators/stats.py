@@ -230,17 +230,39 @@ def gaussian_mixture(rows: DataFrame, value: str, k: int = 2, rounds: int = 200,
 
 
 def correlation_pca(rows: DataFrame, columns: list[str]) -> dict:
-    """M8: correlation matrix, its eigenvalues and condition number, of complete rows; sums of products in one aggregate."""
+    """M8: correlation matrix, its eigenvalues and condition number, of complete rows.
+
+    One pass for the means, one for the products of centred values: a task adds up a
+    matrix of its rows, and the matrices are added by place, so what reaches the driver is
+    one matrix. A constant column correlates with nothing.
+    """
     import numpy as np
 
-    clean = rows.select(*columns).na.drop()
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = clean.agg(*[F.coalesce(F.corr(columns[i], columns[j]), F.lit(1.0 if i == j else 0.0)).alias(f"c{i}_{j}") for i, j in pairs], F.count(F.lit(1)).alias("n")).first()
-    m = np.eye(len(columns))
-    for i, j in pairs:
-        m[i, j] = m[j, i] = row[f"c{i}_{j}"]
+    d = len(columns)
+    clean = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    first = clean.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], F.count(F.lit(1)).alias("n")).first()
+    means = np.array([first[f"m{i}"] or 0.0 for i in range(d)])
+
+    def products(batches):
+        import pyarrow as pa
+
+        total = np.zeros((d, d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - means
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.reshape(-1))], ["at", "s"])
+
+    sums = clean.mapInArrow(products, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect()
+    cov = np.zeros(d * d)
+    for r in sums:
+        cov[r["at"]] = r.s
+    cov = cov.reshape(d, d)
+    scale = np.sqrt(np.diag(cov))
+    flat = np.outer(scale, scale)
+    m = np.divide(cov, flat, out=np.zeros((d, d)), where=flat > 0)
+    np.fill_diagonal(m, 1.0)
     values, vectors = np.linalg.eigh(m)
-    return {"n": row.n, "correlation": m, "eigenvalues": values[::-1], "vectors": vectors[:, ::-1], "condition": float(values[-1] / max(values[0], 1e-300))}
+    return {"n": first.n, "correlation": m, "eigenvalues": values[::-1], "vectors": vectors[:, ::-1], "condition": float(values[-1] / max(values[0], 1e-300))}
 
 
 def ols_residuals(rows: DataFrame, y: str, x: str, name: str = "residual") -> DataFrame:

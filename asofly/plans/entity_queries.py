@@ -40,18 +40,19 @@ def combo_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.shared_members(j, "l_suppkey", "l_partkey", "ok_supplier")
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity >= 45), a AS (SELECT l_partkey, list_sort(list(l_suppkey)) AS all_ FROM m GROUP BY l_partkey)
-SELECT l_suppkey, l_partkey, array_to_string(list_filter(all_, lambda x: x <> l_suppkey), ',') AS shared_with FROM m JOIN a USING (l_partkey)""")
+_SHARED_SQL = """WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), a AS (SELECT l_partkey, list_sort(list(l_suppkey)) AS all_ FROM m GROUP BY l_partkey)
+SELECT l_suppkey, l_partkey, array_to_string(list_filter(all_, lambda x: x <> l_suppkey), ',') AS shared_with FROM m JOIN a USING (l_partkey)"""
+
+
+@query(_SHARED_SQL)
 def shared_with(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each supplier and part, the other suppliers of the part, by large lines; ``shared_with_all`` takes every line."""
-    m = lineitem(spark, sf_dir).where("l_quantity >= 45")
-    return E.shared_with(m, "l_suppkey", "l_partkey").withColumn("shared_with", F.array_join("shared_with", ","))
+    """For each supplier and part, the other suppliers of the part, over every line."""
+    return shared_with_all(spark, sf_dir)
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), a AS (SELECT l_partkey, list_sort(list(l_suppkey)) AS all_ FROM m GROUP BY l_partkey)
-SELECT l_suppkey, l_partkey, array_to_string(list_filter(all_, lambda x: x <> l_suppkey), ',') AS shared_with FROM m JOIN a USING (l_partkey)""")
+@query(_SHARED_SQL)
 def shared_with_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``shared_with``, over every line."""
+    """As ``shared_with``; the name under which it was first registered for every line."""
     return E.shared_with(lineitem(spark, sf_dir), "l_suppkey", "l_partkey").withColumn("shared_with", F.array_join("shared_with", ","))
 
 
@@ -95,36 +96,58 @@ def payload_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_names(spark, sf_dir).select("p_partkey", X.payload_class(F.array("name")).alias("chemotype"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_partkey % 40 = 0 AND l_quantity > 35),
+@query()
+def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: components of suppliers and parts linked by any line; too slow as recursive SQL, so tested against union-find."""
+    return entity_components_all(spark, sf_dir)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON left(b.n_name, 1) = left(a.n_name, 1)),
 v AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x AS root FROM v UNION SELECT v.y, r.root FROM r JOIN v ON v.x = r.x)
 SELECT x AS vertex, min(root) AS component FROM r GROUP BY x""")
-def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: components of suppliers and parts linked by large lines of every fortieth part; ``entity_components_all`` takes every line."""
-    e = lineitem(spark, sf_dir).where("l_partkey % 40 = 0 and l_quantity > 35").select("l_suppkey", (F.col("l_partkey") + 1000000).alias("part"))
-    return connected_components(e, "l_suppkey", "part")
+def nation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: components of nations by their first letter, linked along a chain; small enough for recursive SQL."""
+    from pyspark.sql import Window
+
+    n = table(spark, sf_dir, "nation").withColumn("letter", F.substring("n_name", 1, 1))
+    e = n.withColumn("before", F.coalesce(F.lag("n_nationkey").over(Window.partitionBy("letter").orderBy("n_nationkey")), F.col("n_nationkey")))
+    return connected_components(e, "n_nationkey", "before")
 
 
 @query()
 def entity_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: components of suppliers and parts linked by any line (too slow as recursive SQL)."""
+    """G1: as ``entity_components``; the name under which it was first registered for every line."""
     e = lineitem(spark, sf_dir).select("l_suppkey", (F.col("l_partkey") + 1000000).alias("part"))
     return connected_components(e, "l_suppkey", "part")
 
 
-_ALIAS = {t: V.TARGET_ALIASES[t] for t in ("ERBB2", "CD22", "DLL3")}
+def _named(c: str) -> str:
+    """SQL list of the targets whose aliases a text has. Its expressions know no look-ahead: the one alias with it is a match that isn't one of "receptor 2"."""
+
+    def one(alias: str) -> str:
+        plain, ahead, tail = alias.partition("(?!")
+        hit = f"regexp_matches({c}, '(?i){plain}')"
+        return f"({hit} AND NOT regexp_matches({c}, '(?i){plain}{tail[:-1]}'))" if ahead else hit
+
+    return "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(map(one, aliases))} THEN '{t}' END" for t, aliases in V.TARGET_ALIASES.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query("""WITH n AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Trastuzumab xyz' WHEN 1 THEN 'anti-CD22 conjugate' ELSE 'abc-1' END AS name, left(text, 60) || CASE doc_id % 4 WHEN 0 THEN ' targets DLL3' WHEN 1 THEN ' HER2 and CD22' ELSE '' END AS snippet FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'ERBB2' WHEN doc_id % 4 = 0 THEN 'DLL3' WHEN doc_id % 6 = 1 THEN 'CD22' END AS target,
-  CASE WHEN doc_id % 6 = 0 THEN 'stem' WHEN doc_id % 4 = 0 THEN 'trial_text' WHEN doc_id % 6 = 1 THEN 'name' ELSE 'unresolved' END AS source FROM n""")
+_STEMS = " ".join(f"WHEN contains(lower(name), '{s}') THEN '{t}'" for s, t in V.STEM_TARGETS.items())
+_TARGET_SQL = f"""WITH n AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Trastuzumab xyz' WHEN 1 THEN 'anti-CD22 conjugate' ELSE 'abc-1' END AS name, text || CASE doc_id % 4 WHEN 0 THEN ' targets DLL3' WHEN 1 THEN ' HER2 and CD22' ELSE '' END AS snippet FROM documents),
+h AS (SELECT doc_id, CASE {_STEMS} END AS stem, {_named('snippet')} AS t, {_named('name')} AS m FROM n)
+SELECT doc_id, coalesce(stem, CASE WHEN len(t) = 1 THEN t[1] END, CASE WHEN len(m) = 1 THEN m[1] END) AS target,
+  CASE WHEN stem IS NOT NULL THEN 'stem' WHEN len(t) = 1 THEN 'trial_text' WHEN len(m) = 1 THEN 'name' ELSE 'unresolved' END AS source FROM h"""
+
+
+@query(_TARGET_SQL)
 def target_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets by tiers of evidence in the heads of texts; an ambiguous text resolves nothing."""
-    return targets(spark, sf_dir, F.substring("text", 1, 60))
+    """targets by tiers of evidence in whole texts; an ambiguous text resolves nothing. The SQL looks for the same stems and aliases."""
+    return targets(spark, sf_dir, F.col("text"))
 
 
-@query()
+@query(_TARGET_SQL)
 def target_resolution_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``target_resolution``, with the whole texts searched."""
+    """as ``target_resolution``; the name under which it was first registered for whole texts."""
     return targets(spark, sf_dir, F.col("text"))
 
 

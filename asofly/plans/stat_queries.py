@@ -150,8 +150,10 @@ def corr_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8: eigenvalues of the correlation matrix of the first embedding coordinates (iterative linear algebra)."""
-    e = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)])
+    """M8: eigenvalues of the correlation matrix of all embedding coordinates (iterative linear algebra)."""
+    e = table(spark, sf_dir, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e = e.select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(width)])
     p = stats.correlation_pca(e, e.columns)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(p["eigenvalues"])], "component int, eigenvalue double")
 
@@ -175,37 +177,37 @@ def hazard_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REASONS_SQL = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower(r), '" + p.replace("'", "''") + "')" for p in ps) + f" THEN '{k}'" for k, ps in V.STATED_REASONS.items()) + " ELSE 'unknown_silent' END"
-_REASON_SQL = f"""r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'short' ELSE left(text, 40) || CASE doc_id % 5 WHEN 0 THEN ' business decision after an interim analysis' WHEN 1 THEN ' slow recruitment' WHEN 2 THEN ' Dose-Limiting toxicity' WHEN 3 THEN ' funding' ELSE '' END END AS r FROM documents),
+_REASON_SQL = f"""r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'short' ELSE text || CASE doc_id % 5 WHEN 0 THEN ' business decision after an interim analysis' WHEN 1 THEN ' slow recruitment' WHEN 2 THEN ' Dose-Limiting toxicity' WHEN 3 THEN ' funding' ELSE '' END END AS r FROM documents),
 s AS (SELECT doc_id, CASE WHEN length(trim(r)) >= 15 THEN {_REASONS_SQL} END AS stated FROM r)"""
 
 
-_WHOLE_SQL = _REASON_SQL.replace("left(text, 40)", "text")
+_WHOLE_SQL = _REASON_SQL
 
 
-def stated(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.expr("case doc_id % 5 when 0 then ' business decision after an interim analysis' when 1 then ' slow recruitment' when 2 then ' Dose-Limiting toxicity' when 3 then ' funding' else '' end")
-    r = F.when(F.col("doc_id") % 7 == 0, "short").otherwise(F.concat(F.col("text") if whole else F.substring("text", 1, 40), tail))
+    r = F.when(F.col("doc_id") % 7 == 0, "short").otherwise(F.concat("text", tail))
     return table(spark, sf_dir, "documents").select("doc_id", stated_reason(r).alias("stated"))
 
 
 @query(f"WITH {_REASON_SQL} SELECT stated, count(*) AS n FROM s GROUP BY stated")
 def reason_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """classes of stop reasons written into document heads."""
+    """classes of stop reasons written anywhere in the documents."""
     return stated(spark, sf_dir).groupBy("stated").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_WHOLE_SQL} SELECT stated, count(*) AS n FROM s GROUP BY stated")
 def reason_classifier_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """classes of stop reasons written anywhere in the documents."""
-    return stated(spark, sf_dir, whole=True).groupBy("stated").agg(F.count(F.lit(1)).alias("n"))
+    return stated(spark, sf_dir).groupBy("stated").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TRUE_SQL = "t AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxicity_safety' WHEN quality = 0 THEN 'futility_efficacy' ELSE 'accrual_failure' END AS truth FROM labels)"
 
 
-def stated_and_true(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def stated_and_true(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxicity_safety").when(F.col("quality") == 0, "futility_efficacy").otherwise("accrual_failure").alias("truth"))
-    return stated(spark, sf_dir, whole).join(t, "doc_id").where("stated is not null")
+    return stated(spark, sf_dir).join(t, "doc_id").where("stated is not null")
 
 
 @query(f"WITH {_REASON_SQL}, {_TRUE_SQL} SELECT stated, truth, count(*) AS n FROM s JOIN t USING (doc_id) WHERE stated IS NOT NULL GROUP BY ALL")
@@ -222,14 +224,14 @@ def stated_vs_true(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_WHOLE_SQL}, {_TRUE_SQL} SELECT stated, truth, count(*) AS n FROM s JOIN t USING (doc_id) WHERE stated IS NOT NULL GROUP BY ALL")
 def confusion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``confusion``, with the whole texts searched."""
-    return L.confusion(stated_and_true(spark, sf_dir, whole=True), "stated", "truth")
+    """As ``confusion``; the name under which it was first registered for whole texts."""
+    return L.confusion(stated_and_true(spark, sf_dir), "stated", "truth")
 
 
 @query(f"WITH {_WHOLE_SQL}, {_TRUE_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE stated = truth) AS agree, round(count(*) FILTER (WHERE stated = truth) / count(*), 6) AS rate FROM s JOIN t USING (doc_id) WHERE stated IS NOT NULL")
 def stated_vs_true_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``stated_vs_true``, with the whole texts searched."""
-    return L.agreement(stated_and_true(spark, sf_dir, whole=True), "stated", "truth").withColumn("rate", F.round("rate", 6))
+    """As ``stated_vs_true``; the name under which it was first registered for whole texts."""
+    return L.agreement(stated_and_true(spark, sf_dir), "stated", "truth").withColumn("rate", F.round("rate", 6))
 
 
 @query("""WITH k AS (SELECT lang, sum(toxic) AS k, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang)
@@ -253,14 +255,14 @@ def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.self_consistency(r, ["quality"]).withColumn("rate", F.round("rate", 6))
 
 
-@query("""WITH s AS (SELECT p_brand, s_nationkey % 5 AS region, p_size > 25 AS is_dead FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1 AND l_returnflag = 'R'),
+@query("""WITH s AS (SELECT p_brand, s_nationkey % 5 AS region, p_size > 25 AS is_dead FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
 c AS (SELECT p_brand, region, count(*) FILTER (WHERE NOT is_dead) AS n_live, count(*) FILTER (WHERE is_dead) AS n_dead FROM s GROUP BY ALL)
 SELECT p_brand, region, n_live, n_dead, CASE WHEN n_live + n_dead = 0 THEN 'untested_white_space' WHEN n_live + n_dead < 5 THEN 'insufficient_evidence' WHEN n_live >= 5 AND n_dead = 0 THEN 'red_ocean' WHEN n_dead >= 5 AND n_live < 5 THEN 'graveyard' ELSE 'contested_and_hard' END AS quadrant FROM c""")
 def matrix_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live and dead parts of each cell of brand and region, and its reading."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("region"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    j = lineitem(spark, sf_dir).where("l_linenumber = 1 and l_returnflag = 'R'").join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    j = lineitem(spark, sf_dir).join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return triage.matrix(j.withColumn("is_dead", F.col("p_size") > 25), ["p_brand", "region"])
 
 

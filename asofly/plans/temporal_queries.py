@@ -306,40 +306,30 @@ def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("cumulative", F.sum("n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-SWEEP_SQL = f"""{PANEL_SQL},
+SWEEP_SQL = f"""WITH {PANEL_SQL},
 p AS (SELECT o_custkey, as_of, round_even(45 * (1 - exp(-date_diff('day', d, as_of) / 365.0)), 1) AS score FROM panel WHERE d IS NOT NULL),
-cut AS (SELECT unnest(CAST([5, 10, 20, 30, 40] AS DOUBLE[])) AS threshold),
+cut AS (SELECT DISTINCT round(score, 6) AS threshold FROM p),
 f AS (SELECT o_custkey, threshold, min(as_of) AS flag_date FROM p JOIN cut ON score >= threshold GROUP BY o_custkey, threshold),
-g AS (SELECT c_custkey, c_acctbal < 0 AS dead, DATE '1999-01-01' AS event_month FROM customer)"""
-
-
-@query(f"""WITH {SWEEP_SQL}
+g AS (SELECT c_custkey, c_acctbal < 0 AS dead, DATE '1999-01-01' AS event_month FROM customer)
 SELECT threshold, count(flag_date) AS n_flagged, count(*) FILTER (WHERE dead AND flag_date IS NOT NULL) AS n_correct, round(count(*) FILTER (WHERE dead AND flag_date IS NOT NULL) / nullif(count(flag_date), 0), 6) AS precision,
   round(count(*) FILTER (WHERE dead AND flag_date IS NOT NULL) / (SELECT count(*) FROM g WHERE dead), 6) AS recall, median(date_diff('day', event_month, flag_date)) FILTER (WHERE dead) AS median_lead_days
-FROM cut LEFT JOIN f USING (threshold) LEFT JOIN g ON c_custkey = o_custkey GROUP BY threshold""")
+FROM cut LEFT JOIN f USING (threshold) LEFT JOIN g ON c_custkey = o_custkey GROUP BY threshold"""
+
+
+@query(SWEEP_SQL)
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision, recall and lead time of a staleness threshold against an outcome."""
+    """Precision, recall and lead time of every observed staleness as a threshold, against an outcome."""
     p = asof_month_panel(spark, sf_dir).where("staleness is not null").withColumnRenamed("o_custkey", "program_id")
-    cuts = spark.createDataFrame([(x,) for x in (5.0, 10.0, 20.0, 30.0, 40.0)], "threshold double")
+    cuts = survival.thresholds(p, "staleness")
     out = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("program_id"), F.when(F.col("c_acctbal") < 0, "dead").otherwise("censored").alias("outcome"), F.lit("1999-01-01").cast("date").alias("event_month"))
     c = survival.curve(survival.flags(p, "staleness", cuts), out, cuts)
     return c.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
-OBSERVED_SQL = SWEEP_SQL.replace("SELECT unnest(CAST([5, 10, 20, 30, 40] AS DOUBLE[])) AS threshold", "SELECT DISTINCT round(score, 6) AS threshold FROM p")
-
-
-@query(f"""WITH {OBSERVED_SQL}
-SELECT threshold, count(flag_date) AS n_flagged, count(*) FILTER (WHERE dead AND flag_date IS NOT NULL) AS n_correct, round(count(*) FILTER (WHERE dead AND flag_date IS NOT NULL) / nullif(count(flag_date), 0), 6) AS precision,
-  round(count(*) FILTER (WHERE dead AND flag_date IS NOT NULL) / (SELECT count(*) FROM g WHERE dead), 6) AS recall, median(date_diff('day', event_month, flag_date)) FILTER (WHERE dead) AS median_lead_days
-FROM cut LEFT JOIN f USING (threshold) LEFT JOIN g ON c_custkey = o_custkey GROUP BY threshold""")
+@query(SWEEP_SQL)
 def threshold_sweep_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``threshold_sweep``, at every staleness that was observed."""
-    p = asof_month_panel(spark, sf_dir).where("staleness is not null").withColumnRenamed("o_custkey", "program_id")
-    cuts = survival.thresholds(p, "staleness")
-    out = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("program_id"), F.when(F.col("c_acctbal") < 0, "dead").otherwise("censored").alias("outcome"), F.lit("1999-01-01").cast("date").alias("event_month"))
-    c = survival.curve(survival.flags(p, "staleness", cuts), out, cuts)
-    return c.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+    """As ``threshold_sweep``; the name under which it was first registered for observed thresholds."""
+    return threshold_sweep(spark, sf_dir)
 
 
 @query(f"""
