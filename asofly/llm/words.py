@@ -53,7 +53,7 @@ ENTRY_BYTES, LONG_ENTRY = 180, 2048
 class Generations:
     """Map in two generations, bounded in entries and bytes: a full young one becomes the old one, whose entries move back when used."""
 
-    def __init__(self, limit: int, most_bytes: int = 48 << 20):
+    def __init__(self, limit: int, most_bytes: int = 40 << 20):
         self.limit, self.most_bytes = limit, most_bytes
         self.size = 0
         self.young: dict = {}
@@ -84,9 +84,9 @@ class WordCache:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.encode, self.encode_whole = encode, encode_whole
-        self.pieces, self.words = Generations(limit), Generations(limit, 12 << 20)
+        self.pieces, self.words = Generations(limit), Generations(limit, 10 << 20)
 
-    def pack(self, texts: Iterable[str | None], block_pieces: int = 50_000) -> list[bytes]:
+    def pack(self, texts: Iterable[str | None], block_pieces: int = 100_000) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
         # Blocks are many small live objects and no cycles: the collector would walk them again and again.
         gc.disable()
@@ -147,7 +147,7 @@ class WordCache:
         return found
 
 
-def slices(batches: Iterable, rows: int = 512):
+def slices(batches: Iterable, rows: int = 2048):
     """The batches in slices of a few rows, so that a worker holds few texts as Python objects at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
