@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofly.llm.words import library_cache, slices
-from asofly.session import materialize, scratch_path, scratch_scope
+from asofly.session import materialize, scratch_path
 
+PARTS = pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_null", pa.int64())])
 #: Bytes of ids in a part: the most, and the least that is split off to give all cores work.
 MOST_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
 
@@ -55,21 +56,8 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def encode(docs: DataFrame, path: str, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids, sum): the packed ids of every text with ``end_id`` behind them, in the vocabulary's id type, and their checksum."""
-    source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    width = id_type(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        cache, last = library_cache(path), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
-            packed = [x + last for x in cache.pack(batch.column(1).to_pylist())]
-            ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in packed]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(zlib.crc32, ids), pa.int64())], ["key", "ids", "sum"])
-
-    return source.mapInArrow(run, "key long, ids binary, sum long")
+#: Keys sampled for each part to find the parts' bounds.
+SAMPLED_KEYS = 50
 
 
 def parts_for(n_bytes: int, tasks: int) -> int:
@@ -77,51 +65,81 @@ def parts_for(n_bytes: int, tasks: int) -> int:
     return max(1, -(-n_bytes // MOST_BYTES), min(tasks, -(-n_bytes // LEAST_BYTES)))
 
 
+def _place(row) -> tuple[int, int, int]:
+    """Order of a (key, hash of the text): null keys first, rows of one key by hash."""
+    return (row[0] is not None, row[0] or 0, row[1])
+
+
+def part_bounds(rows: DataFrame, n: int, count: int) -> list[tuple[int, int, int]]:
+    """The first places of the parts behind the first, from a sample of (key, hash): some keys for each part, on the driver."""
+    share = min(1.0, SAMPLED_KEYS * n / max(count, 1))
+    places = sorted(map(_place, rows.sample(share, seed=1).collect() if share < 1 else rows.collect()))
+    return sorted({places[len(places) * k // n] for k in range(1, n)}) if places else []
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 1, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> DataFrame:
     """Encode ``docs`` and write the parts in ascending key order; (part, name, n_docs, n_ids, n_null) for each.
 
-    Null texts are empty; null keys sort first, and their number is kept beside the
-    part. Rows with equal keys are ordered by their ids, so a repeated task writes the
-    same again, and many rows of one key spread over parts. An empty table has parts
-    without documents.
+    The parts' bounds come from a sample of keys, so each text is encoded once, where it
+    lies, and only its packed ids are shuffled. Null texts are empty; null keys sort first,
+    and their number is kept beside the part. Rows with equal keys are ordered by a hash
+    of their text and their ids, so a repeated task writes the same again, and many rows of
+    one key spread over parts. An empty table has no parts.
     """
     spark = docs.sparkSession
     width = id_type(path)
-    with scratch_scope(spark):
-        encoded = materialize(encode(docs, path, end_id, text, key), "token-ids")
-        total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-        n = partitions or parts_for(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        order = [F.col("key").asc_nulls_first(), "sum", "ids"]
-        source = encoded.repartitionByRange(n, F.col("key").asc_nulls_first(), "sum").sortWithinPartitions(*order).select("key", "ids")
+    source = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
+    size = source.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    # a token is about four bytes of text, and two of ids
+    n = partitions or parts_for((size.bytes or 0) // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = part_bounds(source.select("key", "hash"), n, size.n)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_right
+
+        import numpy as np
+
+        cache, last = library_cache(path), np.array([end_id], "<u4").tobytes()
+        for batch in slices(batches):
+            places = map(_place, zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            part = pa.array([bisect_right(bounds, place) for place in places], pa.int32())
+            ids = pa.array([np.frombuffer(x + last, "<u4").astype(width).tobytes() for x in cache.pack(batch.column(2).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([part, batch.column(0), batch.column(1), ids], ["part", "key", "hash", "ids"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import uuid
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+        from contextlib import ExitStack
+        from itertools import groupby
 
-            import numpy as np
-            from pyspark import TaskContext
+        import numpy as np
 
-            part = TaskContext.get().partitionId()
+        def rows():
+            for batch in slices(batches):
+                yield from zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+
+        store, root = _open_fs(folder)
+        store.create_dir(root, recursive=True)
+        item = np.dtype(width).itemsize
+        for part, group in groupby(rows(), lambda row: row[0]):
             name = f"part-{part:06d}-{uuid.uuid4().hex}"
-            store, root = _open_fs(folder)
-            store.create_dir(root, recursive=True)
             n_docs = n_ids = n_null = 0
-            with store.open_output_stream(f"{root}/{name}.ids") as ids, store.open_output_stream(f"{root}/{name}.off") as off:
-                for batch in batches:
-                    packed = batch.column(1).to_pylist()
-                    ids.write(b"".join(packed))
-                    ends = n_ids + np.cumsum([len(x) // np.dtype(width).itemsize for x in packed], dtype="<i8")
-                    off.write(np.column_stack([batch.column(0).fill_null(0).to_numpy(), ends]).astype("<i8").tobytes())
-                    n_docs, n_null = n_docs + len(packed), n_null + batch.column(0).null_count
-                    n_ids = int(ends[-1]) if len(ends) else n_ids
-            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": n_docs, "n_ids": n_ids, "n_null": n_null}], pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_null", pa.int64())]))
+            with ExitStack() as stack:
+                ids, off = (stack.enter_context(store.open_output_stream(f"{root}/{name}.{kind}", buffer_size=1 << 20)) for kind in ("ids", "off"))
+                for _, k, packed in group:
+                    n_docs, n_ids, n_null = n_docs + 1, n_ids + len(packed) // item, n_null + (k is None)
+                    ids.write(packed)
+                    off.write(np.array([k or 0, n_ids], "<i8").tobytes())
+            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": n_docs, "n_ids": n_ids, "n_null": n_null}], PARTS)
 
-        return materialize(source.mapInArrow(run, "part int, name string, n_docs long, n_ids long, n_null long"), "token-parts", keep=True)
+    packed = source.mapInArrow(encode, "part int, key long, hash long, ids binary").repartitionById(n, "part")
+    ordered = packed.sortWithinPartitions("part", F.col("key").asc_nulls_first(), "hash", "ids").select("part", "key", "ids")
+    return materialize(ordered.mapInArrow(write, "part int, name string, n_docs long, n_ids long, n_null long"), "token-parts", keep=True)
 
 
 def part_bases(parts: DataFrame) -> list[Part]:
     """The parts in order, each with its base, by a prefix sum: a row for each file on the driver, never one for a document."""
     out, base = [], 0
-    for row in sorted(parts.where("n_docs > 0").collect(), key=lambda r: r.part):
+    for row in sorted(parts.collect(), key=lambda r: r.part):
         out.append(Part(row.name, base, row.n_docs, row.n_null))
         base += row.n_ids
     return out
