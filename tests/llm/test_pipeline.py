@@ -128,3 +128,40 @@ def test_secrets_null_and_repeated_keys(spark):
 def test_edges_quality(spark):
     rows = [(None, "the " + " ".join(f"word{i}" for i in range(12))), (1, "the " + " ".join(f"word{i}" for i in range(12))), (1, None), (2, "")]
     assert kept(keep_good(edge(spark, rows))) == sorted(rows[:2], key=str)
+
+
+def test_stages_on_edge_rows(spark):
+    """All stages in a row over very long texts, near copies, null and repeated keys, repeated rows and clashing columns."""
+    from asofly.llm.vocab import WORD_BPE, tokenizer_path
+    from asofly.llm.words import library_whole
+
+    def text(name, n=40):
+        return "the " + " ".join(f"{name}{i}" for i in range(n))
+
+    long = text("w", 60_000)
+    rows = [
+        (1, long), (2, long + " end"), (3, text("a")), (3, text("b")), (None, text("c") + " token: abcdef99"), (None, None), (5, ""), (6, text("d")), (6, text("d")), (7, text("E")), (8, text("e")), (None, text("f") + " token: abcdef99 " + text("g")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_chars": F.length("text")} | {c: F.lit("clash") for c in ("key", "piece", "start", "length", "bin", "offset", "part", "underfull", "sequence_id", "_tag", "w0", "rep", "batch", "digest", "lost")})
+    columns = docs.columns
+    kept_rows = [sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == columns, name
+        kept_rows.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=str))
+        assert docs.where("key <> 'clash' or lost <> 'clash'").count() == 0
+    hidden = [(k, t.replace("token: abcdef99", "[assign]")) for k, t in rows if k is None and t]
+    want = [(1, long), (3, text("a")), (3, text("b")), (6, text("d")), (8, text("e")), *hidden]
+    assert kept_rows[-1] == sorted(want, key=str)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    sizes = Counter()
+    for r in packed:
+        sizes[r.doc_id] += r.length
+    ids = library_whole(tokenizer_path(WORD_BPE))
+    real = Counter()
+    for k, t in want:
+        real[k] += len(ids([t])[0]) // 4 + 1
+    assert sizes == real and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs.limit(0), "") if "text" in docs.columns else docs
+        assert docs.count() == 0
