@@ -53,7 +53,7 @@ ENTRY_BYTES, LONG_ENTRY = 180, 2048
 class Generations:
     """Map in two generations, bounded in entries and bytes: a full young one becomes the old one, whose entries move back when used."""
 
-    def __init__(self, limit: int, most_bytes: int = 40 << 20):
+    def __init__(self, limit: int, most_bytes: int = 56 << 20):
         self.limit, self.most_bytes = limit, most_bytes
         self.size = 0
         self.young: dict = {}
@@ -84,7 +84,7 @@ class WordCache:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.encode, self.encode_whole = encode, encode_whole
-        self.pieces, self.words = Generations(limit), Generations(limit, 10 << 20)
+        self.pieces, self.words = Generations(limit), Generations(limit, 20 << 20)
 
     def pack(self, texts: Iterable[str | None], block_pieces: int = 100_000) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
@@ -133,11 +133,14 @@ class WordCache:
                 split[p] = words
                 for w in words:
                     if w not in wanted:
-                        wanted[w] = self.words.get(w)
+                        # a word that is a piece too is kept with the pieces only
+                        known = self.words.get(w)
+                        wanted[w] = self.pieces.get(w) if known is None else known
         new = [w for w, known in wanted.items() if known is None]
         for w, ids in zip(new, self.encode(new), strict=True):
             wanted[w] = ids
-            self.words.put(w, ids)
+            if w not in missing:
+                self.words.put(w, ids)
         get = wanted.__getitem__
         for p, words in split.items():
             found[p] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
