@@ -136,7 +136,8 @@ def test_stages_on_edge_rows(spark):
     from asofly.llm.words import library_whole
 
     def text(name, n=40):
-        return "the " + " ".join(f"{name}{i}" for i in range(n))
+        # a function word now and then, as the quality rules ask for
+        return "the " + " ".join(f"{name}{i}" + (" the" if i % 20 == 9 else "") for i in range(n))
 
     long = text("w", 60_000)
     rows = [
