@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from asofly.llm import html_text, quality, secrets
 from asofly.llm.bpe_trie import bpe_round_trip
+from asofly.llm.divergence import MIN_DOCS, TOP_TERMS, divergence
 from asofly.llm.exact_dedup import exact_dedup
 from asofly.llm.packing import pack_documents
+from asofly.llm.ranked_search import ranked_search
 from asofly.llm.simhash import near_duplicates
 from asofly.llm.token_counts import token_counts
 from asofly.llm.token_files import token_files
@@ -65,8 +67,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents(spark, sf_dir))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_simhash, op5_token_files, op6_quality_rules, op7_warc, op8_bpe_round_trip, op9_html_extraction, op10_secret_scans]
+    made = [
+        op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_simhash, op5_token_files, op6_quality_rules, op7_warc, op8_bpe_round_trip, op9_html_extraction, op10_secret_scans,
+        op11_source_divergence, op12_ranked_search,
+    ]
     return {f.__name__: f for f in made}
 
 
@@ -161,5 +174,67 @@ FROM w
 """
 
 
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _share(n: str, total: str) -> str:
+    return f"CASE WHEN v > 0 THEN 1 + CAST(1000000000 AS HUGEINT) * ({n} + 5) // ({total} + 5 * v) ELSE 0 END"
+
+
+OP11_SQL = f"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {MIN_DOCS}
+), v AS (
+  SELECT lang, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang
+), k AS (
+  SELECT c.*, sum(n) OVER (PARTITION BY lang, term) AS lang_n FROM c JOIN kept USING (lang, term)
+), s AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN k USING (lang, source) GROUP BY ALL
+), g AS (
+  SELECT s.*, v, sum(total) OVER (PARTITION BY lang) AS lang_total FROM s JOIN v USING (lang)
+), dense AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, {_share("coalesce(n, 0)", "total")} AS p FROM g JOIN kept USING (lang) LEFT JOIN k USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), over_used AS (
+  SELECT k.lang, k.source, k.term AS item, {_share("k.n", "total")} - ({_share("lang_n", "lang_total")}) AS value FROM k JOIN g USING (lang, source)
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', item, value FROM over_used WHERE value > 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS place FROM r
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR place <= {TOP_TERMS}
+"""
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (
+  SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM t
+), b AS (
+  SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest(regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), f AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM t) WHERE term IN (SELECT term FROM b) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, s GROUP BY term, n_docs
+), p AS (
+  SELECT doc_id, term, w * (1000000000 * tf // (1000 * tf + 8 * (25 + 75 * n * n_docs // n_terms))) AS points FROM f JOIN w USING (term), s
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * points) AS BIGINT) AS score FROM b JOIN p USING (term) GROUP BY ALL HAVING sum(repeats * points) > 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM r
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM o WHERE place <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL, "op10_secret_scans": OP10_SQL}
+    return {
+        "op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL, "op10_secret_scans": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_ranked_search": OP12_SQL,
+    }
