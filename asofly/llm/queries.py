@@ -15,6 +15,7 @@ from asofly.llm.ranked_search import ranked_search
 from asofly.llm.simhash import near_duplicates
 from asofly.llm.token_counts import token_counts
 from asofly.llm.token_files import token_files
+from asofly.llm.toxicity import toxicity
 from asofly.llm.vocab import PIECE_BPE, WORD_BPE, tokenizer_path
 from asofly.llm.warc import warc_round_trip
 
@@ -75,10 +76,14 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [
         op1_best_fit_packing, op2_token_counts, op3_exact_dedup, op4_simhash, op5_token_files, op6_quality_rules, op7_warc, op8_bpe_round_trip, op9_html_extraction, op10_secret_scans,
-        op11_source_divergence, op12_ranked_search,
+        op11_source_divergence, op12_ranked_search, op13_toxicity,
     ]
     return {f.__name__: f for f in made}
 
