@@ -5,9 +5,9 @@ inside it they cut letters, single digits and runs of other characters apart, so
 the ids of a text are the ids of its words in a row. A worker therefore encodes
 each distinct word once and joins packed bytes.
 
-Texts whose characters all lie in a plain range (below) are split by a regular
-expression here; any other text is cut at white space, and the pieces go to the
-tokenizers library whole.
+Texts whose characters all lie in a plain range (below) are split by one regular
+expression; any other text is cut at white space, plain pieces of it are split alike, and
+the others go to the tokenizers library whole.
 """
 
 from __future__ import annotations
@@ -26,16 +26,38 @@ WORD = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]"
     "|[^\\s0-9a-zß-öø-ſ]+"
 )
+#: The same for texts without an apostrophe.
+PLAIN_WORD = re.compile("[a-zß-öø-ſ]+|[0-9]|[^\\s0-9a-zß-öø-ſ]+")
 #: What may stand inside a special token; texts that hold such a string take the library's way.
 SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 WHITE = re.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
 
 
-def split_piece(piece: str) -> list[str] | None:
-    """Words of a piece between white space; None if only the library can split it."""
-    if UNUSUAL.search(piece) or SPECIAL.search(piece):
+def split_words(text: str) -> list[str] | None:
+    """Words of a text or a piece of one; None if only the library can split it."""
+    if text.isascii():
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            return None
+    elif UNUSUAL.search(text):
         return None
-    return WORD.findall(piece.lower())
+    if "<|" in text and SPECIAL.search(text):
+        return None
+    low = text.lower()
+    return (WORD if "'" in low else PLAIN_WORD).findall(low)
+
+
+def units(text: str) -> list[str]:
+    """What a text is encoded by: its words, and with a space before them the pieces that only the library can split."""
+    if (words := split_words(text)) is not None:
+        return words
+    out: list[str] = []
+    for piece in split_white(text):
+        words = split_words(piece)
+        if words is None:
+            out.append(f" {piece}")
+        else:
+            out += words
+    return out
 
 
 def split_white(text: str) -> list[str]:
@@ -76,7 +98,7 @@ class Generations:
 
 
 class WordCache:
-    """Texts to packed ids (little-endian unsigned 32-bit) by way of two bounded caches, of pieces and of words.
+    """Texts to packed ids (little-endian unsigned 32-bit) by way of a bounded cache of words.
 
     ``encode`` gets distinct words and returns their packed ids; ``encode_whole``
     does so for pieces that must not be split here.
@@ -84,69 +106,50 @@ class WordCache:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.encode, self.encode_whole = encode, encode_whole
-        self.pieces, self.words = Generations(limit), Generations(limit, 10 << 20)
+        self.known = Generations(limit)
 
-    def pack(self, texts: Iterable[str | None], block_pieces: int = 100_000) -> list[bytes]:
+    def pack(self, texts: Iterable[str | None], block_words: int = 200_000) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
         # Blocks are many small live objects and no cycles: the collector would walk them again and again.
         gc.disable()
         try:
-            return self._pack(texts, block_pieces)
+            return self._pack(texts, block_words)
         finally:
             gc.enable()
 
-    def _pack(self, texts: Iterable[str | None], block_pieces: int) -> list[bytes]:
+    def _pack(self, texts: Iterable[str | None], block_words: int) -> list[bytes]:
         out: list[bytes] = []
         block: list[tuple[list[str], list[bytes | None]]] = []
         size = 0
         for text in texts:
-            pieces = split_white(text) if text else []
-            block.append((pieces, list(map(self.pieces.young.get, pieces))))
-            size += len(pieces)
-            if size > block_pieces:
+            words = units(text) if text else []
+            block.append((words, list(map(self.known.young.get, words))))
+            size += len(words)
+            if size > block_words:
                 out += self._fill(block)
                 block, size = [], 0
         return out + self._fill(block)
 
     def _fill(self, block: list[tuple[list[str], list[bytes | None]]]) -> list[bytes]:
-        holes = [[i for i, x in enumerate(parts) if x is None] if None in parts else [] for _, parts in block]
-        missing = {pieces[i] for (pieces, _), at in zip(block, holes, strict=True) for i in at}
+        gaps = [[i for i, ids in enumerate(parts) if ids is None] for _, parts in block]
+        missing = {words[i] for (words, _), at in zip(block, gaps, strict=True) for i in at}
         fresh = self._learn(missing) if missing else {}
         out = []
-        for (pieces, parts), at in zip(block, holes, strict=True):
+        for (words, parts), at in zip(block, gaps, strict=True):
             for i in at:
-                parts[i] = fresh[pieces[i]]
+                parts[i] = fresh[words[i]]
             out.append(b"".join(parts))
         return out
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        split: dict[str, list[str]] = {}
-        whole: list[str] = []
-        wanted: dict[str, bytes] = {}
-        for p in missing:
-            if (known := self.pieces.old.get(p)) is not None:
-                found[p] = known
-            elif (words := split_piece(p)) is None:
-                whole.append(p)
-            else:
-                split[p] = words
-                for w in words:
-                    if w not in wanted:
-                        # a word that is a piece too is kept with the pieces only
-                        known = self.words.get(w)
-                        wanted[w] = self.pieces.get(w) if known is None else known
-        new = [w for w, known in wanted.items() if known is None]
-        for w, ids in zip(new, self.encode(new), strict=True):
-            wanted[w] = ids
-            if w not in missing:
-                self.words.put(w, ids)
-        get = wanted.__getitem__
-        for p, words in split.items():
-            found[p] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
-        found.update(zip(whole, self.encode_whole(whole), strict=True))
-        for p, ids in found.items():
-            self.pieces.put(p, ids)
+        old = self.known.old.get
+        found = {w: old(w) for w in missing}
+        new = [w for w, ids in found.items() if ids is None]
+        words, whole = [w for w in new if w[0] != " "], [w for w in new if w[0] == " "]
+        found.update(zip(words, self.encode(words) if words else [], strict=True))
+        found.update(zip(whole, self.encode_whole([w[1:] for w in whole]) if whole else [], strict=True))
+        for w, ids in found.items():
+            self.known.put(w, ids)
         return found
 
 
