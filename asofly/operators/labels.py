@@ -95,7 +95,7 @@ def stated_vs_true(programs: DataFrame, records: DataFrame) -> DataFrame:
     stopped = F.filter("trials", lambda t: t["status"].isin(*V.TERMINAL_STOP) & t["why_stopped"].isNotNull())
     last = F.array_max(F.transform(stopped, lambda t: F.struct(F.coalesce(t["last_update_post_date"], F.lit("")).alias("d"), t["why_stopped"].alias("r"))))
     stated = programs.select("program_id", stated_reason(last["r"]).alias("stated"))
-    dead = dead_with_reason(records).select("program_id", F.col("kill_reason").alias("true"))
+    dead = dead_with_reason(records).select("program_id", F.col("kill_reason").alias("labelled"))
     return dead.join(stated, "program_id").where("stated is not null")
 
 

@@ -203,7 +203,7 @@ def conviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finance.conviction(m, ["s_nationkey"], "l_suppkey", "month", "spend").select("l_suppkey", "month", "peers", F.round("ratio", 4).alias("ratio"))
 
 
-@query(f"WITH {_WHOLE_SQL}, {_TRUE_SQL} SELECT doc_id AS program_id, truth AS \"true\", stated FROM s JOIN t USING (doc_id) WHERE stated IS NOT NULL")
+@query(f"WITH {_WHOLE_SQL}, {_TRUE_SQL} SELECT doc_id AS program_id, truth AS labelled, stated FROM s JOIN t USING (doc_id) WHERE stated IS NOT NULL")
 def stated_reason_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each labelled document's stated reason, from its whole text, beside the labelled one."""
     tail = F.expr("case doc_id % 5 when 0 then ' business decision after an interim analysis' when 1 then ' slow recruitment' when 2 then ' Dose-Limiting toxicity' when 3 then ' funding' else '' end")
@@ -375,8 +375,9 @@ def back_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.lit("1999-01-01").cast("date")
     hazard = survival.fit_hazard(survival.training_table(p, out, cut), "event_dead")
     scored = P.panels_after(survival.training_table(p, out, as_of()).select("program_id", "as_of", *survival.COVARIATES), out, cut, as_of()).withColumn("p", hazard.column())
+    scored = materialize(scored, "back-test-scores")
     curves = []
     for name, score in (("model", "p"), ("score", "silence_score_asof")):
         cuts = survival.thresholds(scored, score)
-        curves.append(survival.curve(survival.flags(scored, score, cuts), out, cuts).withColumn("by", F.lit(name)))
+        curves.append(survival.sweep(scored, score, out, cuts).withColumn("by", F.lit(name)))
     return curves[0].unionByName(curves[1])

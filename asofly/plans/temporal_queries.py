@@ -319,10 +319,10 @@ FROM cut LEFT JOIN f USING (threshold) LEFT JOIN g ON c_custkey = o_custkey GROU
 @query(SWEEP_SQL)
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and lead time of every observed staleness as a threshold, against an outcome."""
-    p = asof_month_panel(spark, sf_dir).where("staleness is not null").withColumnRenamed("o_custkey", "program_id")
+    p = materialize(asof_month_panel(spark, sf_dir).where("staleness is not null").select(F.col("o_custkey").alias("program_id"), "as_of", "staleness"), "sweep-panel")
     cuts = survival.thresholds(p, "staleness")
     out = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("program_id"), F.when(F.col("c_acctbal") < 0, "dead").otherwise("censored").alias("outcome"), F.lit("1999-01-01").cast("date").alias("event_month"))
-    c = survival.curve(survival.flags(p, "staleness", cuts), out, cuts)
+    c = survival.sweep(p, "staleness", out, cuts)
     return c.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 

@@ -29,10 +29,11 @@ def db():
 def test_query(spark, db, name):
     df = registry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
+    quoted = ", ".join(f'"{c}"' for c in columns)
     got = sorted((str([plain(v) for v in r]) for r in df.select(*columns).collect()))
     sql = registry.oracle_sql().get(name)
     if sql:
-        want = db.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        want = db.sql(f"SELECT {quoted} FROM ({sql})").fetchall()
         assert got == sorted(str([plain(v) for v in r]) for r in want)
     else:
         assert got

@@ -63,7 +63,7 @@ def test_stated_against_true(spark):
     r = frame(spark, *[record(k, i, status="dead_confirmed", kill_reason=w) for i, (k, w) in enumerate((("p1", "toxicity_safety"), ("p2", "strategic_portfolio"), ("p3", "accrual_failure")), 1)])
     got = labels.stated_vs_true(p, r)
     assert values(got) == [("p1", "toxicity_safety", "futility_efficacy"), ("p2", "strategic_portfolio", "strategic_portfolio")]
-    assert values(labels.agreement(got, "stated", "true")) == [(2, 1, 0.5)]
+    assert values(labels.agreement(got, "stated", "labelled")) == [(2, 1, 0.5)]
     t = spark.createDataFrame([("p1", [("TERMINATED", "slow recruitment rate", D(2020, 1, 1)), ("TERMINATED", "patent litigation", D(2021, 1, 1))]), ("p2", [])], "program_id string, trials array<struct<status:string,why_stopped:string,last_update:date>>")
     assert values(programs.reasons_of(t)) == [("p1", "ip_legal"), ("p2", None)]
 
