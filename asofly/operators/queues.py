@@ -9,6 +9,7 @@ from asofly.functions.scoring import any_sponsor
 from asofly.functions.text import apply_grounding, evidence_source, unescape_html, verify_quote, wilson
 from asofly.operators.entities import unique_match
 from asofly.operators.labels import agreement, confusion, gate3_labels, latest_labels
+from asofly.operators.scans import rank_selected
 from asofly.operators.temporal import dense_ids, latest_by
 
 #: Rows of the first two stages of a run; the third has the rest. Every tenth serve is a repeat.
@@ -196,11 +197,15 @@ def request_cost(input_tokens: Column, output_tokens: Column, rates: tuple[float
 
 
 def lead_distribution(rows: DataFrame, by: str, lead: str) -> DataFrame:
-    """N, mean, median, range and index quartiles of lead times: the value at ``int(q n)``; with fewer than four, the ends."""
-    a = rows.where(F.col(lead).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(lead).alias("mean"), F.median(lead).alias("median"), F.sort_array(F.collect_list(lead)).alias("s"))
-    at = lambda q: F.get("s", F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1).cast("int"))
-    first, last = F.get("s", F.lit(0)), F.element_at("s", -1)
-    return a.select(by, "n", "mean", "median", first.alias("min"), last.alias("max"), F.when(F.col("n") >= 4, at(0.25)).otherwise(first).alias("q1"), F.when(F.col("n") >= 4, at(0.75)).otherwise(last).alias("q3"))
+    """N, mean, median, range and index quartiles of lead times: the value at ``int(q n)``; with fewer than four, the ends.
+
+    Medians and quartiles come by ranks over range partitions, so no group is gathered in a task.
+    """
+    known = rows.where(F.col(lead).isNotNull())
+    a = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(lead).alias("mean"), F.min(lead).alias("min"), F.max(lead).alias("max"))
+    ranks = rank_selected(known, [by], lead, {"median": 0.5}, {"_q1": 0.25, "_q3": 0.75}).withColumnRenamed(by, "_by")
+    at = lambda c, end: F.when(F.col("n") >= 4, F.col(c).cast(rows.schema[lead].dataType)).otherwise(F.col(end))
+    return a.join(ranks, F.col(by).eqNullSafe(F.col("_by"))).select(by, "n", "mean", "median", "min", "max", at("_q1", "min").alias("q1"), at("_q3", "max").alias("q3"))
 
 
 def evaluation(gold: DataFrame, silver: DataFrame, field: str, key: str = "program_id") -> dict[str, DataFrame]:

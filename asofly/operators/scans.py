@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from asofly.operators.temporal import _bases, _ranged
+from asofly.operators.ranges import bases, ranged
 
 #: Rows of one key that a task sorts and walks; keys with more are split.
 HOT_ROWS = 5_000_000
@@ -24,14 +24,19 @@ HOT_ROWS = 5_000_000
 
 @dataclass(frozen=True)
 class Scan:
-    """A running value of ``column``: the latest that isn't null, or the sum, least or greatest; of the rows up to each row, or only those before it."""
+    """A running value of ``column``: the latest that isn't null, or the sum, least or greatest.
+
+    Of the rows up to each row, or with ``exclusive`` only those before it; ``backward`` runs from the last row to the first.
+    """
 
     column: str
     how: str = "last"
     exclusive: bool = False
+    backward: bool = False
 
-    def over(self, window) -> Column:
-        frame = window.rowsBetween(Window.unboundedPreceding, -1 if self.exclusive else 0)
+    def over(self, key: list[str], order: list[str]) -> Column:
+        w = Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) if self.backward else F.asc_nulls_first(c) for c in order])
+        frame = w.rowsBetween(Window.unboundedPreceding, -1 if self.exclusive else 0)
         if self.how == "last":
             return F.last(self.column, ignorenulls=True).over(frame)
         return getattr(F, self.how)(self.column).over(frame)
@@ -39,7 +44,8 @@ class Scan:
     def whole(self, place: str) -> Column:
         """The value over all rows of a group, ``place`` being their order."""
         if self.how == "last":
-            return F.max_by(self.column, F.when(F.col(self.column).isNotNull(), F.col(place)))
+            known = F.when(F.col(self.column).isNotNull(), F.col(place))
+            return (F.min_by if self.backward else F.max_by)(self.column, known)
         return getattr(F, self.how)(self.column)
 
     def join(self, before: Column, here: Column) -> Column:
@@ -55,11 +61,20 @@ class Scan:
             return here if before is None else before
         return {"last": lambda: here, "sum": lambda: before + here, "min": lambda: min(before, here), "max": lambda: max(before, here)}[self.how]()
 
+    def carries(self, parts: list[tuple[int, object, object, object, object]]) -> dict[int, object]:
+        """What reaches each partition from those before it; a part is (number, first key, last key, value of the first key there, of the last)."""
+        out, carry, end = {}, None, None
+        for n, (p, first, last, of_first, of_last) in enumerate(reversed(parts) if self.backward else parts):
+            enter, leave, gathered = (last, first, of_first) if self.backward else (first, last, of_last)
+            out[p] = carry if n and end == enter else None
+            carry = self.add(out[p], gathered) if first == last else gathered
+            end = leave
+        return out
+
 
 def windowed_scan(rows: DataFrame, key: list[str], order: list[str], scans: dict[str, Scan]) -> DataFrame:
     """The scans by a window: a key's rows in one task."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumns({name: s.over(w) for name, s in scans.items()})
+    return rows.withColumns({name: s.over(key, order) for name, s in scans.items()})
 
 
 def segmented_scan(rows: DataFrame, key: list[str], order: list[str], scans: dict[str, Scan]) -> DataFrame:
@@ -68,35 +83,32 @@ def segmented_scan(rows: DataFrame, key: list[str], order: list[str], scans: dic
     What is brought to the driver is the first and last key of each partition and what the
     two have gathered there: two rows a partition.
     """
-    local = _ranged(rows, [*key, *order], "scan")
+    local = ranged(rows, [*key, *order], "scan")
     ident = F.struct(*[F.col(c) for c in key])
     ends = local.groupBy("_p").agg(F.min_by(ident, "_i").alias("_first"), F.max_by(ident, "_i").alias("_last"))
-    at_end = local.withColumn("_key", ident).join(F.broadcast(ends), "_p").where(F.col("_key").eqNullSafe(F.col("_first")) | F.col("_key").eqNullSafe(F.col("_last")))
-    sums = at_end.groupBy("_p", F.col("_key").eqNullSafe(F.col("_last")).alias("_is_last")).agg(
-        F.any_value("_first").alias("_first"), F.any_value("_last").alias("_last"), *[s.whole("_i").alias(f"_c{i}") for i, s in enumerate(scans.values())]
-    )
-    types = [sums.schema[f"_c{i}"].dataType for i in range(len(scans))]
-    carries, carry, previous = [], [None] * len(scans), None
-    by_part: dict[int, dict] = {}
+    is_first, is_last = (F.col("_key").eqNullSafe(F.col(c)) for c in ("_first", "_last"))
+    sums = (
+        local.withColumn("_key", ident).join(F.broadcast(ends), "_p").where(is_first | is_last)
+        .groupBy("_p", is_first.alias("_is_first"), is_last.alias("_is_last"))
+        .agg(F.any_value("_key").alias("_key"), *[s.whole("_i").alias(f"_c{i}") for i, s in enumerate(scans.values())])
+    )
+    found: dict[int, dict[str, object]] = {}
     for r in sums.collect():
-        by_part.setdefault(r["_p"], {})[r["_is_last"]] = r
-    for p in sorted(by_part):
-        last = by_part[p][True]
-        goes_on = previous is not None and previous == last["_first"]
-        carry = carry if goes_on else [None] * len(scans)
-        carries.append((p, *carry))
-        gathered = [last[f"_c{i}"] for i in range(len(scans))]
-        alone = last["_first"] == last["_last"]
-        carry = [s.add(c, g) for s, c, g in zip(scans.values(), carry, gathered, strict=True)] if alone else gathered
-        previous = last["_last"]
-    schema = StructType([StructField("_p", LongType()), *[StructField(f"_c{i}", t) for i, t in enumerate(types)]])
-    edges = F.broadcast(rows.sparkSession.createDataFrame(carries, schema).join(ends.select("_p", "_first"), "_p"))
-    w = Window.partitionBy("_p", *key).orderBy("_i")
-    scanned = local.withColumns({name: s.over(w) for name, s in scans.items()}).join(edges, "_p")
-    in_first = F.struct(*[F.col(c) for c in key]).eqNullSafe(F.col("_first"))
-    return scanned.withColumns({name: F.when(in_first, s.join(F.col(f"_c{i}"), F.col(name))).otherwise(F.col(name)) for i, (name, s) in enumerate(scans.items())}).drop(
-        "_p", "_i", "_first", *[f"_c{i}" for i in range(len(scans))]
-    )
+        found.setdefault(r["_p"], {}).update({end: r for end in ("_first", "_last") if r[f"_is{end}"]})
+    parts = sorted(found)
+    carried = [
+        s.carries([(p, found[p]["_first"]["_key"], found[p]["_last"]["_key"], found[p]["_first"][f"_c{i}"], found[p]["_last"][f"_c{i}"]) for p in parts]) for i, s in enumerate(scans.values())
+    ]
+    schema = StructType([StructField("_p", LongType()), *[StructField(f"_c{i}", sums.schema[f"_c{i}"].dataType) for i in range(len(scans))]])
+    edges = F.broadcast(rows.sparkSession.createDataFrame([(p, *[c[p] for c in carried]) for p in parts], schema).join(ends, "_p"))
+    scanned = local.withColumns({name: s.over(["_p", *key], ["_i"]) for name, s in scans.items()}).withColumn("_key", ident).join(edges, "_p")
+    done = {name: F.when(is_last if s.backward else is_first, s.join(F.col(f"_c{i}"), F.col(name))).otherwise(F.col(name)) for i, (name, s) in enumerate(scans.items())}
+    return scanned.withColumns(done).drop("_p", "_i", "_key", "_first", "_last", *[f"_c{i}" for i in range(len(scans))])
+
+
+def _may_be_hot(rows: DataFrame, hot_rows: int) -> bool:
+    """Whether a key may have so many rows at all, by the planner's estimate of the table's bytes; only saves a count."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > hot_rows
 
 
 def split_hot(rows: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
@@ -104,6 +116,8 @@ def split_hot(rows: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> tupl
 
     There are at most rows / hot_rows larger keys, so they are broadcast.
     """
+    if not _may_be_hot(rows, hot_rows):
+        return rows, None
     hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n").collect()
     if not hot:
         return rows, None
@@ -119,32 +133,28 @@ def running(rows: DataFrame, key: list[str], order: list[str], scans: dict[str,
     return done if hot is None else done.unionByName(segmented_scan(hot, key, order, scans))
 
 
-def rank_selected(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], rule: str = "inclusive") -> DataFrame:
+def rank_selected(rows: DataFrame, by: list[str], value: str, inclusive: dict[str, float], index: dict[str, float] | None = None) -> DataFrame:
     """Quantiles of the non-null values of each group by their ranks: all rows are numbered once over range partitions of (group, value).
 
     A group's first number and size give the numbers wanted for each share, and one join on
-    the number fetches them: no group is gathered anywhere. ``inclusive`` interpolates
-    between the values around (n - 1) * share, ``index`` takes the value at int(share * n),
+    the number fetches them: no group is gathered anywhere. ``inclusive`` shares interpolate
+    between the values around (n - 1) * share, ``index`` ones take the value at int(share * n),
     the last at most.
     """
-    if rule not in ("inclusive", "index"):
-        raise ValueError(f"no rule {rule!r}")
-    local = _ranged(rows.where(F.col(value).isNotNull()).select(*by, value), [*by, value], "ranks")
-    bases = _bases(local.groupBy("_p").agg(F.count(F.lit(1)).alias("n")))
-    numbered = local.select(*by, F.col(value).cast("double").alias("_v"), (F.col("_i") + bases[F.col("_p")]).cast("long").alias("_at"))
+    index = index or {}
+    local = ranged(rows.where(F.col(value).isNotNull()).select(*by, value), [*by, value], "ranks")
+    before = bases(local.groupBy("_p").agg(F.count(F.lit(1)).alias("n")))
+    numbered = local.select(*by, F.col(value).cast("double").alias("_v"), (F.col("_i") + before[F.col("_p")]).cast("long").alias("_at"))
     groups = numbered.groupBy(*by).agg(F.min("_at").alias("_base"), F.count(F.lit(1)).alias("_n"))
-    wanted = []
-    for name, share in shares.items():
-        if rule == "index":
-            place = F.least(F.floor(F.lit(share) * F.col("_n")), F.col("_n") - 1).cast("long")
-            wanted.append(F.struct(F.lit(name).alias("name"), place.alias("place"), F.lit(1.0).alias("part")))
-        else:
-            place = (F.col("_n") - 1) * F.lit(share)
-            low = F.floor(place).cast("long")
-            wanted += [
-                F.struct(F.lit(name).alias("name"), low.alias("place"), (1 - (place - low)).alias("part")),
-                F.struct(F.lit(name).alias("name"), F.least(low + 1, F.col("_n") - 1).alias("place"), (place - low).alias("part")),
-            ]
+
+    def want(name: str, place: Column, part: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), place.cast("long").alias("place"), part.cast("double").alias("part"))
+
+    wanted = [want(name, F.least(F.floor(F.lit(share) * F.col("_n")), F.col("_n") - 1), F.lit(1.0)) for name, share in index.items()]
+    for name, share in inclusive.items():
+        place = (F.col("_n") - 1) * F.lit(share)
+        low = F.floor(place)
+        wanted += [want(name, low, 1 - (place - low)), want(name, F.least(low + 1, F.col("_n") - 1), place - low)]
     asked = groups.select(*by, "_base", F.explode(F.array(*wanted)).alias("w")).select(*by, "w.name", "w.part", (F.col("_base") + F.col("w.place")).alias("_at"))
     found = asked.join(numbered.select("_at", "_v"), "_at")
-    return found.groupBy(*by).agg(*[F.sum(F.when(F.col("name") == name, F.col("part") * F.col("_v"))).alias(name) for name in shares])
+    return found.groupBy(*by).agg(*[F.sum(F.when(F.col("name") == name, F.col("part") * F.col("_v"))).alias(name) for name in (*inclusive, *index)])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asofly.operators.scans import HOT_ROWS, Scan, rank_selected, running, split_hot
 from asofly.operators.temporal import dense_ids, global_running_sum
 
 
@@ -68,34 +71,110 @@ def index_percentile(sorted_values: Column, share: float) -> Column:
     return F.when(n > 0, F.get(sorted_values, at.cast("int")))
 
 
+#: Clusters below which the splitting tree deals draws to clusters at once.
+LEAF = 64
+
+
+def _draws(seed: int, group: int, low: int, high: int, drawn, size: int):
+    """Draws of one resample and of all others (a vector) that go to the lower ``size`` of the clusters [low, high): binomial, seeded by the node."""
+    import numpy as np
+
+    return np.random.Generator(np.random.Philox(key=[seed % 2**64, group * 2_654_435_761 % 2**64], counter=[low, high, 0, 0])).binomial(drawn, size / (high - low))
+
+
+def leaf_draws(seed: int, group: int, k: int, block: int, resamples: int):
+    """How often each cluster of a block of ``LEAF`` is drawn in each resample: (clusters of the block, resamples).
+
+    The ``k`` draws of a resample start at the root of a tree over the numbers 0 to k - 1.
+    At a node a binomial draw sends some of them to its lower half, the others to the
+    upper. Every draw is seeded by the node, so each block is found by walking down to it,
+    wherever it lies, and all of them together are one multinomial draw.
+    """
+    import numpy as np
+
+    low, high = 0, -(-k // LEAF)  # blocks
+    drawn = np.full(resamples, k, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        lower = _draws(seed, group, low * LEAF, min(high * LEAF, k), drawn, middle * LEAF - low * LEAF)
+        if block < middle:
+            high, drawn = middle, lower
+        else:
+            low, drawn = middle, drawn - lower
+    size = min(k, (block + 1) * LEAF) - block * LEAF
+    rng = np.random.Generator(np.random.Philox(key=[seed % 2**64, group * 2_654_435_761 % 2**64], counter=[block * LEAF, 0, 1, 0]))
+    return rng.multinomial(drawn, np.full(size, 1 / size)).T
+
+
+def _resampled(seed: int, resamples: int):
+    """(base, r, w, wx): weighted sums of each resample over the clusters that a task has."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        at, times = None, None
+        for batch in batches:
+            for base, k, n, w, wx in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != (base, (n - base) // LEAF):
+                    at = (base, (n - base) // LEAF)
+                    times = leaf_draws(seed, base, k, at[1], resamples)
+                sums.setdefault(base, np.zeros((2, resamples)))
+                sums[base] += times[(n - base) % LEAF] * np.array([[w or 0.0], [wx or 0.0]])
+            if len(sums) > 512:  # many small groups: hand on what is summed
+                yield from out(sums)
+        yield from out(sums)
+
+    def out(sums):
+        import numpy as np
+        import pyarrow as pa
+
+        for base, (w, wx) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(resamples, base)), pa.array(np.arange(resamples)), pa.array(w), pa.array(wx)], names=["base", "r", "w", "wx"])
+        sums.clear()
+
+    return run
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: Column, weight: Column, resamples: int = 1000, seed: int = 0, by: list[str] | None = None) -> DataFrame:
     """Estimate and 95 % interval of a weighted mean, of each group of ``by``; whole clusters are drawn, not rows.
 
-    Rows are first summed for each cluster. Each resample draws as many clusters as
-    there are, by hash of (resample, slot, seed): work is resamples x clusters, and a
-    cluster meets only the slots that drew it.
+    Rows are first summed for each cluster, and clusters numbered over range partitions.
+    Each resample draws as many clusters as there are: a splitting tree tells each cluster,
+    where it lies, how often each resample has drawn it (``leaf_draws``). No draw is a
+    row; a task hands on one sum for each resample and group it has clusters of.
     """
     by = by or []
-    per = rows.groupBy(*by, cluster).agg(F.sum(weight).alias("w"), F.sum(weight * value).alias("wx"))
-    all_numbered = dense_ids(per, [*by, cluster], "n")
-    groups = all_numbered.groupBy(*by).agg(F.min("n").alias("base"), F.count(F.lit(1)).alias("k"))
-    draws = groups.crossJoin(rows.sparkSession.range(resamples).withColumnRenamed("id", "r")).where("k > 0").withColumn("slot", F.explode(F.expr("sequence(1, k)")))
-    drawn = draws.select(*by, "r", (F.col("base") + F.pmod(F.xxhash64("r", "slot", F.lit(seed + 1)), F.col("k"))).cast("long").alias("n"))
-    times = drawn.groupBy(*by, "r", "n").agg(F.count(F.lit(1)).alias("times"))
-    means = times.join(all_numbered.select("n", "w", "wx"), "n").groupBy(*by, "r").agg(F.try_divide(F.sum(F.col("times") * F.col("wx")), F.sum(F.col("times") * F.col("w"))).alias("m"))
-    ends = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("s")).select(*by, index_percentile(F.col("s"), 0.025).alias("low"), index_percentile(F.col("s"), 0.975).alias("high"))
-    total = per.groupBy(*by).agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("estimate"), F.count(F.lit(1)).alias("clusters"))
-    return total.join(ends, by) if by else total.crossJoin(ends)
-
-
-def grouped_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Counts, median, mean, range and inclusive quartiles of each group; quartiles are null below two values."""
+    per = rows.groupBy(*by, cluster).agg(F.sum(weight).cast("double").alias("w"), F.sum(weight * value).cast("double").alias("wx"))
+    numbered = dense_ids(per, [*by, cluster], "n")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    groups = numbered.groupBy(*by).agg(F.min("n").alias("base"), F.count(F.lit(1)).alias("k"), F.try_divide(F.sum("wx"), F.sum("w")).alias("estimate"))
+    named = groups.select(*[F.col(c).alias(f"_{c}") for c in by], "base", "k")
+    placed = numbered.join(named, reduce(lambda a, b: a & b, same)) if by else numbered.crossJoin(F.broadcast(named))
+    # the rows of a block next to each other, so that its draws are made once
+    ordered = placed.select("base", "k", "n", "w", "wx").where("n is not null").sortWithinPartitions("n")
+    sums = ordered.mapInArrow(_resampled(seed, resamples), "base long, r long, w double, wx double").groupBy("base", "r").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
+    ends = sums.groupBy("base").agg(F.sort_array(F.collect_list("m")).alias("s")).select("base", index_percentile(F.col("s"), 0.025).alias("low"), index_percentile(F.col("s"), 0.975).alias("high"))
+    return groups.join(ends, "base", "left").select(*by, "estimate", F.col("k").alias("clusters"), "low", "high")
+
+
+def grouped_summary(rows: DataFrame, by: str, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Counts, median, mean, range and inclusive quartiles of each group; quartiles are null below two values.
+
+    An exact percentile holds a group's values in one task; groups of more than ``hot_rows``
+    rows get theirs by ranks over range partitions instead.
+    """
     n = F.count(value)
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    return rows.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), n.alias("n_with_data"), F.median(value).alias("median"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.when(n >= 2, q[0]).alias("q1"), F.when(n >= 2, q[1]).alias("q3"),
-    )
+    moments = [F.count(F.lit(1)).alias("n"), n.alias("n_with_data"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")]
+    cold, hot = split_hot(rows, [by], hot_rows)
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    done = cold.groupBy(by).agg(*moments, q[1].alias("median"), q[0].alias("q1"), q[2].alias("q3"))
+    if hot is not None:
+        ranks = rank_selected(hot, [by], value, {"median": 0.5, "q1": 0.25, "q3": 0.75}).withColumnRenamed(by, "_by")
+        done = done.unionByName(hot.groupBy(by).agg(*moments).join(ranks, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by"))
+    two = F.col("n_with_data") >= 2
+    return done.select(by, "n", "n_with_data", "median", "mean", "min", "max", F.when(two, F.col("q1")).alias("q1"), F.when(two, F.col("q3")).alias("q3"))
 
 
 def leave_one_out_ratio(rows: DataFrame, group: list[str], key: str, value: str, least: int = 2) -> DataFrame:
@@ -137,15 +216,17 @@ def strict_majority(rows: DataFrame, by: list[str], vote: str) -> DataFrame:
     return best.select(*by, F.when((F.col("top") >= 2) & (2 * F.col("top") > F.col("votes")), F.col("v")).alias("winner"))
 
 
-def kaplan_meier(rows: DataFrame, by: str, duration: str, event: Column) -> DataFrame:
-    """M9: at-risk counts, events and the product-limit survival at each time of each group; zero once all at risk fail."""
+def kaplan_meier(rows: DataFrame, by: str, duration: str, event: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """M9: at-risk counts, events and the product-limit survival at each time of each group; zero once all at risk fail.
+
+    Rows are first summed by time, so a group is as long as its distinct times; longer ones than ``hot_rows`` are split.
+    """
     times = rows.groupBy(by, duration).agg(F.sum(event.cast("int")).alias("events"), F.count(F.lit(1)).alias("leaving"))
-    later = Window.partitionBy(by).orderBy(F.col(duration).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(by).orderBy(duration).rowsBetween(Window.unboundedPreceding, 0)
-    risk = times.withColumn("at_risk", F.sum("leaving").over(later))
-    dead = F.max((F.col("events") == F.col("at_risk")).cast("int")).over(earlier)
-    logs = F.sum(F.when(F.col("events") < F.col("at_risk"), F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(0.0)).over(earlier)
-    return risk.select(by, duration, "events", "at_risk", F.when(dead == 1, 0.0).otherwise(F.exp(logs)).alias("survival"))
+    risk = running(times, [by], [duration], {"at_risk": Scan("leaving", "sum", backward=True)}, hot_rows)
+    all_fail = F.col("events") == F.col("at_risk")
+    steps = risk.withColumns({"_all": all_fail.cast("int"), "_log": F.when(all_fail, 0.0).otherwise(F.log1p(-F.col("events") / F.col("at_risk")))})
+    curve = running(steps, [by], [duration], {"_dead": Scan("_all", "max"), "_logs": Scan("_log", "sum")}, hot_rows)
+    return curve.select(by, duration, "events", "at_risk", F.when(F.col("_dead") == 1, 0.0).otherwise(F.exp("_logs")).alias("survival"))
 
 
 def median_survival(curve: DataFrame, by: str, duration: str) -> DataFrame:

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofly.operators.ranges import ranged
 from asofly.operators.scans import Scan, running
-from asofly.operators.temporal import _ranged
 
 COVARIATES = ("silence_score_asof", "log_cost_index", "log_conviction_ratio")
 MIN_EVENTS = 10
@@ -280,7 +280,7 @@ def sweep(predictions: DataFrame, score: str, outcome: DataFrame, cuts: DataFram
     each = records.select(dead.alias("dead"), F.when(dead, F.datediff("as_of", "event_month")).alias("lead"), ends).select("dead", "lead", "e.x", "e.n").where("x is not null")
     events = each.groupBy("x", "dead", "lead").agg(F.sum("n").alias("n")).where("n <> 0").withColumn("kind", F.lit(0))
     points = cuts.select(F.col("threshold").cast("double").alias("x"), F.lit(False).alias("dead"), F.lit(None).cast("int").alias("lead"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("kind"))
-    line = _ranged(events.unionByName(points).withColumn("y", -F.col("x")), ["y", "kind"], "sweep")
+    line = ranged(events.unionByName(points).withColumn("y", -F.col("x")), ["y", "kind"], "sweep")
     w = Window.partitionBy("dead", "lead").orderBy("_p")
     last = line.agg(F.max("_p")).first()[0] or 0
     moved = line.where("kind = 0").groupBy("_p", "dead", "lead").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w)).withColumn("next", F.coalesce(F.lead("_p").over(w), F.lit(last)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asofly.session import materialize
+from asofly.operators.ranges import bases, ranged
+from asofly.operators.scans import HOT_ROWS, Scan, running
 
 
 def as_of_point(rows: DataFrame, key: str, order: list[str], date: str, as_of: Column) -> DataFrame:
@@ -46,19 +47,18 @@ def as_of_month_panel(versions: DataFrame, key: str, date: str, order: list[str]
     return months.unionByName(first.select(key, name), allowMissingColumns=True)
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, date: str, order: list[str], fields: list[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, date: str, order: list[str], fields: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each left row with the fields of the right row that held at its time; nulls where none did.
 
     Both sides are merged on (key, time) and the last right row is carried forward:
-    one shuffle on the key, linear in both sides, no row pairs.
+    one shuffle on the key, linear in both sides, no row pairs; a key of any size is split.
     """
     l_cols = left.columns
     both = left.select(F.struct(*l_cols).alias("_l"), F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(_struct_type(right, fields)).alias("_r"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)])
     other = right.select(
         F.lit(None).cast(both.schema["_l"].dataType).alias("_l"), F.col(key).alias("_k"), F.col(date).alias("_t"), F.lit(0).alias("_side"), F.struct(*fields).alias("_r"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
     )
-    w = Window.partitionBy("_k").orderBy("_t", "_side", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    merged = both.unionByName(other).withColumn("_last", F.last("_r", ignorenulls=True).over(w))
+    merged = running(both.unionByName(other), ["_k"], ["_t", "_side", *[f"_o{i}" for i in range(len(order))]], {"_last": Scan("_r")}, hot_rows)
     return merged.where("_side = 1").select("_l.*", *[F.col("_last")[f].alias(f) for f in fields])
 
 
@@ -75,16 +75,14 @@ def latest_by(rows: DataFrame, key: str, stamp: str, position: str) -> DataFrame
     return rows.groupBy(key).agg(best.alias("_row")).select(key, "_row.*").select(*rows.columns)
 
 
-def forward_fill(rows: DataFrame, key: str, order: list[str], field: str, name: str) -> DataFrame:
-    """The latest non-null value of a field up to each row."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(field, ignorenulls=True).over(w))
+def forward_fill(rows: DataFrame, key: str, order: list[str], field: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The latest non-null value of a field up to each row; a key of any size is split (``scans.running``)."""
+    return running(rows, [key], order, {name: Scan(field)}, hot_rows)
 
 
-def running_sum(rows: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
-    """Sum of the values up to each row."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.sum(value).over(w))
+def running_sum(rows: DataFrame, key: str, order: list[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Sum of the values up to each row; a key of any size is split."""
+    return running(rows, [key], order, {name: Scan(value, "sum")}, hot_rows)
 
 
 def first_crossing(rows: DataFrame, key: str, date: str, score: str, threshold: Column) -> DataFrame:
@@ -93,10 +91,10 @@ def first_crossing(rows: DataFrame, key: str, date: str, score: str, threshold:
     return rows.groupBy(key).agg(F.min(F.when(reached, F.col(date))).alias("flag_date"))
 
 
-def contiguity(rows: DataFrame, key: str, number: str, date: str, first: int = 0) -> DataFrame:
+def contiguity(rows: DataFrame, key: str, number: str, date: str, first: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """For each key, whether versions are numbered from ``first`` without gaps and dates never go back (null dates skipped)."""
-    w = Window.partitionBy(key).orderBy(number, date).rowsBetween(Window.unboundedPreceding, -1)
-    back = rows.withColumn("_back", F.coalesce(F.col(date) < F.max(date).over(w), F.lit(False)))
+    seen = running(rows.select(key, number, date), [key], [number, date], {"_most": Scan(date, "max", exclusive=True)}, hot_rows)
+    back = seen.withColumn("_back", F.coalesce(F.col(date) < F.col("_most"), F.lit(False)))
     n, distinct = F.count(F.lit(1)), F.count_distinct(number)
     whole = (F.min(number) == first) & (F.max(number) == first + n - 1) & (distinct == n)
     return back.groupBy(key).agg(whole.alias("contiguous"), (~F.bool_or("_back")).alias("monotone"), n.alias("n_versions"))
@@ -108,36 +106,19 @@ def top_k_by_tier(rows: DataFrame, key: str, tier: str, newest: list[str], k: in
     return rows.withColumn("_rn", F.row_number().over(w)).where(f"_rn <= {k}").drop("_rn")
 
 
-def _ranged(rows: DataFrame, order: list[str], label: str) -> DataFrame:
-    """Rows in range partitions of a total order, with their place in it as (_p, _i); written, so that the ranges stay."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    return materialize(placed.withColumn("_p", part).withColumn("_i", F.col("_m") - F.shiftleft(part, 33)).drop("_m"), label)
-
-
-def _bases(sums: DataFrame) -> Column:
-    """Prefix sums of a number for each range partition (_p, n): what lies before it. One row for a partition on the driver."""
-    base, bases = 0, {}
-    for r in sorted(sums.collect(), key=lambda r: r._p):
-        bases[r._p] = base
-        base += r.n or 0
-    return F.create_map(*[F.lit(x) for kv in (bases or {0: 0}).items() for x in kv])
-
-
 def dense_ids(rows: DataFrame, order: list[str], name: str = "event_id") -> DataFrame:
     """Numbers 0, 1, 2, ... in a total order, without bringing all rows into one task."""
-    local = _ranged(rows, order, "dense-ids")
-    bases = _bases(local.groupBy("_p").agg(F.count(F.lit(1)).alias("n")))
-    return local.withColumn(name, (F.col("_i") + bases[F.col("_p")]).cast("long")).drop("_p", "_i")
+    local = ranged(rows, order, "dense-ids")
+    offsets = bases(local.groupBy("_p").agg(F.count(F.lit(1)).alias("n")))
+    return local.withColumn(name, (F.col("_i") + offsets[F.col("_p")]).cast("long")).drop("_p", "_i")
 
 
 def global_running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """Sum of a value over all rows before each row in a total order, by prefix sums over range partitions."""
-    local = _ranged(rows, order, "running-sum")
-    bases = _bases(local.groupBy("_p").agg(F.sum(value).alias("n")))
+    local = ranged(rows, order, "running-sum")
+    offsets = bases(local.groupBy("_p").agg(F.sum(value).alias("n")))
     before = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return local.withColumn(name, before + bases[F.col("_p")]).drop("_p", "_i")
+    return local.withColumn(name, before + offsets[F.col("_p")]).drop("_p", "_i")
 
 
 def round_robin(rows: DataFrame, cell: list[str], order: Column) -> DataFrame:

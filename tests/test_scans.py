@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from asofly.operators import scans, survival
+from asofly.operators import ranges, scans, stats, survival
 from asofly.operators.scans import Scan
 
-SCANS = {"last": Scan("v"), "total": Scan("v", "sum"), "before": Scan("v", "sum", exclusive=True), "top": Scan("v", "max"), "low": Scan("v", "min", exclusive=True), "held": Scan("v", "last", exclusive=True)}
+SCANS = {"last": Scan("v"), "total": Scan("v", "sum"), "before": Scan("v", "sum", exclusive=True), "top": Scan("v", "max"), "low": Scan("v", "min", exclusive=True), "held": Scan("v", "last", exclusive=True), "after": Scan("v", "sum", backward=True), "next": Scan("v", "last", exclusive=True, backward=True)}
 
 
 def skewed(n=600, seed=1):
@@ -33,7 +33,7 @@ def test_scan(spark, hot_rows):
 def test_scan_splits_the_hot_key(spark):
     """The rows of one key lie in several ranges, none with more than half of them."""
     df = spark.createDataFrame([("hot", i, i) for i in range(4000)], "k string, t int, v long")
-    sizes = [r["n"] for r in scans._ranged(df, ["k", "t"], "test").groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes = [r["n"] for r in ranges.ranged(df, ["k", "t"], "test").groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) > 2 and max(sizes) < 2000
     got = scans.segmented_scan(df, ["k"], ["t"], {"s": Scan("v", "sum")}).orderBy("t").collect()
     assert [r.s for r in got] == np.cumsum(range(4000)).tolist()
@@ -47,12 +47,11 @@ def test_scan_of_structs_and_two_keys(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("rule", ["inclusive", "index"])
-def test_rank_selection(spark, rule):
+def test_rank_selection(spark):
     rows = [(k, v) for k, _, v in skewed(500, 2)] + [("one", 7), ("none", None), ("two", 1), ("two", 2)]
     df = spark.createDataFrame(rows, "k string, v long").repartition(4)
     shares = {"q1": 0.25, "mid": 0.5, "q3": 0.75, "low": 0.0, "high": 1.0}
-    got = {r.k: r for r in scans.rank_selected(df, ["k"], "v", shares, rule).collect()}
+    got = {r.k: r for r in scans.rank_selected(df, ["k"], "v", shares, {f"i_{n}": q for n, q in shares.items()}).collect()}
     groups: dict = {}
     for k, v in rows:
         if v is not None:
@@ -61,8 +60,29 @@ def test_rank_selection(spark, rule):
     for k, vs in groups.items():
         vs.sort()
         for name, q in shares.items():
-            want = np.quantile(vs, q) if rule == "inclusive" else vs[min(int(q * len(vs)), len(vs) - 1)]
-            assert abs(got[k][name] - want) < 1e-9
+            assert abs(got[k][name] - np.quantile(vs, q)) < 1e-9
+            assert got[k][f"i_{name}"] == vs[min(int(q * len(vs)), len(vs) - 1)]
+
+
+def test_summary_of_hot_groups(spark):
+    """A group above the bound goes by ranks, the others by an aggregate: the same rows either way."""
+    df = spark.createDataFrame([(k or "null", v) for k, _, v in skewed(400, 3)], "k string, v long").repartition(3)
+    want = sorted(map(str, stats.grouped_summary(df, "k", "v").collect()))
+    assert sorted(map(str, stats.grouped_summary(df, "k", "v", hot_rows=20).collect())) == want
+
+
+@pytest.mark.parametrize("hot_rows", [3, 10**9])
+def test_kaplan_meier_of_hot_groups(spark, hot_rows):
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.8 else "b", rng.randrange(60), rng.random() < 0.6) for _ in range(500)]
+    got = {(r.g, r.t): r for r in stats.kaplan_meier(spark.createDataFrame(rows, "g string, t int, e boolean"), "g", "t", F.col("e"), hot_rows).collect()}
+    for g in ("hot", "b"):
+        s = 1.0
+        for t in sorted({t for h, t, _ in rows if h == g}):
+            risk = sum(h == g and u >= t for h, u, _ in rows)
+            events = sum(h == g and u == t and e for h, u, e in rows)
+            s *= 1 - events / risk
+            assert (got[g, t].at_risk, got[g, t].events) == (risk, events) and abs(got[g, t].survival - s) < 1e-9
 
 
 def brute_curve(rows, outcomes, cuts):
@@ -133,3 +153,38 @@ def test_all_hazards(spark):
     assert sum(r[3] for r in rows) >= 10 > 0 and joint["event_approved"].covariates == ("x",)
     none = survival.fit_all(df.withColumn("event_dead", F.lit(0)), ("event_dead",), covariates=("x",))["event_dead"]
     assert none.coefficients == [-40.0] and none.events == 0
+
+
+def test_splitting_tree():
+    """Each resample draws as many clusters as there are; the draws are multinomial, and a block's don't depend on who asks."""
+    k, resamples = 1000, 300
+    blocks = [stats.leaf_draws(7, 3, k, b, resamples) for b in range(-(-k // stats.LEAF))]
+    times = np.concatenate(blocks)
+    assert times.shape == (k, resamples) and (times.sum(axis=0) == k).all()
+    assert (stats.leaf_draws(7, 3, k, 5, resamples) == blocks[5]).all()
+    # counts of one cluster are nearly Poisson(1); two clusters are hardly related, and resamples differ
+    assert abs(times.var() - 1) < 0.03 and abs((times == 0).mean() - np.exp(-1)) < 0.01
+    assert abs(np.corrcoef(times[0], times[900])[0, 1]) < 0.2 and len({tuple(c) for c in times.T}) == resamples
+    assert (stats.leaf_draws(7, 3, 10_000_000, 77_777, 20).sum(axis=0) > 20).all()
+
+
+def test_bootstrap_interval(spark):
+    """The interval of a weighted mean agrees with drawing clusters one by one."""
+    rng = np.random.default_rng(9)
+    means = rng.normal(size=150)
+    rows = [("g" if c < 100 else "h", f"c{c}", float(means[c] + 0.1 * rng.normal()), float(rng.integers(1, 4))) for c in range(150) for _ in range(rng.integers(1, 6))]
+    df = spark.createDataFrame(rows, "g string, c string, v double, w double")
+    got = {r.g: r for r in stats.cluster_bootstrap(df, "c", F.col("v"), F.col("w"), resamples=4000, by=["g"]).collect()}
+    for g in ("g", "h"):
+        sums: dict = {}
+        for h, c, v, w in rows:
+            if h == g:
+                a = sums.setdefault(c, [0.0, 0.0])
+                a[0] += w
+                a[1] += w * v
+        w, wx = np.array(list(sums.values())).T
+        at = rng.integers(0, len(w), (4000, len(w)))
+        means_ = np.sort(wx[at].sum(axis=1) / w[at].sum(axis=1))
+        low, high = means_[100], means_[3900]
+        assert got[g].clusters == len(w) and abs(got[g].estimate - wx.sum() / w.sum()) < 1e-12
+        assert abs(got[g].low - low) < 0.15 * (high - low) and abs(got[g].high - high) < 0.15 * (high - low)
