@@ -6,10 +6,10 @@ the block beats in both. The score of a term grows with tf and falls with the le
 its greatest score in the block is at one of these points, whatever the corpus
 statistics turn out to be: the index is written in one pass and stays valid as they grow.
 
-A search reads the points only, bounds every (query, block), and scores blocks in the
-order of their bounds: the best few of each query first, which gives a threshold that the
-answer can't fall below, then those whose bound reaches it, until none is left. Bounds
-are sums of maxima and weights aren't negative, so nothing above a threshold is skipped:
+A search reads the points only, bounds every (query, block), and scores the best few
+blocks of each query first, which gives a threshold that the answer can't fall below. Then
+the tasks score their blocks in the order of the bounds, until these drop below the
+threshold, which a task's own finds raise further. Bounds are sums of maxima and weights aren't negative, so nothing above a threshold is skipped:
 the result is exact.
 """
 
@@ -35,11 +35,11 @@ from asofly.session import materialize
 LENGTH_PERCENT, SATURATION, TF_SCALE, TF_STEP, WEIGHT_SCALE = 75, 8, 1_000_000_000, 1000, 1000
 TOP = 10
 #: A block ends at so many documents or bytes of text, whichever comes first; a longer document is a block of its own.
-BLOCK_DOCS, BLOCK_BYTES = 128, 1 << 20
+BLOCK_DOCS, BLOCK_BYTES = 128, 1 << 19
 #: Queries answered together: their terms are what a task is sent, so this many bytes of query text bound it.
 QUERY_BYTES, QUERY_ROWS = 4 << 20, 2000
-#: Blocks scored for each query in a round, best bounds first; the last round takes all that its threshold leaves.
-ROUNDS = (4, 64, None)
+#: Blocks of the greatest bounds that are scored first for each query.
+FIRST_BLOCKS = 4
 
 INDEX = (
     "block long, n_docs long, n_terms long, doc_id array<long>, length array<long>, terms array<string>, df array<int>, "
@@ -123,6 +123,9 @@ class Queries:
         self.n_docs, self.n_terms = n_docs, n_terms
         w = np.asarray([math.floor(WEIGHT_SCALE * math.log((2 * n_docs + 2) / (2 * int(d) + 1))) for d in df], np.int64)
         self.of_query = [(at, w[at] * repeats) for at, repeats in self.of_query]
+        self.flat_terms = np.concatenate([at for at, _ in self.of_query])
+        self.flat_weights = np.concatenate([weight for _, weight in self.of_query])
+        self.edges = np.cumsum([0, *[len(at) for at, _ in self.of_query]])
 
 
 def parse(texts: Iterable[bytes]) -> Queries:
@@ -171,24 +174,32 @@ def _document_counts(terms: list[bytes]):
     return count
 
 
+def _block_bounds(q: Queries, at: np.ndarray, begin: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each query the sum of weights times the block's greatest impact of each term; ``at`` is each block term's place among the wanted ones."""
+    here = np.flatnonzero(at >= 0)
+    if not len(here):
+        return np.zeros(len(q.of_query), np.int64)
+    begin = begin.astype(np.int64)
+    sizes = begin[here + 1] - begin[here]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    points = np.repeat(begin[here] - starts, sizes) + np.arange(sizes.sum())
+    best = np.zeros(len(q.terms), np.int64)
+    best[at[here]] = np.maximum.reduceat(impact(tf[points], length[points], q.n_docs, q.n_terms), starts)
+    upto = np.concatenate([[0], np.cumsum(best[q.flat_terms] * q.flat_weights)])
+    return upto[q.edges[1:]] - upto[q.edges[:-1]]
+
+
+_POINTS = ("point_from", "point_tf", "point_length")
+
+
 def _bounds(q: Queries):
-    """(query, block, bound) wherever the bound is above zero: the sum of weights times the block's greatest impact of each term."""
+    """(query, block, bound) wherever the bound is above zero."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = strings(q.terms)
         for batch in batches:
             for row in range(batch.num_rows):
-                at = _where_terms(batch, row, wanted)
-                here = np.flatnonzero(at >= 0)
-                if not len(here):
-                    continue
-                begin = _part(batch, "point_from", row).astype(np.int64)
-                sizes = begin[here + 1] - begin[here]
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                points = np.repeat(begin[here] - starts, sizes) + np.arange(sizes.sum())
-                best = np.zeros(len(q.terms), np.int64)
-                best[at[here]] = np.maximum.reduceat(impact(_part(batch, "point_tf", row)[points], _part(batch, "point_length", row)[points], q.n_docs, q.n_terms), starts)
-                sums = np.asarray([int((best[t] * w).sum()) for t, w in q.of_query], np.int64)
+                sums = _block_bounds(q, _where_terms(batch, row, wanted), *[_part(batch, c, row) for c in _POINTS])
                 hit = np.flatnonzero(sums > 0)
                 block = batch.column("block")[row].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(np.full(len(hit), block)), pa.array(sums[hit])], names=["query", "block", "bound"])
@@ -201,40 +212,46 @@ def _order(doc_id: int | None) -> tuple[bool, int]:
     return doc_id is None, doc_id or 0
 
 
-def _scores(q: Queries, floor: dict[int, int], top: int):
-    """Best documents of the blocks that a task has: blocks come by falling bounds, and a query leaves a block whose bound its own best ones pass."""
+#: Blocks that a task sorts by their bounds at once.
+SORTED_BLOCKS = 64
+
+
+def _scores(q: Queries, floor: np.ndarray, top: int, only: dict[int, list[int]] | None = None):
+    """Best documents of the blocks that a task has: the greatest bounds first, and no block for a query whose threshold its bound misses.
+
+    A query's threshold is ``floor`` or the last of its own best documents here, whichever
+    is more. ``only`` names the queries of each block where not all are wanted.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = strings(q.terms)
         best: dict[int, list[tuple[int, tuple[bool, int], int]]] = {}  # heaps of (score, descending key, row number)
+        least = floor.copy()
         made = 0
-        for batch in batches:
-            for row in range(batch.num_rows):
-                asked = [
-                    (query, bound)
-                    for query, bound in zip(_part(batch, "queries", row).tolist(), _part(batch, "bounds", row).tolist(), strict=True)
-                    if bound >= floor.get(query, 1) and not (len(best.get(query, ())) == top and bound < best[query][0][0])
-                ]
-                if not asked:
+        for batch in (b.slice(i, SORTED_BLOCKS) for b in batches for i in range(0, b.num_rows, SORTED_BLOCKS)):
+            ats = [_where_terms(batch, row, wanted) for row in range(batch.num_rows)]
+            sums = [_block_bounds(q, at, *[_part(batch, c, row) for c in _POINTS]) for row, at in enumerate(ats)]
+            for row in sorted(range(batch.num_rows), key=lambda r: -int(sums[r].max(initial=0))):
+                asked = np.flatnonzero(sums[row] >= least)
+                if only is not None:
+                    asked = np.intersect1d(asked, only.get(batch.column("block")[row].as_py(), []))
+                if not len(asked):
                     continue
-                at = _where_terms(batch, row, wanted)
-                term = at[_part(batch, "entry_term", row)]
+                term = ats[row][_part(batch, "entry_term", row)]
                 kept = np.flatnonzero(term >= 0)
-                begin = _part(batch, "entry_from", row)
-                edge = np.searchsorted(kept, begin)
+                edge = np.searchsorted(kept, _part(batch, "entry_from", row))
                 length = np.repeat(_part(batch, "length", row), np.diff(edge))
                 term = term[kept]
                 worth = impact(_part(batch, "entry_tf", row)[kept], length, q.n_docs, q.n_terms)
                 ids = batch.column("doc_id")[row].as_py()
-                for query, _ in asked:
+                for query in asked.tolist():
                     weight = np.zeros(len(q.terms), np.int64)
                     places, w = q.of_query[query]
                     weight[places] = w
                     upto = np.concatenate([[0], np.cumsum(weight[term] * worth)])
                     total = upto[edge[1:]] - upto[edge[:-1]]
                     heap = best.setdefault(query, [])
-                    least = max(floor.get(query, 1), heap[0][0] if len(heap) == top else 1)
-                    for d in np.flatnonzero(total >= least).tolist():
+                    for d in np.flatnonzero(total >= least[query]).tolist():
                         null, k = _order(ids[d])
                         made += 1
                         entry = (int(total[d]), (not null, -k), made)
@@ -242,6 +259,8 @@ def _scores(q: Queries, floor: dict[int, int], top: int):
                             heapq.heappush(heap, entry)
                         elif entry > heap[0]:
                             heapq.heapreplace(heap, entry)
+                    if len(heap) == top:
+                        least[query] = max(least[query], heap[0][0])
         rows = [(query, s, -k if known else None) for query, heap in best.items() for s, (known, k), _ in heap]
         if rows:
             query, s, ids = zip(*rows, strict=True)
@@ -250,14 +269,7 @@ def _scores(q: Queries, floor: dict[int, int], top: int):
     return score
 
 
-def _score_blocks(index: DataFrame, wanted: DataFrame, q: Queries, floor: dict[int, int], top: int) -> DataFrame:
-    """Score the (query, block) pairs of ``wanted``; only blocks that some query wants are handed on, those of the greatest bounds first."""
-    asked = wanted.groupBy("block").agg(F.collect_list(F.struct("query", "bound")).alias("_asked"))
-    chosen = index.select("block", "doc_id", "length", "terms", "entry_from", "entry_term", "entry_tf").join(asked, "block")
-    ordered = chosen.withColumn("_best", F.array_max("_asked.bound")).sortWithinPartitions(F.desc("_best"))
-    return ordered.select(
-        "doc_id", "length", "terms", "entry_from", "entry_term", "entry_tf", F.col("_asked.query").alias("queries"), F.col("_asked.bound").alias("bounds")
-    ).mapInArrow(_scores(q, floor, top), "query long, doc_id long, score long")
+_SCORED = ("block", "doc_id", "length", "terms", *_POINTS, "entry_from", "entry_term", "entry_tf")
 
 
 def _best(found: DataFrame, top: int) -> DataFrame:
@@ -273,29 +285,28 @@ def _document_frequencies(index: DataFrame, terms: list[bytes]) -> np.ndarray:
 
 
 def _answer(index: DataFrame, q: Queries, n_docs: int, n_terms: int, top: int) -> DataFrame:
-    """(query, rank, doc_id, score) of the queries answered together, round by round.
-
-    A round takes each query's next blocks in the order of their bounds; blocks whose bound
-    is below the query's threshold, the score of its last place, are never scored. A bound
-    that equals it is: the block may hold an equal score of a smaller key. What a round
-    leaves on the driver is a threshold and a place in the order for each query.
+    """(query, rank, doc_id, score) of the queries answered together.
+
+    First each query's ``FIRST_BLOCKS`` blocks of the greatest bounds are scored: the last
+    of the best documents there is a threshold that the answer can't fall below. Then each task
+    scores, of the blocks it has, those whose bound reaches the threshold, greatest first, while
+    its own finds raise it. A bound that equals a threshold is scored too: the block may hold an
+    equal score of a smaller key. Index rows aren't shuffled; what is are a task's
+    ``top`` documents of a query, and what the driver holds is ``FIRST_BLOCKS`` numbers and a threshold for each query.
     """
-    spark = index.sparkSession
     q.weigh(n_docs, n_terms, _document_frequencies(index, q.terms))
-    bounds = materialize(index.select("block", "terms", "point_from", "point_tf", "point_length").mapInArrow(_bounds(q), "query long, block long, bound long"), "search-bounds")
+    bounds = index.select("block", "terms", *_POINTS).mapInArrow(_bounds(q), "query long, block long, bound long")
     w = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
-    found, floor, last = None, {}, {}
-    for blocks in ROUNDS:
-        state = spark.createDataFrame([(i, floor.get(i, 1), *last.get(i, (None, None))) for i in range(len(q.of_query))], "query long, floor long, last_bound long, last_block long")
-        after = F.col("last_bound").isNull() | (F.col("bound") < F.col("last_bound")) | ((F.col("bound") == F.col("last_bound")) & (F.col("block") > F.col("last_block")))
-        left = bounds.join(F.broadcast(state), "query").where((F.col("bound") >= F.col("floor")) & after).select("query", "block", "bound")
-        if blocks is not None:
-            left = materialize(left.withColumn("place", F.row_number().over(w)).where(F.col("place") <= blocks).drop("place"), "search-round")
-            last |= {r["query"]: (r["x"]["bound"], -r["x"]["back"]) for r in left.groupBy("query").agg(F.min(F.struct("bound", (-F.col("block")).alias("back"))).alias("x")).collect()}
-        scored = _score_blocks(index, left, q, floor, top)
-        found = materialize(_best(scored if found is None else found.select("query", "doc_id", "score").unionByName(scored), top), "search-found")
-        floor = {r["query"]: r["score"] for r in found.where(F.col("rank") == top).select("query", "score").collect()}
-    return found
+    only: dict[int, list[int]] = {}
+    for r in bounds.withColumn("place", F.row_number().over(w)).where(F.col("place") <= FIRST_BLOCKS).collect():
+        only.setdefault(r["block"], []).append(r["query"])
+    floor = np.ones(len(q.of_query), np.int64)
+    if only:
+        first = index.sparkSession.createDataFrame([(b,) for b in only], "block long")
+        some = index.select(*_SCORED).join(F.broadcast(first), "block", "left_semi").mapInArrow(_scores(q, floor, top, only), "query long, doc_id long, score long")
+        for r in _best(some, top).where(F.col("rank") == top).collect():
+            floor[r["query"]] = r["score"]
+    return _best(index.select(*_SCORED).mapInArrow(_scores(q, floor, top), "query long, doc_id long, score long"), top)
 
 
 _RESULT = [StructField("rank", IntegerType()), StructField("doc_id", LongType()), StructField("score", LongType())]

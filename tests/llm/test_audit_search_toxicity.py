@@ -104,9 +104,9 @@ def brute_search(rows, items, top=10):
 ITEMS = [(1, "wa wb the"), (2, "été naïve 語"), (3, None), (4, ""), (5, "unknown"), (6, "the the the wc"), (6, "the the the wc"), (None, "x1y don't"), (7, "wt ws wr wq wp wo wn wm wl wk " * 3)]
 
 
-@pytest.mark.parametrize("block_docs,rounds,together", [(1, (1, 2, None), 2000), (7, (1, None), 2), (128, (4, 64, None), 2000), (1000, (None,), 3)])
-def test_ranked_search(spark, block_docs, rounds, together, monkeypatch):
-    monkeypatch.setattr(R, "ROUNDS", rounds)
+@pytest.mark.parametrize("block_docs,first,together", [(1, 1, 2000), (7, 2, 2), (128, 4, 2000), (1000, 0, 3)])
+def test_ranked_search(spark, block_docs, first, together, monkeypatch):
+    monkeypatch.setattr(R, "FIRST_BLOCKS", first)
     monkeypatch.setattr(R, "QUERY_ROWS", together)
     build = R.build_index
     monkeypatch.setattr(R, "build_index", lambda docs, text, key: build(docs, text, key, block_docs, 4000))
@@ -125,7 +125,7 @@ def test_bounds_hold_and_prune(spark):
     n_docs, n_terms = index.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     q.weigh(n_docs, n_terms, R._document_frequencies(index, q.terms))
     bounds = index.select("block", "terms", "point_from", "point_tf", "point_length").mapInArrow(R._bounds(q), "query long, block long, bound long")
-    every = R._score_blocks(index, bounds, q, {}, 1000).groupBy("query", "doc_id").agg(F.max("score").alias("score"))
+    every = index.select(*R._SCORED).mapInArrow(R._scores(q, np.ones(len(q.of_query), np.int64), 1000), "query long, doc_id long, score long").groupBy("query", "doc_id").agg(F.max("score").alias("score"))
     place = index.select("block", F.explode("doc_id").alias("doc_id"))
     joined = every.join(place, "doc_id").join(bounds, ["query", "block"])
     assert joined.count() > 1000 and joined.where("score > bound").count() == 0
