@@ -19,6 +19,7 @@ import gzip
 import io
 import json
 import posixpath
+import re
 import struct
 import uuid
 import zlib
@@ -95,13 +96,25 @@ def parse_head(head: bytes) -> dict[str, str]:
     return out
 
 
+#: A number that a 64-bit column holds: ASCII digits with a sign at most.
+NUMBER = re.compile(r"[+-]?[0-9]{1,30}")
+
+
+def whole_number(text: str) -> int | None:
+    """The number that a header's value is; None for anything else, and for numbers beyond 64 bits."""
+    if not NUMBER.fullmatch(text):
+        return None
+    n = int(text)
+    return n if -(1 << 63) <= n < 1 << 63 else None
+
+
 def columns_of(headers: dict[str, str]) -> dict:
     """Column values of a record's headers; numbers that are none are null."""
     row: dict = {}
     for column, (name, kind) in HEADERS.items():
         value = headers.get(name.lower())
         if value is not None and kind is int:
-            value = int(value) if value.lstrip("-").isdigit() else None
+            value = whole_number(value)
         row[column] = value
     return row
 
@@ -175,8 +188,16 @@ def _manifests(store, root: str) -> dict[str, list[str]]:
 
 def _length(headers: dict[str, str]) -> int | None:
     """A record's content length; None if there is none or it isn't a number."""
-    value = headers.get("content-length", "")
-    return int(value) if value.isascii() and value.isdigit() else None
+    n = whole_number(headers.get("content-length", ""))
+    return n if n is not None and n >= 0 else None
+
+
+def _past(f, n: int) -> bool:
+    """Go past so many bytes; whether they are all there."""
+    if not n:
+        return True
+    f.seek(n - 1, 1)
+    return bool(f.read(1))
 
 
 class WarcReader(DataSourceReader):
@@ -240,13 +261,16 @@ class WarcReader(DataSourceReader):
             if path.endswith(".gz") and index.type == fs.FileType.File:
                 with store.open_input_file(f"{path}.idx") as g:
                     ends = [x for (x,) in struct.iter_unpack("<q", g.read())]
-                total = ends[-1] if ends else 0
+                total, size = ends[-1] if ends else 0, f.size()
                 low, high = total * task.part // task.parts, total * (task.part + 1) // task.parts
                 for begin, end in zip([0, *ends], ends, strict=False):
-                    if low <= begin < high:
+                    if low <= begin < high and end <= size:
                         f.seek(begin)
                         first = f.read(min(HEAD_BYTES, end - begin))
-                        yield from self._member(first, lambda f=f, n=end - begin - len(first): f.read(n), tests)
+                        try:
+                            yield from self._member(first, lambda f=f, n=end - begin - len(first): f.read(n), tests)
+                        except zlib.error:
+                            continue
             elif path.endswith(".gz"):
                 yield from self._plain(gzip.GzipFile(fileobj=io.BufferedReader(f)), tests)
             else:
@@ -286,11 +310,17 @@ class WarcReader(DataSourceReader):
         yield row, payload
 
     def _plain(self, f, tests):
-        """Records of a stream without an index: unwanted blocks are read past.
+        """Records of a stream without an index, up to where it breaks off: unwanted blocks are read past.
 
         A record without a proper length has a null payload; the next one is looked for
-        line by line.
+        line by line. A record that the end of the stream cuts off is none, nor is what lies behind damaged bytes.
         """
+        try:
+            yield from self._stream(f, tests)
+        except (EOFError, zlib.error, gzip.BadGzipFile):
+            return
+
+    def _stream(self, f, tests):
         while True:
             line = f.readline()
             if not line:
@@ -300,18 +330,20 @@ class WarcReader(DataSourceReader):
             head = [line]
             while (line := f.readline()) not in (b"\r\n", b"\n", b""):
                 head.append(line)
+            if not line:
+                return
             headers, row, wanted = self._wanted(b"".join(head), tests)
             length = _length(headers)
             if length is None:
                 if wanted:
                     yield row, None
                 continue
-            if not wanted:
-                f.seek(length, 1)
-                continue
-            keep = self.payload and row["warc_type"] != "revisit"
-            block = f.read(length) if keep else f.seek(length, 1) and None
-            yield row, self._body(headers, block) if keep else None
+            keep = wanted and self.payload and row["warc_type"] != "revisit"
+            block = f.read(length) if keep else None
+            if len(block) < length if keep else not _past(f, length):
+                return
+            if wanted:
+                yield row, self._body(headers, block) if keep else None
 
 
 # ---------------------------------------------------------------- writing

@@ -346,6 +346,41 @@ def test_warc_malformed_records(tmp_path, spark):
     assert sorted(((r.page_id, r.payload and len(r.payload)) for r in rows), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("value", ["--5", "\u00b2", "9" * 30, "-" + "9" * 25, "", "+", "1.5", "\u0663", "1_0"])
+def test_warc_numbers(tmp_path, spark, value):
+    """What is no 64-bit number is null, and its record is there all the same."""
+    good = warc.record("response", {"X-Page-Id": 1}, warc.HTTP_HEAD + b"<p>x")
+    (tmp_path / "a.warc").write_bytes(good.replace(b"X-Page-Id: 1", f"X-Page-Id: {value}".encode()) + good)
+    rows = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert sorted(((r.page_id, bytes(r.payload)) for r in rows), key=str) == [(1, b"<p>x"), (None, b"<p>x")]
+    (tmp_path / "a.warc").write_bytes(good.replace(b"Content-Length: ", b"Content-Length: " + b"9" * 30) + good)
+    assert sorted(str(r.payload and bytes(r.payload)) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()) == ["None", "b'<p>x'"]
+
+
+@pytest.mark.parametrize("payload", [True, False])
+@pytest.mark.parametrize("kind", ["warc", "warc.gz", "indexed"])
+def test_warc_cut_off(tmp_path, spark, kind, payload):
+    """Of an archive that breaks off, or is damaged, the whole records before that place are read, whatever columns are asked for."""
+    import gzip
+    import random
+    import struct
+
+    noise = random.Random(1).randbytes(6000).hex().encode()
+    parts = [warc.record("response", {"X-Page-Id": k}, warc.HTTP_HEAD + noise) for k in range(4)]
+    packed = [x if kind == "warc" else gzip.compress(x) for x in parts]
+    whole = b"".join(packed)
+    name = "a.warc" if kind == "warc" else "a.warc.gz"
+    if kind == "indexed":
+        (tmp_path / f"{name}.idx").write_bytes(struct.pack("<4q", *np.cumsum([len(m) for m in packed])))
+    ids = lambda: sorted(r.page_id for r in warc.read_archives(spark, f"file://{tmp_path}", payload=payload).collect())
+    for cut, want in ((len(whole), 4), (len(packed[0]) + len(packed[1]) + len(packed[2]) // 2, 2), (len(packed[0]) + 20, 1), (30, 0)):
+        (tmp_path / name).write_bytes(whole[:cut])
+        assert ids() == list(range(want))
+    if kind == "warc.gz":
+        (tmp_path / name).write_bytes(packed[0] + packed[1] + b"\x00damage" + packed[3])
+        assert ids() == [0, 1]
+
+
 def test_warc_long_payload_and_long_head(spark):
     rows = [(1, "u" * 10_000, "é" * 3_000_000), (2, "u", "é" * 3_000_000)]
     got = {r.page_id: r for r in warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
