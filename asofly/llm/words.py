@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import re
+import struct
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -191,7 +192,30 @@ def library_whole(path: str) -> Callable[[list[str]], list[bytes]]:
 
 
 def library_words(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encode distinct words many to a text; the last token of a word carries the word end, which cuts the ids apart."""
+    """Encode distinct words: printable ASCII ones by the library's model alone, others many to a text.
+
+    The steps before the model leave a lower-cased word of printable ASCII as it is (bytes
+    33 to 126 stand for themselves). In a text the last token of a word carries the word
+    end, which cuts the ids apart.
+    """
+    in_texts, tokenize, pack = _words_in_texts(path), _load(path).model.tokenize, struct.pack
+
+    def encode(words: list[str]) -> list[bytes]:
+        plain = [w.isascii() and w.isprintable() for w in words]
+        others = iter(in_texts([w for w, is_plain in zip(words, plain, strict=True) if not is_plain]))
+        out: list[bytes] = []
+        for w, is_plain in zip(words, plain, strict=True):
+            if is_plain:
+                tokens = tokenize(w)
+                out.append(pack(f"<{len(tokens)}I", *[t.id for t in tokens]))
+            else:
+                out.append(next(others))
+        return out
+
+    return encode
+
+
+def _words_in_texts(path: str) -> Callable[[list[str]], list[bytes]]:
     import numpy as np
 
     tok = _load(path)
