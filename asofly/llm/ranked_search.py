@@ -24,11 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from asofly.llm.terms import WORDS, rows_of, strings, terms_of, utf8
+from asofly.llm.terms import WORDS, rows_of, terms_of, utf8
 from asofly.session import materialize
 
 # Fixed values of the score: length normalisation in percent, term frequency saturation, scales.
@@ -41,16 +42,25 @@ QUERY_BYTES, QUERY_ROWS = 4 << 20, 2000
 #: Blocks of the greatest bounds that are scored first for each query.
 FIRST_BLOCKS = 4
 
-INDEX = (
-    "block long, n_docs long, n_terms long, doc_id array<long>, length array<long>, terms array<string>, df array<int>, "
-    "point_from array<int>, point_tf array<int>, point_length array<long>, entry_from array<int>, entry_term array<int>, entry_tf array<int>"
-)
+#: A block's row: its number, documents with a term, their terms, and three packed columns of which a pass reads what it needs.
+INDEX = "block long, n_docs long, n_terms long, dictionary binary, points binary, forward binary"
 
 
-def _lists(values: list, kind: pa.DataType) -> pa.Array:
-    """One row holding the values as a list."""
-    flat = pa.array(values, kind)
-    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit or smaller integers as one compressed value."""
+    head = np.asarray([len(arrays), *[len(a) for a in arrays], *[a.itemsize for a in arrays]], "<i8").tobytes()
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    sizes, widths = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n).tolist()
+    out, at = [], 8 * (2 * n + 1)
+    for size, width in zip(sizes, widths, strict=True):
+        out.append(np.frombuffer(raw, f"<i{width}", size, at))
+        at += size * width
+    return out
 
 
 def _points(term: np.ndarray, tf: np.ndarray, length: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,16 +81,13 @@ def _block(number: int, docs: list[tuple[int | None, Counter, int]]) -> pa.Recor
     term = np.asarray(ids, np.int32)
     tf = np.fromiter((v for _, counts, _ in docs for v in counts.values()), np.int32, len(ids))
     lengths = np.asarray([n for *_, n in docs], np.int64)
-    point_from, point_tf, point_length = _points(term, tf, np.repeat(lengths, sizes), len(vocabulary))
-    held = int((lengths > 0).sum())
-    columns = [
-        pa.array([number]), pa.array([held]), pa.array([int(lengths.sum())]),
-        _lists([d for d, *_ in docs], pa.int64()), _lists(lengths, pa.int64()),
-        pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), strings(list(vocabulary))),
-        _lists(np.bincount(term, minlength=len(vocabulary)).astype(np.int32), pa.int32()),
-        _lists(point_from.astype(np.int32), pa.int32()), _lists(point_tf, pa.int32()), _lists(point_length, pa.int64()),
-        _lists(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.int32()), _lists(term, pa.int32()), _lists(tf, pa.int32()),
-    ]
+    begin, point_tf, point_length = _points(term, tf, np.repeat(lengths, sizes), len(vocabulary))
+    # no term holds a line end
+    dictionary = _pack(np.bincount(term, minlength=len(vocabulary)).astype(np.int32), np.frombuffer(b"\n".join(vocabulary), np.int8))
+    null = np.asarray([d is None for d, *_ in docs], np.int8)
+    forward = _pack(np.asarray([d or 0 for d, *_ in docs], np.int64), null, lengths, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), term, tf)
+    columns = [pa.array([x]) for x in (number, int((lengths > 0).sum()), int(lengths.sum()))]
+    columns += [pa.array([x], pa.binary()) for x in (dictionary, _pack(begin.astype(np.int32), point_tf, point_length), forward)]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in INDEX.split(", ")])
 
 
@@ -146,30 +153,25 @@ def impact(tf: np.ndarray, length: np.ndarray, n_docs: int, n_terms: int) -> np.
     return TF_SCALE * tf // (TF_STEP * tf + SATURATION * m)
 
 
-def _part(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
-    column = batch.column(name)
-    return column.values.slice(column.offsets[row].as_py(), column.offsets[row + 1].as_py() - column.offsets[row].as_py()).to_numpy(zero_copy_only=False)
-
-
-def _where_terms(batch: pa.RecordBatch, row: int, wanted: pa.Array) -> np.ndarray:
-    """For each term of the block its place among the wanted ones, or -1."""
-    column = batch.column("terms")
-    terms = column.values.slice(column.offsets[row].as_py(), column.offsets[row + 1].as_py() - column.offsets[row].as_py())
-    return pc.fill_null(pc.index_in(terms.cast(pa.string()), value_set=wanted), -1).to_numpy(zero_copy_only=False)
+def _dictionary(blob: bytes, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each term of a block its place among the wanted ones, or -1, and the documents that hold it."""
+    df, text = _unpack(blob)
+    terms = pa.array(text.tobytes().split(b"\n") if len(text) else [], pa.binary())
+    return pc.fill_null(pc.index_in(terms, value_set=wanted), -1).to_numpy(zero_copy_only=False), df
 
 
 def _document_counts(terms: list[bytes]):
     """Documents of each wanted term, added up within a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = strings(terms)
-        df = np.zeros(len(terms), np.int64)
+        wanted = pa.array(terms, pa.binary())
+        total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for row in range(batch.num_rows):
-                at = _where_terms(batch, row, wanted)
-                df[at[at >= 0]] += _part(batch, "df", row)[at >= 0]
-        held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(df[held], pa.int64())], names=["at", "df"])
+            for blob in batch.column("dictionary"):
+                at, df = _dictionary(blob.as_py(), wanted)
+                total[at[at >= 0]] += df[at >= 0]
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["at", "df"])
 
     return count
 
@@ -189,29 +191,20 @@ def _block_bounds(q: Queries, at: np.ndarray, begin: np.ndarray, tf: np.ndarray,
     return upto[q.edges[1:]] - upto[q.edges[:-1]]
 
 
-_POINTS = ("point_from", "point_tf", "point_length")
-
-
 def _bounds(q: Queries):
     """(query, block, bound) wherever the bound is above zero."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = strings(q.terms)
+        wanted = pa.array(q.terms, pa.binary())
         for batch in batches:
-            for row in range(batch.num_rows):
-                sums = _block_bounds(q, _where_terms(batch, row, wanted), *[_part(batch, c, row) for c in _POINTS])
+            for number, dictionary, points in zip(*(batch.column(c) for c in ("block", "dictionary", "points")), strict=True):
+                sums = _block_bounds(q, _dictionary(dictionary.as_py(), wanted)[0], *_unpack(points.as_py()))
                 hit = np.flatnonzero(sums > 0)
-                block = batch.column("block")[row].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(np.full(len(hit), block)), pa.array(sums[hit])], names=["query", "block", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(np.full(len(hit), number.as_py())), pa.array(sums[hit])], names=["query", "block", "bound"])
 
     return bound
 
 
-def _order(doc_id: int | None) -> tuple[bool, int]:
-    """Ascending keys, null last."""
-    return doc_id is None, doc_id or 0
-
-
 #: Blocks that a task sorts by their bounds at once.
 SORTED_BLOCKS = 64
 
@@ -224,26 +217,26 @@ def _scores(q: Queries, floor: np.ndarray, top: int, only: dict[int, list[int]]
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = strings(q.terms)
+        wanted = pa.array(q.terms, pa.binary())
         best: dict[int, list[tuple[int, tuple[bool, int], int]]] = {}  # heaps of (score, descending key, row number)
         least = floor.copy()
         made = 0
         for batch in (b.slice(i, SORTED_BLOCKS) for b in batches for i in range(0, b.num_rows, SORTED_BLOCKS)):
-            ats = [_where_terms(batch, row, wanted) for row in range(batch.num_rows)]
-            sums = [_block_bounds(q, at, *[_part(batch, c, row) for c in _POINTS]) for row, at in enumerate(ats)]
+            numbers = batch.column("block").to_pylist()
+            ats = [_dictionary(x.as_py(), wanted)[0] for x in batch.column("dictionary")]
+            sums = [_block_bounds(q, at, *_unpack(x.as_py())) for at, x in zip(ats, batch.column("points"), strict=True)]
             for row in sorted(range(batch.num_rows), key=lambda r: -int(sums[r].max(initial=0))):
                 asked = np.flatnonzero(sums[row] >= least)
                 if only is not None:
-                    asked = np.intersect1d(asked, only.get(batch.column("block")[row].as_py(), []))
+                    asked = np.intersect1d(asked, only.get(numbers[row], []))
                 if not len(asked):
                     continue
-                term = ats[row][_part(batch, "entry_term", row)]
+                ids, null, length, begin, term, tf = _unpack(batch.column("forward")[row].as_py())
+                term = ats[row][term]
                 kept = np.flatnonzero(term >= 0)
-                edge = np.searchsorted(kept, _part(batch, "entry_from", row))
-                length = np.repeat(_part(batch, "length", row), np.diff(edge))
+                edge = np.searchsorted(kept, begin)
                 term = term[kept]
-                worth = impact(_part(batch, "entry_tf", row)[kept], length, q.n_docs, q.n_terms)
-                ids = batch.column("doc_id")[row].as_py()
+                worth = impact(tf[kept], np.repeat(length, np.diff(edge)), q.n_docs, q.n_terms)
                 for query in asked.tolist():
                     weight = np.zeros(len(q.terms), np.int64)
                     places, w = q.of_query[query]
@@ -252,9 +245,8 @@ def _scores(q: Queries, floor: np.ndarray, top: int, only: dict[int, list[int]]
                     total = upto[edge[1:]] - upto[edge[:-1]]
                     heap = best.setdefault(query, [])
                     for d in np.flatnonzero(total >= least[query]).tolist():
-                        null, k = _order(ids[d])
                         made += 1
-                        entry = (int(total[d]), (not null, -k), made)
+                        entry = (int(total[d]), (not null[d], -int(ids[d])), made)  # of equal scores the smaller key, null last
                         if len(heap) < top:
                             heapq.heappush(heap, entry)
                         elif entry > heap[0]:
@@ -269,9 +261,6 @@ def _scores(q: Queries, floor: np.ndarray, top: int, only: dict[int, list[int]]
     return score
 
 
-_SCORED = ("block", "doc_id", "length", "terms", *_POINTS, "entry_from", "entry_term", "entry_tf")
-
-
 def _best(found: DataFrame, top: int) -> DataFrame:
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
@@ -279,7 +268,7 @@ def _best(found: DataFrame, top: int) -> DataFrame:
 
 def _document_frequencies(index: DataFrame, terms: list[bytes]) -> np.ndarray:
     df = np.zeros(len(terms), np.int64)
-    for r in index.select("terms", "df").mapInArrow(_document_counts(terms), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect():
+    for r in index.select("dictionary").mapInArrow(_document_counts(terms), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).collect():
         df[r["at"]] = r["df"]
     return df
 
@@ -295,7 +284,7 @@ def _answer(index: DataFrame, q: Queries, n_docs: int, n_terms: int, top: int) -
     ``top`` documents of a query, and what the driver holds is ``FIRST_BLOCKS`` numbers and a threshold for each query.
     """
     q.weigh(n_docs, n_terms, _document_frequencies(index, q.terms))
-    bounds = index.select("block", "terms", *_POINTS).mapInArrow(_bounds(q), "query long, block long, bound long")
+    bounds = index.select("block", "dictionary", "points").mapInArrow(_bounds(q), "query long, block long, bound long")
     w = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
     only: dict[int, list[int]] = {}
     for r in bounds.withColumn("place", F.row_number().over(w)).where(F.col("place") <= FIRST_BLOCKS).collect():
@@ -303,10 +292,10 @@ def _answer(index: DataFrame, q: Queries, n_docs: int, n_terms: int, top: int) -
     floor = np.ones(len(q.of_query), np.int64)
     if only:
         first = index.sparkSession.createDataFrame([(b,) for b in only], "block long")
-        some = index.select(*_SCORED).join(F.broadcast(first), "block", "left_semi").mapInArrow(_scores(q, floor, top, only), "query long, doc_id long, score long")
+        some = index.select("block", "dictionary", "points", "forward").join(F.broadcast(first), "block", "left_semi").mapInArrow(_scores(q, floor, top, only), "query long, doc_id long, score long")
         for r in _best(some, top).where(F.col("rank") == top).collect():
             floor[r["query"]] = r["score"]
-    return _best(index.select(*_SCORED).mapInArrow(_scores(q, floor, top), "query long, doc_id long, score long"), top)
+    return _best(index.select("block", "dictionary", "points", "forward").mapInArrow(_scores(q, floor, top), "query long, doc_id long, score long"), top)
 
 
 _RESULT = [StructField("rank", IntegerType()), StructField("doc_id", LongType()), StructField("score", LongType())]

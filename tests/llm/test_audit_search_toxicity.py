@@ -124,9 +124,9 @@ def test_bounds_hold_and_prune(spark):
     q = R.parse([(r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()])
     n_docs, n_terms = index.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     q.weigh(n_docs, n_terms, R._document_frequencies(index, q.terms))
-    bounds = index.select("block", "terms", "point_from", "point_tf", "point_length").mapInArrow(R._bounds(q), "query long, block long, bound long")
-    every = index.select(*R._SCORED).mapInArrow(R._scores(q, np.ones(len(q.of_query), np.int64), 1000), "query long, doc_id long, score long").groupBy("query", "doc_id").agg(F.max("score").alias("score"))
-    place = index.select("block", F.explode("doc_id").alias("doc_id"))
+    bounds = index.select("block", "dictionary", "points").mapInArrow(R._bounds(q), "query long, block long, bound long")
+    every = index.select("block", "dictionary", "points", "forward").mapInArrow(R._scores(q, np.ones(len(q.of_query), np.int64), 1000), "query long, doc_id long, score long").groupBy("query", "doc_id").agg(F.max("score").alias("score"))
+    place = spark.createDataFrame([(r["block"], int(d)) for r in index.select("block", "forward").collect() for d in R._unpack(r["forward"])[0]], "block long, doc_id long")
     joined = every.join(place, "doc_id").join(bounds, ["query", "block"])
     assert joined.count() > 1000 and joined.where("score > bound").count() == 0
     best = {r["query"]: r["score"] for r in R._best(every, 10).where("rank = 10").collect()}
