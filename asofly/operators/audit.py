@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from asofly.operators.differ import boundary_violations
 from asofly.operators.entities import containment
-from asofly.operators.labels import gate3_labels, self_consistency
-from asofly.operators.programs import spike, stratum_progress
+from asofly.operators.labels import gate3_labels, latest_labels, self_consistency
+from asofly.operators.programs import saturation, spike, stratum_progress
 from asofly.operators.temporal import as_of_join, as_of_point, contiguity
 from asofly.sources.snapshots import integrity
 
@@ -83,6 +83,44 @@ def universe(candidates: DataFrame, known: DataFrame, seeds: DataFrame, trials:
     )
 
 
+#: Discovery strategies in the order in which they run, the last one's share that is still content, and the agreement that exclusions need.
+STRATEGIES, LAST_SHARE, AGREEMENT = ("pattern_match", "seed_expansion", "sponsor_expansion"), 0.15, 0.95
+
+
+def scope_agreement(sample: DataFrame, records: DataFrame) -> DataFrame:
+    """Q3: of the held-out programs with a scope decision (gate 2 or 3): sampled, compared, agreements, rate.
+
+    sample: program_id, predicted_in_scope, predicted_scope_reason. A "no" agrees only if its reason does too.
+    """
+    decided = latest_labels(records).where(F.col("gate_reached").isin(2, 3)).select("program_id", "in_scope", "scope_reason", F.lit(True).alias("_seen"))
+    j = sample.join(decided, "program_id", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
+    same = F.col("in_scope").eqNullSafe(F.col("predicted_in_scope"))
+    reason = (F.col("predicted_in_scope") != "no") | F.col("predicted_in_scope").isNull() | F.col("scope_reason").eqNullSafe(F.col("predicted_scope_reason"))
+    n = j.agg(F.count(F.lit(1)).alias("sampled"), F.count_if("_seen").alias("compared"), F.count_if(F.col("_seen") & same & reason).alias("agreements"))
+    return n.withColumn("rate", F.try_divide("agreements", "compared"))
+
+
+def discovery(candidates: DataFrame, programs: DataFrame, sample: DataFrame, records: DataFrame) -> DataFrame:
+    """Q3: how much the last strategy still adds, assets that span both tumour kinds, and whether automatic exclusions agree with reviewers.
+
+    candidates: candidate_id, strategies; programs: proposed_name, spans_heme_and_solid; sample and records as in ``scope_agreement``.
+    """
+    found = candidates.select("candidate_id", F.explode_outer("strategies").alias("strategy"))
+    curve = saturation(found, "candidate_id", "strategy", list(STRATEGIES))
+    line = F.concat(F.coalesce("strategy", F.lit("no recognised strategy")), F.lit(": "), F.col("n").cast("string"), F.lit(", "), F.col("cumulative").cast("string"))
+    last = curve.agg(F.max(F.when(F.col("strategy") == STRATEGIES[-1], F.col("share"))).alias("share"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", line.alias("t")))), lambda x: x["t"]), " | ").alias("lines"))
+    spans = programs.agg(F.count_if("spans_heme_and_solid").alias("k"), F.count(F.lit(1)).alias("n"))
+    agreed = scope_agreement(sample, records)
+    level = F.when(F.col("rate").isNull(), "INFO").when(F.col("rate") >= AGREEMENT, "PASS").otherwise("FAIL")
+    return union(
+        [
+            verdict(last, "universe", "the last strategy adds little", F.when(F.col("share") > LAST_SHARE, "WARN").otherwise("INFO"), f"at most {LAST_SHARE}", F.round("share", 4), F.col("lines")),
+            verdict(spans, "universe", "assets span haematological and solid tumours", F.lit("INFO"), "any", F.col("k"), F.concat(F.lit("of "), F.col("n").cast("string"))),
+            verdict(agreed, "universe", "automatic exclusions agree with blind reviews", level, str(AGREEMENT), F.round("rate", 4), F.concat("agreements", F.lit(" of "), "compared", F.lit(" compared, "), "sampled", F.lit(" held out"))),
+        ]
+    )
+
+
 def history(index: DataFrame, queue: DataFrame) -> DataFrame:
     """Q5: versions without gaps and dates that don't go back; no work pending and no errors.
 

@@ -139,6 +139,49 @@ def open_ids(programs: DataFrame, records: DataFrame, exclude: DataFrame, key: s
     return programs.join(latest_labels(records).select(key), key, "left_anti").join(exclude.select(key), key, "left_anti").orderBy(key)
 
 
+def without_type(programs: DataFrame, versions: DataFrame, bad: str, key: str = "nct_id", field: str = "study_type") -> DataFrame:
+    """Rows none of whose indexed versions is of the type ``bad`` (expanded access): one anti join, null keys stay."""
+    return programs.join(versions.where(F.col(field) == bad).select(key), key, "left_anti")
+
+
+def outstanding(universe: DataFrame, *done: DataFrame, key: str = "nct_id") -> DataFrame:
+    """Keys of the universe that none of the other tables (indexed, failed, tracked) has."""
+    left = universe.select(key).distinct()
+    for d in done:
+        left = left.join(d.select(key), key, "left_anti")
+    return left
+
+
+def signal_stats(versions: DataFrame, key: str, modules: str, signals: list[str]) -> DataFrame:
+    """A1: versions, records, versions with a signal module, and their share (0.0 of none), in one pass."""
+    signal = F.count_if(F.arrays_overlap(modules, F.array(*[F.lit(x) for x in signals])))
+    return versions.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct(key).alias("records"), signal.alias("signal"), F.coalesce(F.try_divide(signal, F.count(F.lit(1))), F.lit(0.0)).alias("ratio"))
+
+
+def child_stats(parents: DataFrame, children: DataFrame, key: str, child: str) -> DataFrame:
+    """Children of each parent: sum, mean, median, most, parents without any, and distinct children overall."""
+    counts = children.groupBy(key).agg(F.count(child).alias("n"))
+    n = parents.select(key).distinct().join(counts, key, "left").na.fill(0, ["n"])
+    per = n.agg(F.sum("n").alias("total"), F.avg("n").alias("mean"), F.median("n").alias("median"), F.max("n").alias("most"), F.count_if(F.col("n") == 0).alias("without"))
+    return per.crossJoin(children.agg(F.count_distinct(child).alias("distinct_children")))
+
+
+def saturation(found: DataFrame, key: str, strategy: str, order: list[str]) -> DataFrame:
+    """For each strategy in order the members that it is the first to find, their share, and how many are found so far.
+
+    Strategies outside ``order`` credit nobody; members that only such have found are the row of step 0.
+    """
+    steps = F.array(*[F.lit(x) for x in order])
+    first = found.groupBy(key).agg(F.coalesce(F.min(F.nullif(F.array_position(steps, F.col(strategy)), F.lit(0).cast("long"))), F.lit(0).cast("long")).alias("step"))
+    counts = first.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    known = found.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(order)], "step long, strategy string")
+    # one row for each strategy: a handful
+    rows = known.join(counts, "step", "left").select("step", "strategy", F.coalesce("n", F.lit(0)).alias("n")).unionByName(counts.where("step = 0").select("step", F.lit(None).cast("string").alias("strategy"), "n"))
+    upto = F.sum(F.when(F.col("step") > 0, F.col("n"))).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum(F.when(F.col("step") > 0, F.col("n"))).over(Window.partitionBy())
+    return rows.select("step", "strategy", "n", F.when(F.col("step") > 0, F.coalesce(F.try_divide("n", total), F.lit(0.0))).alias("share"), F.coalesce(upto, F.lit(0)).alias("cumulative"))
+
+
 def unknown_values(rows: DataFrame, values: str, known: list[str]) -> DataFrame:
     """Values of an array column outside a vocabulary."""
     return rows.select(F.explode(values).alias("value")).distinct().where(~F.col("value").isin(*known))

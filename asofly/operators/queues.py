@@ -196,6 +196,45 @@ def request_cost(input_tokens: Column, output_tokens: Column, rates: tuple[float
     return tokens if searches is None else tokens + searches * per_thousand / 1000
 
 
+def dry_run(evidences: DataFrame, header_chars: int, rates: tuple[float, float], batch_discount: float = 0.5, batch: int = 20, samples: tuple[int, int] = (3, 5), answer_tokens: int = 60, cap: int = 400, search_tokens: tuple[int, int] = (1400, 150), key: str = "program_id") -> DataFrame:
+    """What a run over the residue would ask and cost, without asking: one row.
+
+    evidences: key, prompt (a candidate's part of a prompt, null where no text names it).
+    Candidates with a text are asked ``batch`` to a prompt behind a header, ``samples`` times
+    typically and at worst; those without go to the search layer, of which at most ``cap`` are served
+    and the others counted as overflow. Tokens are a quarter of the characters, one at least.
+    """
+    named = evidences.where("prompt is not null")
+    groups = dense_ids(named.select(key, F.length("prompt").alias("_n")), [key], "_at").groupBy(F.floor(F.col("_at") / batch).alias("_g")).agg(F.sum("_n").alias("chars"), F.count(F.lit(1)).alias("k"))
+    tokens = F.greatest(F.lit(1), F.floor((F.col("chars") + F.col("k") - 1 + header_chars) / 4)).cast("long")
+    asked = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.coalesce(F.sum("k"), F.lit(0)).alias("with_text"))
+    size = evidences.agg(F.count(F.lit(1)).alias("residue"), F.count_if(F.col("prompt").isNull()).alias("no_text"))
+    one = asked.crossJoin(size)
+    cost = lambda k: request_cost(F.col("tokens") * k, F.col("with_text") * answer_tokens * k, rates, batch_discount)
+    each = request_cost(F.lit(search_tokens[0]), F.lit(search_tokens[1]), rates, batch_discount)
+    return one.select(
+        "residue", "with_text", "groups", "tokens", cost(samples[0]).alias("typical_cost"), cost(samples[1]).alias("worst_cost"), "no_text", F.greatest(F.col("no_text") - cap, F.lit(0)).alias("overflow"),
+        (each * F.least(F.col("no_text"), F.lit(cap))).alias("least_search_cost"), (each * F.least(F.col("no_text") + F.col("with_text"), F.lit(cap))).alias("most_search_cost"),
+    )
+
+
+def resume_sets(pool: DataFrame, staged: DataFrame, pilot: DataFrame, key: str = "program_id", name: str = "proposed_name") -> DataFrame:
+    """What is left of an interrupted run: (key, name, step) of the pool: ``done``, ``search`` or ``ask``.
+
+    The latest staged record of a program decides: with a layer 3 record it is done; with one of
+    layer 2 it is done unless that was sent on to the search layer. Programs of the pilot (name,
+    routed) have been asked already, and those that it sent on are searched.
+    """
+    last = latest_by(staged, key, "timestamp", "position").select(key, "layer", F.coalesce("route_to_layer3", F.lit(False)).alias("_sent"))
+    seen = pilot.groupBy(name).agg(F.bool_or(F.coalesce("routed", F.lit(False))).alias("_routed"), F.lit(True).alias("_piloted"))
+    j = pool.select(key, name).join(last, key, "left").join(seen, name, "left")
+    step = (
+        F.when(F.col("layer") == 3, "done").when(F.col("layer") == 2, F.when(F.col("_sent"), "search").otherwise("done"))
+        .when(F.coalesce("_piloted", F.lit(False)), F.when(F.col("_routed"), "search").otherwise("done")).otherwise("ask")
+    )
+    return j.select(key, name, step.alias("step"))
+
+
 def lead_distribution(rows: DataFrame, by: str, lead: str) -> DataFrame:
     """N, mean, median, range and index quartiles of lead times: the value at ``int(q n)``; with fewer than four, the ends.
 

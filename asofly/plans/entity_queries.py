@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from asofly.functions import text as X
 from asofly.functions import vocab as V
+from asofly.operators import components, dictionary
 from asofly.operators import entities as E
 from asofly.operators import labels as L
+from asofly.operators import programs as P
 from asofly.operators import triage as T
 from asofly.operators.graph import connected_components
 from asofly.plans.registry import query
 from asofly.plans.tables import lineitem, orders, table
+from asofly.session import materialize, scratch_path
 from asofly.sources import snapshots as S
+from asofly.sources.commits import SnapshotStore
 
 
 def _list(words) -> str:
@@ -30,7 +34,53 @@ def semi_successor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def anti_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without an order of a kind."""
-    return table(spark, sf_dir, "customer").select("c_custkey").join(orders(spark, sf_dir).where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    versions = orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    return P.without_type(table(spark, sf_dir, "customer").select("c_custkey"), versions, "P", "c_custkey", "o_orderstatus")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def outstanding_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that neither of two logs of orders has."""
+    done = [orders(spark, sf_dir).where(w).select(F.col("o_custkey").alias("c_custkey")) for w in ("o_orderstatus = 'P'", "o_totalprice > 300000")]
+    return P.outstanding(table(spark, sf_dir, "customer"), *done, key="c_custkey")
+
+
+_WORDS_SQL = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH b AS (SELECT {_WORDS_SQL.format("text")} AS w FROM benchmark),
+names AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS name FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b) UNION SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+d AS (SELECT doc_id, {_WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+runs AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS name FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d) UNION ALL SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))
+SELECT doc_id, name, count(*) AS n, min(i) - 1 AS first_word FROM runs JOIN names USING (name) GROUP BY doc_id, name""")
+def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phrase of two or three words of the benchmark, wherever whole documents hold it."""
+    words = F.split(dictionary.spoken("text"), " ")
+    run = lambda k: F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))).alias("name")
+    b = table(spark, sf_dir, "benchmark").select(words.alias("w"))
+    names = b.where(F.size("w") >= 2).select(run(2)).unionByName(b.where(F.size("w") >= 3).select(run(3)))
+    return dictionary.text_mentions(table(spark, sf_dir, "documents"), "text", "doc_id", names, "name")
+
+
+@query("""SELECT o_orderstatus AS source, year(CAST(o_orderdate AS DATE)) AS year, count(*) AS n, count(DISTINCT sha256(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus)) AS bodies FROM orders GROUP BY ALL""")
+def committed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as snapshots in three commits, the second repeating the first's, and what a reader of the store sees."""
+    body = F.concat(F.col("o_orderkey").cast("string"), F.lit("|"), F.col("o_orderstatus"))
+    rows = orders(spark, sf_dir).select(F.col("o_orderstatus").alias("source"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").cast("date").alias("snapshot_date"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"), F.lit("u").alias("url"), body.alias("body"))
+    store = SnapshotStore(spark, scratch_path(spark, "snapshot-store", keep=True))
+    for upto in ("1994-12-31", "1996-12-31", "9999-12-31"):
+        store.append(rows.where(F.col("snapshot_date") <= upto))
+    return store.read().groupBy("source", F.year("snapshot_date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sha256").alias("bodies"))
+
+
+@query()
+def growing_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers joined by parts, the lines of returned goods first, then the others in two batches (iterative; tested against union-find)."""
+    e = lineitem(spark, sf_dir).select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), "l_returnflag")
+    stored = materialize(components.first_components(e.where("l_returnflag = 'R'"), "a", "b"), "components-0")
+    for batch, flag in enumerate(("A", "N"), 1):
+        stored = materialize(components.add_edges(stored, e.where(F.col("l_returnflag") == flag), "a", "b", batch)[0], f"components-{batch}")
+    return stored
 
 
 @query("""SELECT l_partkey, count(DISTINCT l_suppkey) AS groups FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1 AND bool_and(s_acctbal > -500)""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asofly.functions import vocab as V
 from asofly.functions.text import stated_reason, wilson
 from asofly.operators import labels as L
-from asofly.operators import stats, triage
+from asofly.operators import programs, stats, survival, triage
 from asofly.plans.registry import query
 from asofly.plans.tables import lineitem, orders, table
 
@@ -88,9 +88,10 @@ WITH n AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orde
 SELECT CAST(sum(n) AS BIGINT) AS total, round(avg(n), 4) AS mean, median(n) AS median, max(n) AS most, count(*) FILTER (WHERE n = 0) AS without, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS distinct_children FROM n""")
 def child_count_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children for each parent: sum, mean, median, most, none, and distinct ones overall."""
-    n = table(spark, sf_dir, "customer").select("c_custkey").join(orders(spark, sf_dir).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n")), "c_custkey", "left").na.fill(0, ["n"])
-    parts = lineitem(spark, sf_dir).agg(F.count_distinct("l_partkey").alias("distinct_children"))
-    return n.agg(F.sum("n").alias("total"), F.round(F.avg("n"), 4).alias("mean"), F.median("n").alias("median"), F.max("n").alias("most"), F.count_if(F.col("n") == 0).alias("without")).crossJoin(parts)
+    o = orders(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    per = programs.child_stats(table(spark, sf_dir, "customer"), o, "c_custkey", "o_orderkey").drop("distinct_children")
+    parts = programs.child_stats(orders(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey")), lineitem(spark, sf_dir), "l_orderkey", "l_partkey").select("distinct_children")
+    return per.withColumn("mean", F.round("mean", 4)).crossJoin(parts)
 
 
 @query("""WITH v AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL)
@@ -168,14 +169,22 @@ def gmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hazard_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: a logit with cluster-robust errors of toxicity on length (iterative)."""
-    from asofly.operators.survival import fit_hazard
-
     j = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("toxic").alias("event"), F.col("source").alias("sponsor"), F.log1p("n_chars").alias("log_chars"))
-    h = fit_hazard(j, "event", covariates=("log_chars",))
+    h = survival.fit_hazard(j, "event", covariates=("log_chars",))
     names = ("intercept", *h.covariates)
     return spark.createDataFrame([(n, float(b), float(e)) for n, b, e in zip(names, h.coefficients, h.errors, strict=True)], "term string, coefficient double, robust_se double")
 
 
+@query()
+def all_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: logits of three labels on length in one joint fit, sources as clusters (iterative)."""
+    j = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    j = j.select(F.col("toxic").alias("event_toxic"), (1 - F.col("quality")).alias("event_poor"), (F.col("toxic") * F.col("quality")).alias("event_both"), F.col("source").alias("sponsor"), F.log1p("n_chars").alias("log_chars"))
+    fits = survival.fit_all(j, ("event_toxic", "event_poor", "event_both"), covariates=("log_chars",))
+    rows = [(e, n, float(b), float(s), h.events) for e, h in fits.items() for n, b, s in zip(("intercept", *h.covariates), h.coefficients, h.errors, strict=True)]
+    return spark.createDataFrame(rows, "event string, term string, coefficient double, robust_se double, events int")
+
+
 _REASONS_SQL = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower(r), '" + p.replace("'", "''") + "')" for p in ps) + f" THEN '{k}'" for k, ps in V.STATED_REASONS.items()) + " ELSE 'unknown_silent' END"
 _REASON_SQL = f"""r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'short' ELSE text || CASE doc_id % 5 WHEN 0 THEN ' business decision after an interim analysis' WHEN 1 THEN ' slow recruitment' WHEN 2 THEN ' Dose-Limiting toxicity' WHEN 3 THEN ' funding' ELSE '' END END AS r FROM documents),
 s AS (SELECT doc_id, CASE WHEN length(trim(r)) >= 15 THEN {_REASONS_SQL} END AS stated FROM r)"""
@@ -280,7 +289,7 @@ WITH c AS (SELECT 'provenance' AS stage, 'texts are present' AS name, count(*) F
  UNION ALL SELECT 'features', 'shipped after ordered', count(*) FILTER (WHERE CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE)), count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT stage, name, CASE WHEN bad = 0 THEN 'PASS' WHEN stage = 'features' THEN 'WARN' ELSE 'FAIL' END AS level, '0' AS expected, CAST(bad AS VARCHAR) AS actual, 'of ' || n AS detail FROM c""")
 def audit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q1-Q8: named checks with their counts, stage by stage."""
+    """Q1: four named conditions with their counts, run stage by stage."""
     j = lineitem(spark, sf_dir).join(orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
     stages = [
         ("provenance", True, [triage.check(table(spark, sf_dir, "documents"), "provenance", "texts are present", F.col("text").isNull())]),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from asofly.functions import vocab as V
 from asofly.functions.scoring import archetypes, band, primary_archetype, program_coverage, silence_score, trial_coverage, trial_cost
-from asofly.operators import differ, stats, survival, temporal, triage
+from asofly.operators import differ, programs, stats, survival, temporal, triage
+from asofly.operators.scans import Scan, rank_selected, segmented_scan
 from asofly.plans.registry import query
 from asofly.plans.tables import AS_OF, as_of, lineitem, orders, table
 from asofly.session import materialize
@@ -151,8 +152,7 @@ SELECT count(*) AS versions, count(DISTINCT user_id) AS users, count(*) FILTER (
 def signal_version_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: versions, records and the share of versions with a signal module."""
     d = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("kinds"))
-    signal = F.count_if(F.arrays_overlap("kinds", F.array(F.lit("error"), F.lit("purchase"))))
-    return d.agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("user_id").alias("users"), signal.alias("signal"), F.round(F.coalesce(F.try_divide(signal, F.count(F.lit(1))), F.lit(0.0)), 6).alias("ratio"))
+    return programs.signal_stats(d, "user_id", "kinds", ["error", "purchase"]).withColumnRenamed("records", "users").withColumn("ratio", F.round("ratio", 6))
 
 
 @query("""
@@ -296,14 +296,15 @@ def stratified_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.stratified_sample(c, ["c_mktsegment"], need, "c_custkey", c.where("c_custkey % 50 = 0"), F.col("c_custkey")).select("c_custkey", "c_mktsegment", "reserved")
 
 
+_STEPS = ("signup", "view", "click", "purchase", "error")
+
+
 @query("""
 WITH o AS (SELECT user_id, min(list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type)) AS k FROM events GROUP BY user_id), n AS (SELECT k, count(*) AS n FROM o GROUP BY k)
 SELECT k AS step, n, CAST(sum(n) OVER (ORDER BY k) AS BIGINT) AS cumulative FROM n""")
 def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users credited to the first strategy that finds them, and how many are found so far."""
-    steps = F.array(*[F.lit(x) for x in ("signup", "view", "click", "purchase", "error")])
-    n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(F.array_position(steps, F.col("event_type"))).alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("cumulative", F.sum("n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    return programs.saturation(table(spark, sf_dir, "events"), "user_id", "event_type", list(_STEPS)).where("n > 0").select("step", "n", "cumulative")
 
 
 SWEEP_SQL = f"""WITH {PANEL_SQL},
@@ -326,6 +327,34 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
+@query(f"""WITH s AS ({SWEEP_SQL}),
+r AS (SELECT 'most_precise' AS rule, *, row_number() OVER (ORDER BY precision DESC, coalesce(median_lead_days, 0), coalesce(recall, 0) DESC, threshold) AS k FROM s WHERE precision IS NOT NULL
+ UNION ALL SELECT 'earliest', *, row_number() OVER (ORDER BY median_lead_days, precision DESC, recall DESC, threshold) FROM s WHERE precision >= 0.05 AND n_correct > 0)
+SELECT rule, threshold, n_flagged, n_correct, precision, recall, median_lead_days FROM r WHERE k = 1""")
+def operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sweep over staleness, the point of the highest precision, and the earliest of enough precision."""
+    points = threshold_sweep(spark, sf_dir)
+    return survival.most_precise(points).withColumn("rule", F.lit("most_precise")).unionByName(survival.best_point(points, 0.05).withColumn("rule", F.lit("earliest")))
+
+
+@query("""SELECT event_id, event_type, CAST(sum(CASE WHEN event_type = 'purchase' THEN event_id % 97 ELSE 1 END) OVER w AS BIGINT) AS upto, max(value) OVER w AS top,
+  last_value(CASE WHEN event_id % 3 = 0 THEN user_id END IGNORE NULLS) OVER w AS last_user, CAST(count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_over
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def split_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running values over the events of each type: a few keys with all the rows, split over range partitions."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value", F.when(F.col("event_type") == "purchase", F.col("event_id") % 97).otherwise(1).alias("w"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("u"), F.lit(1).alias("one"))
+    wanted = {"upto": Scan("w", "sum"), "top": Scan("value", "max"), "last_user": Scan("u"), "left_over": Scan("one", "sum", backward=True)}
+    return segmented_scan(e, ["event_type"], ["ts", "event_id"], wanted).select("event_id", "event_type", *wanted)
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90,
+  list_sort(list(l_extendedprice))[CAST(least(floor(0.25 * count(*)), count(*) - 1) AS BIGINT) + 1] AS q1, list_sort(list(l_extendedprice))[CAST(least(floor(0.75 * count(*)), count(*) - 1) AS BIGINT) + 1] AS q3 FROM lineitem GROUP BY l_returnflag""")
+def rank_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interpolated and index quantiles of the prices of each flag, by ranks over range partitions."""
+    q = rank_selected(lineitem(spark, sf_dir), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "median": 0.5, "p90": 0.9}, {"q1": 0.25, "q3": 0.75})
+    return q.withColumns({c: F.round(c, 4) for c in ("p10", "median", "p90")})
+
+
 @query(SWEEP_SQL)
 def threshold_sweep_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``threshold_sweep``; the name under which it was first registered for observed thresholds."""
