@@ -300,7 +300,7 @@ def most_precise(points: DataFrame) -> DataFrame:
 def best_point(points: DataFrame, least_precision: float = 0.5) -> DataFrame:
     """The point with the earliest median lead among those of enough precision and a correct flag."""
     usable = points.where((F.col("precision") >= least_precision) & (F.col("n_correct") > 0))
-    return usable.orderBy("median_lead_days", F.desc("precision"), F.desc("recall")).limit(1)
+    return usable.orderBy("median_lead_days", F.desc("precision"), F.desc("recall"), "threshold").limit(1)
 
 
 def gate(model: DataFrame, heuristic: DataFrame, least_precision: float = 0.5) -> tuple[bool, str]:
