@@ -90,3 +90,14 @@ def text_mentions(texts: DataFrame, text: str, key: str, names: DataFrame, name:
     for share in shares:
         out = out.unionByName(source.mapInArrow(_find(f"{folder}/share={share}"), f"key {kind}, name string, n long, first_word long"))
     return out.withColumnRenamed("key", key) if key != "key" else out
+
+
+def confirmed_hits(hits: DataFrame, candidates: DataFrame, share_bytes: int = SHARE_BYTES) -> DataFrame:
+    """(hit_id, candidate_id, n): hits of a full-text search that really name their candidate, and how often.
+
+    hits: hit_id, candidate_id, text; candidates: candidate_id, name (several rows for several names).
+    """
+    texts = hits.groupBy("hit_id").agg(F.any_value("text", True).alias("text"))  # a hit of several candidates is one text
+    found = text_mentions(texts, "text", "hit_id", candidates, "name", share_bytes).select("hit_id", F.col("name").alias("_name"), "n")
+    own = hits.select("hit_id", "candidate_id").distinct().join(candidates.select("candidate_id", spoken("name").alias("_name")).distinct(), "candidate_id")
+    return own.join(found, ["hit_id", "_name"]).groupBy("hit_id", "candidate_id").agg(F.sum("n").alias("n"))

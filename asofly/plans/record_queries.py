@@ -16,7 +16,9 @@ from asofly.plans.stat_queries import _TRUE_SQL, _WHOLE_SQL
 from asofly.plans.tables import AS_OF, as_of, lineitem, orders, table
 from asofly.plans.temporal_queries import PANEL_SQL, asof_month_panel
 from asofly.session import materialize
+from asofly.sources import paths
 from asofly.sources import snapshots as S
+from asofly.streaming import sessions
 
 
 def _in(c: str, words) -> str:
@@ -382,3 +384,26 @@ def back_test(spark: SparkSession, sf_dir: str) -> DataFrame:
         cuts = survival.thresholds(scored, score)
         curves.append(survival.sweep(scored, score, out, cuts).withColumn("by", F.lit(name)))
     return curves[0].unionByName(curves[1])
+
+
+@query()
+def review_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """users' events as events of review sessions, and what each session is served (a fold; tested against the plain one)."""
+    kinds = F.create_map(*[F.lit(x) for x in ("view", "load", "click", "serve", "purchase", "label", "error", "skip", "signup", "switch")])
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.struct("ts", "event_id").alias("at"), F.element_at(kinds, F.col("event_type")).alias("kind"), "event_id")
+    numbered = e.withColumn("seq", F.col("event_id").cast("long"))
+    queue = F.when(F.col("kind") == "switch", F.when(F.col("event_id") % 5 == 0, "validation").otherwise("main"))
+    events = numbered.select("session", "seq", "kind", queue.alias("queue"), F.array(F.concat(F.lit("p"), (F.col("event_id") % 1000).cast("string"))).alias("ids"), F.lit(None).cast("double").alias("cost"))
+    return sessions.replay(events)
+
+
+_SHAPES = "CASE o_orderkey % 4 WHEN 0 THEN '{\"a\": ' || o_orderkey || '}' WHEN 1 THEN '{\"a\": \"' || o_orderstatus || '\", \"b\": [1, {\"c\": null}]}' WHEN 2 THEN '{\"b\": [], \"a\": {\"d\": true}}' ELSE 'none' END"
+
+
+@query("""WITH k AS (SELECT o_orderkey % 4 AS k, count(*) AS n, CAST(min(CAST(o_orderdate AS DATE)) AS DATE) AS first, CAST(max(CAST(o_orderdate AS DATE)) AS DATE) AS last FROM orders GROUP BY ALL),
+p(k, path, kind) AS (VALUES (0, '$', 'object'), (0, '$.a', 'number'), (1, '$', 'object'), (1, '$.a', 'string'), (1, '$.b', 'array'), (1, '$.b[]', 'number'), (1, '$.b[]', 'object'), (1, '$.b[].c', 'null'), (2, '$', 'object'), (2, '$.b', 'array'), (2, '$.a', 'object'), (2, '$.a.d', 'boolean'), (3, '$', 'invalid'))
+SELECT path, kind, CAST(sum(n) AS BIGINT) AS n, min(first) AS first, max(last) AS last FROM p JOIN k USING (k) GROUP BY path, kind""")
+def variant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and kinds of bodies of four shapes, one of them no JSON, with the dates between which they were seen."""
+    b = orders(spark, sf_dir).select("o_orderkey", F.expr(_SHAPES).alias("body"), F.col("o_orderdate").cast("date").alias("day"))
+    return paths.path_table(paths.body_paths(b, "o_orderkey", "body"), b, "o_orderkey", "day")
