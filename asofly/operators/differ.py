@@ -99,12 +99,22 @@ def diff_studies(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def noise_floor(pairs: DataFrame, events: DataFrame, key: str) -> DataFrame:
-    """A2: for each event type the pairs in which it fires, its events and its share of all pairs; type null: pairs without any."""
+    """A2: for each event type the pairs in which it fires, its events and its share of all pairs; type null: pairs without any.
+
+    One pass over pairs and events together: each pair gives a row for each of its types and
+    one for itself. Without pairs there are no rows.
+    """
     pair = [key, "from_version", "to_version"]
-    total = pairs.agg(F.count(F.lit(1)).alias("pairs"))
-    by_type = events.groupBy("event_type").agg(F.count_distinct(F.struct(*pair)).alias("pairs_with"), F.count(F.lit(1)).alias("events"))
-    empty = pairs.join(events.select(*pair).distinct(), pair, "left_anti").agg(F.lit(None).cast("string").alias("event_type"), F.count(F.lit(1)).alias("pairs_with"), F.lit(0).cast("long").alias("events"))
-    return by_type.unionByName(empty).crossJoin(F.broadcast(total)).select("event_type", "pairs_with", "events", F.try_divide("pairs_with", "pairs").alias("share"))
+    both = pairs.select(*pair, F.lit(None).cast("string").alias("event_type"), F.lit(0).cast("long").alias("n")).unionByName(events.select(*pair, "event_type", F.lit(1).cast("long").alias("n")))
+    fired = both.groupBy(*pair, "event_type").agg(F.sum("n").alias("n"))
+    # as many types as there are, at most
+    per = fired.groupBy(*pair).agg(F.collect_list(F.when(F.col("n") > 0, F.struct(F.lit(False).alias("whole"), "event_type", "n"))).alias("types"))
+    # a pair's own row: its n says whether it has no event
+    own = F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("event_type"), (F.size("types") == 0).cast("long").alias("n"))
+    counts = per.select(F.explode(F.concat("types", F.array(own))).alias("t")).groupBy("t.whole", "t.event_type").agg(F.count(F.lit(1)).alias("k"), F.sum("t.n").alias("n"))
+    total = F.max(F.when(F.col("whole"), F.col("k"))).over(Window.partitionBy())  # over a row for each type
+    with_, events_ = F.when(F.col("whole"), F.col("n")).otherwise(F.col("k")), F.when(F.col("whole"), F.lit(0)).otherwise(F.col("n"))
+    return counts.select("event_type", with_.alias("pairs_with"), events_.cast("long").alias("events"), F.try_divide(with_, total).alias("share"))
 
 
 def direction_mix(pairs: DataFrame, events: DataFrame, key: str) -> DataFrame:

@@ -118,7 +118,7 @@ SELECT event_type, count(DISTINCT (o_custkey, from_version, to_version)) AS pair
 UNION ALL SELECT NULL, count(*), 0, round(count(*) / any_value(n.pairs), 6) FROM pairs, n WHERE (o_custkey, from_version, to_version) NOT IN (SELECT (o_custkey, from_version, to_version) FROM ev)""")
 def noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: pairs that fire each event type, and those that fire none."""
-    pairs = materialize(order_pairs(spark, sf_dir), "version-pairs")  # read three times
+    pairs = materialize(order_pairs(spark, sf_dir), "version-pairs")  # read twice
     return differ.noise_floor(pairs, order_events(pairs), "o_custkey").withColumn("share", F.round("share", 6))
 
 
