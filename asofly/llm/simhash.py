@@ -14,10 +14,13 @@ dense group costs no more rows than it has members. Components are then found ov
 all forests.
 
 Two kinds of links use the walk. ``near_duplicates`` links 64-bit fingerprints at a
-few differing bits, exactly. ``similar_documents`` links texts of which five-word
-shingles agree to about 0.8: fingerprints of 192 bits are cut into eight paths of 24
-bits, and a pair that one of the eight tries brings together within its budget is
-linked if all 192 bits are within the budget of the whole.
+few differing bits, exactly. ``similar_documents`` links texts whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more: fingerprints of 320 bits are cut
+into 13 paths of 24 bits, and a pair that one of the 13 tries brings together
+within its budget is a candidate if all bits are within the budget of the whole.
+Groups of candidates are then checked by their shingles, and only pairs that are
+similar are links. A group is a pool of one task up to a number of shingles; a larger
+one is cut into chunks and each pair of chunks is a pool, so nothing is left out.
 """
 
 from __future__ import annotations
@@ -35,9 +38,14 @@ from asofly.session import materialize, scratch_scope
 
 #: Bits of a fingerprint, error budget, words in a shingle, seed of XXH64.
 BITS, BUDGET, SHINGLE, SEED = 64, 2, 3, 42
-#: Similar texts: words in a shingle, 64-bit words of a fingerprint, bits in which two of them may differ.
-#: A five-word Jaccard similarity of 0.8 makes each bit differ with probability 0.152: 29 of 192, with a deviation of 5.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_BUDGET = 5, 3, 34
+#: Similar texts: words in a shingle, 64-bit words of a fingerprint, bits in which two candidates may differ.
+#: A five-word Jaccard similarity of 0.8 makes each bit differ with probability 0.151: 48 of 320, with a deviation of 6.
+#: One of 13 paths is then within its budget with probability 0.98 (0.998 at a similarity of 0.85).
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BUDGET = 5, 5, 68
+#: Least similarity of two linked texts, as a fraction.
+SIMILAR = (4, 5)
+#: Shingles of the texts that one task compares as a pool; a text counts as ``POOL_TEXT`` more.
+POOL_SHINGLES, POOL_TEXT = 1_000_000, 64
 #: Bits of a path cut from a wide fingerprint, and the budget of its trie.
 PATH_BITS, PATH_BUDGET = 24, 2
 #: Paths that one task walks as a group, rows that a task walks at once.
@@ -78,11 +86,10 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: str | None, size: int = WIDE_SHINGLE, words: int = WIDE_WORDS):
-    """SimHash of ``words`` 64-bit words: the shingles' hashes, and values mixed from each for the further words."""
+def wide_fingerprint(blocks: list, n: int, words: int = WIDE_WORDS):
+    """SimHash of ``words`` 64-bit words: the hashes of ``n`` shingles, in blocks, and values mixed from each for the further words."""
     import numpy as np
 
-    blocks, n = shingle_hashes(text, size)
     ones = np.zeros(words * 64, np.int64)
     for hashes in blocks:
         table = np.stack([hashes, *(_mixed(hashes, k) for k in range(1, words))], axis=1)
@@ -91,6 +98,25 @@ def wide_fingerprint(text: str | None, size: int = WIDE_SHINGLE, words: int = WI
     return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)
 
 
+def shingle_set(blocks: list):
+    """The distinct hashes of a text's shingles, sorted."""
+    import numpy as np
+
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+
+
+def _wide_row(text: str | None, size: int) -> list:
+    """Wide fingerprint, 128-bit digest and number of a text's distinct shingles."""
+    import numpy as np
+    import xxhash
+
+    blocks, n = shingle_hashes(text, size)
+    blocks = list(blocks)
+    shingles = shingle_set(blocks)
+    digest = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.uint64)
+    return [*wide_fingerprint(blocks, n), *digest, len(shingles)]
+
+
 def _mixed(hashes, k: int):
     """Values as good as independent of the hashes: a Weyl step and two rounds of multiply and shift."""
     import numpy as np
@@ -387,17 +413,113 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bu
     return found.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "linked", *(["tag"] if tagged else []))
 
 
-def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WIDE_SHINGLE, whole: int = WIDE_BUDGET, leaves: int = GROUP_ROWS) -> DataFrame:
-    """key, tag (the text's XXH64), component_id, linked for every row: groups of texts whose shingles agree to about 0.8.
+def similar_links(sets: list, share: tuple[int, int] = SIMILAR):
+    """A spanning forest (members, roots) of the links between sets (sorted distinct values each) of at least that Jaccard similarity.
+
+    One set after another is compared with all at once, by the postings of its values.
+    Sets linked with the first one needn't be: what else they link with is compared itself.
+    """
+    import numpy as np
+
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    forest = Forest(n)
+    num, den = share
+    if n < 8:
+        for i in range(n):
+            for j in range(i):
+                s = int(sizes[i] + sizes[j])
+                # the smaller set bounds what both share
+                if int(min(sizes[i], sizes[j])) * (num + den) < num * s or forest.root[i] == forest.root[j]:
+                    continue
+                if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) * (num + den) >= num * s:
+                    forest.add(np.array([j]), np.array([i]))
+    else:
+        values, value = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(n), sizes)
+        posting = owner[np.argsort(value, kind="stable")]
+        held = np.bincount(value, minlength=len(values))
+        first = np.cumsum(held) - held
+        begin = np.cumsum(sizes) - sizes
+        # the text whose shingles most others have comes first: it links with the most
+        weight = np.bincount(owner, held[value].astype(float), n) / np.maximum(sizes, 1)
+        order = np.argsort(-weight, kind="stable")
+        for p in order:
+            if p != order[0] and forest.root[p] == forest.root[order[0]]:
+                continue
+            own = value[begin[p] : begin[p] + sizes[p]]
+            count = held[own]
+            at = np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            other, shared = np.unique(posting[at], return_counts=True)
+            good = other[shared * (num + den) >= num * (sizes[p] + sizes[other])]
+            forest.add(np.full(len(good), p), good)
+    member = np.flatnonzero(forest.root != np.arange(n))
+    return member, forest.root[member]
+
+
+def checked_links(docs: DataFrame, candidates: DataFrame, text: str, key: str, size: int, share: tuple[int, int], pool: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within groups of candidates (rep, tag, size, pool), as pairs of reps; a written table.
+
+    The texts are read again, those that pass a filter of the candidates. ``pool`` is the
+    number of shingles compared by a task at once; larger groups are cut into chunks.
+    """
+    weight = F.sum(F.col("size") + POOL_TEXT)
+    totals = candidates.groupBy("pool").agg(F.ceil(weight / pool).alias("n"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("pool", "n")
+    own, other = F.pmod(F.xxhash64("rep", "tag"), F.col("n")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    chunks = candidates.join(totals, "pool").withColumn("own", own).withColumn("other", other)
+    dealt = chunks.select(F.col("rep"), F.col("tag"), "pool", (F.least("own", "other") * F.col("n") + F.greatest("own", "other")).alias("chunk"))
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text")).where("rep is not null")
+    maybe, _ = probe(texts, F.struct("rep", "tag"), candidates.select(F.struct("rep", "tag").alias("own")), "own")
+    rows = maybe.groupBy("rep", "tag").agg(F.first("text").alias("text")).join(dealt, ["rep", "tag"]).select("pool", "chunk", "rep", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    Texts link if their 192-bit fingerprints over ``size`` words differ in at most ``whole``
-    bits and one of eight paths in at most two. Nulls, empty and repeated rows, null keys,
-    long texts and other columns are as in ``near_duplicates``.
+        def links(reps, sets) -> pa.RecordBatch:
+            member, root = similar_links(sets, share) if len(sets) > 1 else ([], [])
+            reps = np.array(reps, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(reps[member]), pa.array(reps[root])], ["a", "b"]) if len(member) else empty
+
+        empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["a", "b"])
+        last, reps, sets = None, [], []
+        for batch in slices(batches, 256):
+            for group, rep, words in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if group != last:
+                    if len(sets) > 1 and (found := links(reps, sets)).num_rows:
+                        yield found
+                    last, reps, sets = group, [], []
+                reps.append(rep)
+                sets.append(shingle_set(list(shingle_hashes(words.as_py(), size)[0])))
+        yield links(reps, sets)
+
+    pools = rows.repartition("pool", "chunk").sortWithinPartitions("pool", "chunk")
+    return materialize(pools.mapInArrow(check, "a long, b long"), "checked-links", keep=True)
+
+
+def similar_documents(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WIDE_SHINGLE, whole: int = WIDE_BUDGET, leaves: int = GROUP_ROWS, share: tuple[int, int] = SIMILAR, pool: int = POOL_SHINGLES
+) -> DataFrame:
+    """key, tag (the text's XXH64), component_id, linked for every row: groups of texts linked by their shingles.
+
+    Texts are candidates if their 320-bit fingerprints over ``size`` words differ in at
+    most ``whole`` bits and one of 13 paths in at most two; candidates and what they
+    are candidates with in turn are a group. Texts of a group link if the Jaccard
+    similarity of their sets of shingles is ``share`` or more; texts of equal sets are
+    one. Nulls, empty and repeated rows, null keys, long texts and other columns are as
+    in ``near_duplicates``; texts without a word have the same, empty set.
     """
-    names = tuple(f"w{k}" for k in range(WIDE_WORDS))
-    made = materialize(_prints(docs, text, key, True, list(names), lambda t: wide_fingerprint(t, size)), "fingerprints")
-    found = _components(made, names, lambda classes: trie_links(classes, PATH_BUDGET, leaves, names, PATH_BITS, whole))
-    return found.select(F.col("key").alias(key), "tag", "component_id", "linked")
+    names, digest = tuple(f"w{k}" for k in range(WIDE_WORDS)), ["s0", "s1"]
+    made = materialize(_prints(docs, text, key, True, [*names, *digest, "size"], lambda t: _wide_row(t, size)), "fingerprints")
+    least = F.min(F.struct("key", "tag", *names, "size")).alias("least")
+    classes = materialize(made.where("key is not null").groupBy(*digest).agg(least).select(*digest, F.col("least.key").alias("rep"), "least.tag", *(f"least.{c}" for c in names), "least.size"), "set-classes")
+    prints = materialize(classes.groupBy(*names).agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
+    near = connected_components(trie_links(prints, PATH_BUDGET, leaves, names, PATH_BITS, whole), "a", "b").select(F.col("vertex").alias("rep"), "component")
+    pooled = prints.join(near, "rep", "left").where("n > 1 or component is not null").select(*names, F.coalesce("component", "rep").alias("pool"))
+    candidates = materialize(classes.join(pooled, list(names)).select("rep", "tag", "size", "pool"), "similar-candidates")
+    component = connected_components(checked_links(docs, candidates, text, key, size, share, pool), "a", "b").select(F.col("vertex").alias("rep"), "component")
+    named = classes.join(component, "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component_id"), F.col("component").isNotNull().alias("linked"))
+    found = made.join(named, digest, "left")
+    return found.select(F.col("key").alias(key), "tag", "component_id", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
 def _one_of_each(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
@@ -423,6 +545,6 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", b
     return _one_of_each(docs, near_duplicates(docs, text, key, budget, tagged=True, size=size), text, key)
 
 
-def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WIDE_SHINGLE, whole: int = WIDE_BUDGET) -> DataFrame:
-    """As ``drop_near_copies``, with the groups of ``similar_documents``: five-word shingles, a similarity of about 0.8."""
-    return _one_of_each(docs, similar_documents(docs, text, key, size, whole), text, key)
+def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WIDE_SHINGLE, whole: int = WIDE_BUDGET, share: tuple[int, int] = SIMILAR) -> DataFrame:
+    """As ``drop_near_copies``, with the groups of ``similar_documents``: five-word shingles, a similarity of 0.8 or more."""
+    return _one_of_each(docs, similar_documents(docs, text, key, size, whole, share=share), text, key)

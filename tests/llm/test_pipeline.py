@@ -46,7 +46,7 @@ def test_exact(staged):
 
 
 def test_near(staged):
-    """The stage is the rule for stages on word shingles: five words, a similarity of about 0.8."""
+    """The stage is the rule for stages on word shingles: five words, a similarity of 0.8 or more."""
     found = brute_similar({r.doc_id: r.text for r in staged[2].collect()})
     assert ids(staged[3]) == sorted(set(found.values()))
 
