@@ -1,9 +1,10 @@
 """Exact deduplication by a log-structured merge index of text digests, in DataFrame operations only.
 
-* **Memtable and flush.** The rows come in ``FLUSHES`` batches. A batch is the memtable:
-  its digests are grouped, with the winning key and the number of rows, and flushed as
-  a run, a table bucketed (sharded) and sorted by digest. Beside it lies a bitmap filter
-  of its digests, sized by their count.
+* **Memtable and flush.** The rows come in batches of at most about ``MEMTABLE_ROWS``,
+  and ``FLUSHES`` of them at least. A batch is the memtable: its digests are grouped,
+  with the winning key and the number of rows, and flushed as a run, a table bucketed
+  (sharded) and sorted by digest. Beside it lies a bitmap filter of its digests, sized
+  by their count.
 * **Lookup.** Before a memtable joins the index, its digests are probed against the
   filters of the runs there; those that pass are looked up in the run, shard by shard.
   What is found, or repeats within the memtable, is a hit.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from asofly.llm.common import apply_filter, ascii_lower, build_filter, filter_bits, fresh, probe
 from asofly.session import drop_path, materialize, scratch_path, scratch_scope
 
-#: Batches that the rows of one call come in; runs of a level that are compacted into the next.
-FLUSHES, LEVEL_RUNS = 3, 2
+#: Rows of a memtable, the least number of flushes of one call, and runs of a level that are compacted into the next.
+MEMTABLE_ROWS, FLUSHES, LEVEL_RUNS = 500_000_000, 3, 2
+#: Folders that the rows' digests are written to; a memtable takes some that follow each other.
+FOLDERS = 4096
 
 #: A bucket of a run is one sorted file; with this its order counts when two runs are merged.
 ORDERED_SCAN = "spark.sql.legacy.bucketedTableScan.outputOrdering"
@@ -141,6 +144,21 @@ class DigestIndex:
         self.levels, self.merged_away, self.found = [[]], [], []
 
 
+def memtables(sizes: list[tuple[int, int]], most: int = MEMTABLE_ROWS, least: int = FLUSHES) -> list[tuple[int, int]]:
+    """Ranges (first, last) of the folders of given rows, in order: each of at most ``most`` rows or one folder, and about ``least`` of them or more."""
+    most = min(most, -(-sum(n for _, n in sizes) // least))
+    out: list[tuple[int, int]] = []
+    held = 0
+    for folder, n in sizes:
+        if out and held + n <= most:
+            out[-1] = (out[-1][0], folder)
+            held += n
+        else:
+            out.append((folder, folder))
+            held = n
+    return out or [(0, 0)]
+
+
 def _answers(docs: DataFrame, text: str, key: str, keep: str, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
     """(key, text_sha256, winner, n_rows) of the rows that share their text with another row, and (key, text_sha256) of all others."""
     spark = docs.sparkSession
@@ -149,15 +167,19 @@ def _answers(docs: DataFrame, text: str, key: str, keep: str, digest: Callable[[
         # The rows' own digests are kept beside the runs: the answer needs them again, and they are far smaller than the texts.
         path = scratch_path(spark, "digest-rows", keep=True)
         own = [] if digest is text_digest else [digest(F.col("text")).alias("digest")]
-        batch = F.pmod(F.spark_partition_id(), F.lit(FLUSHES)).alias("batch")
+        # A task writes to one folder, so that many folders aren't more files.
+        batch = F.pmod(F.spark_partition_id(), F.lit(FOLDERS)).alias("batch")
         plain.select("key", F.sha2("text", 256).alias("text_sha256"), *own, batch).write.partitionBy("batch").parquet(path)
         schema = "key long, text_sha256 string, " + ("digest binary, " if own else "") + "batch int"
         rows = spark.read.schema(schema).parquet(path).withColumn("digest", F.col("digest") if own else F.unhex("text_sha256"))
+        sizes = [(r["batch"], r["n"]) for r in rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy("batch").collect()]
         index = DigestIndex(spark, keep)
-        for k in range(FLUSHES):
-            index.flush(rows.where(F.col("batch") == k).select("digest", F.col("key").alias("winner")))
-        groups = materialize(index.groups(), "hit-groups", keep=True)
-        index.close()
+        try:
+            for first, last in memtables(sizes):
+                index.flush(rows.where(F.col("batch").between(first, last)).select("digest", F.col("key").alias("winner")))
+            groups = materialize(index.groups(), "hit-groups", keep=True)
+        finally:
+            index.close()
         maybe, single = probe(rows.select("key", "text_sha256", "digest"), F.col("digest"), groups, "digest")
         shared = materialize(maybe.join(groups, "digest", "left"), "hit-rows", keep=True)
         # a row that the filter let through in vain has no group

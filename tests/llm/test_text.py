@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from asofly.llm import html_text, quality, secrets, simhash, warc
 from asofly.llm.common import apply_filter, ascii_lower, build_filter
-from asofly.llm.exact_dedup import DigestIndex, exact_dedup
+from asofly.llm.exact_dedup import DigestIndex, exact_dedup, memtables
 from asofly.session import scratch_path
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,6 +100,40 @@ def test_index_reads_its_filters_and_order(spark):
     assert len(names) == 5 and not names & {t.name for t in spark.catalog.listTables()}
 
 
+@given(st.lists(st.integers(1, 50), max_size=40), st.integers(1, 120))
+def test_memtables(sizes, most):
+    """Memtables cover all folders in order, none over its bound but single folders, and none that the next would have fitted in."""
+    folders = [(3 * k, n) for k, n in enumerate(sizes)]
+    found = memtables(folders, most)
+    if not folders:
+        assert found == [(0, 0)]
+        return
+    held = [[n for f, n in folders if a <= f <= b] for a, b in found]
+    assert sum(map(len, held)) == len(folders) and all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False))
+    bound = min(most, -(-sum(sizes) // 3))
+    assert all(len(h) == 1 or sum(h) <= bound for h in held) and all(sum(a) + b[0] > bound for a, b in zip(held, held[1:], strict=False))
+
+
+def test_small_memtables_and_failures(spark, monkeypatch):
+    """More flushes change nothing, and a call that fails leaves no runs in the catalog."""
+    from asofly.llm import exact_dedup as module
+
+    rows = [(k, f"text {k % 23}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    flushed = []
+    flush = DigestIndex.flush
+    monkeypatch.setattr(DigestIndex, "flush", lambda self, batch: (flushed.append(1), flush(self, batch))[1])
+    monkeypatch.setattr(module.memtables, "__defaults__", (1, 3))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(df).collect()}
+    same = {d: [k for k in range(60) if k % 23 == d] for d in range(23)}
+    assert got == {k: (same[k % 23][-1], len(same[k % 23])) for k in range(60)} and len(flushed) == 7
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(DigestIndex, "groups", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        exact_dedup(df)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def brute_print(text):
     words = WORDS.findall(lower(text))
     if not words:
