@@ -31,7 +31,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles agree to about 0.8, the document with the smallest doc_id.
+    """Of each group of texts linked by a similarity of their five-word shingles of 0.8 or more, the document with the smallest doc_id.
 
     Texts without a word are one group. Rows that repeat a key are told apart by their
     texts; a null key goes where a row with a key is in its group, and stays otherwise.
