@@ -8,21 +8,27 @@ own with a blank line around paragraphs, headings, lists and tables, list marker
 nesting, preformatted text as it stands, and table cells in aligned columns, spans
 included. Both are loops with stacks of their own, so depth of nesting is no limit.
 
-All visible text is in the layout. ``BOUNDED``, the default, also makes it linear in the
-page however hostile that is: a line is padded up to a column that begins within the
-first 100 characters, and text wider than 60 moves what follows it on its own line only;
-columns beyond the fortieth are one; items nested deeper than eight lists are indented like
-the last level before; a table within three tables is laid out as blocks. ``EXACT`` has none
-of these limits: every column of every table is aligned, at a size that a hostile page can
-make the square of its own.
+All visible text is in the layout. ``EXACT``, which ``extract`` takes unless told otherwise, has no
+limit: every column of every table is aligned and every list indented, so that a hostile
+page can make its text the square of its own size. Only drawing takes that long: until then
+padding is a number and lines that begin alike share their beginning, so that a page in the
+making holds memory in proportion to itself, and a text is handed on in parts as it is drawn.
+
+``BOUNDED`` makes the text linear too, for a caller who wants that: a line is padded up to a column
+that begins within the first 100 characters, and text wider than 60 moves what follows it on
+its own line only; columns beyond the fortieth are one; items nested deeper than eight lists
+are indented like the last level before; a table within three tables is laid out as blocks.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
+from heapq import heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -65,6 +71,16 @@ WHITE = re.compile(r"[ \t\n\r\f]+")
 RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I) for tag in RAW}
 SPAN = re.compile(r"\s*\+?(\d+)")
 
+#: A text longer than this and than its page is in several rows of ``extract``.
+WHOLE = 1 << 20
+#: Characters in each of them; few, as Spark reads files thousands of rows at a time.
+PART = 1 << 14
+#: Longest line that is kept as a string when it is put together; longer ones keep their parts.
+SHORT = 256
+#: Padding is written in runs of at most this; a lead longer than ``KNOWN`` isn't kept as a text.
+SPACES = " " * (1 << 16)
+KNOWN = 1 << 20
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -199,15 +215,194 @@ def shown(node: Node, inherited: bool) -> bool | None:
     return own[-1].lower() == "visible" if own else inherited
 
 
+# A line is a string or, if long, its length and parts: lines, strings and numbers of spaces.
+Line = str | tuple[int, tuple]
+
+
+def size(x: Line | int) -> int:
+    """Characters of a line or of a part of one."""
+    return len(x) if isinstance(x, str) else x if isinstance(x, int) else x[0]
+
+
+def joined(*parts: Line | int) -> Line:
+    n = sum(map(size, parts))
+    return (n, parts) if n > SHORT else "".join([x if isinstance(x, str) else " " * x for x in parts])
+
+
+def stripped(line: Line) -> Line:
+    """Without white space at the end; of a long line only the last text can have any."""
+    if isinstance(line, str):
+        return line.rstrip()
+    *parts, last = line[1]
+    return joined(*parts, last.rstrip()) if isinstance(last, str) and last[-1:].isspace() else line
+
+
+class Block:
+    """Lines (and blocks) that all begin alike, with ``lead`` and, unless empty, a space."""
+
+    __slots__ = ("body", "height", "lead", "width")
+
+    def __init__(self, lead: Line | None, body: list[Line | Block], high: int, inner: int):
+        self.lead, self.body, self.height = lead, body, high
+        self.width = inner if lead is None else size(lead) + (inner + 1 if inner else 0)
+
+
+def width(body: list[Line | Block]) -> int:
+    return max([x.width if isinstance(x, Block) else size(x) for x in body], default=0)
+
+
+def height(body: list[Line | Block]) -> int:
+    return sum([x.height if isinstance(x, Block) else 1 for x in body])
+
+
+def block(lead: Line | None, body: list[Line | Block]) -> Line | Block:
+    """The body behind a lead; blocks with nothing beside them become one, however deep."""
+    if len(body) == 1:
+        only = body[0]
+        if lead is None:
+            return only
+        if isinstance(only, Block):
+            made = Block(lead, only.body, only.height, only.width)
+            made.lead = _leads(lead, only.lead)
+            return made
+    return Block(lead, body, height(body), width(body))
+
+
+def _leads(outer: Line | None, inner: Line | None) -> Line | None:
+    return inner if outer is None else outer if inner is None else joined(outer, " ", inner)
+
+
+def _behind(lead: Line | None, line: Line) -> Line:
+    return line if lead is None else joined(lead, " ", line) if size(line) else lead
+
+
+def lines_of(body: list[Line | Block]) -> Iterator[Line]:
+    """Every line, one at a time."""
+    open_: list[tuple] = [(None, iter(body))]
+    while open_:
+        lead, rest = open_[-1]
+        for x in rest:
+            if isinstance(x, Block):
+                open_.append((_leads(lead, x.lead), iter(x.body)))
+                break
+            yield _behind(lead, x)
+        else:
+            open_.pop()
+
+
+def take(body: list[Line | Block], n: int) -> tuple[list[Line], list[Line | Block]]:
+    """The first lines of a body (all, if it has fewer), and the rest of it."""
+    taken: list[Line] = []
+    open_: list[tuple] = [(None, None, iter(body))]  # lead, the same with those around it, what is left
+    while open_ and len(taken) < n:
+        _, lead, left = open_[-1]
+        if (x := next(left, None)) is None:
+            open_.pop()
+        elif isinstance(x, Block):
+            open_.append((x.lead, _leads(lead, x.lead), iter(x.body)))
+        else:
+            taken.append(_behind(lead, x))
+    rest: list[Line | Block] = []
+    while open_:
+        lead, _, left = open_.pop()
+        rest += left
+        if open_ and rest:
+            rest = [block(lead, rest)]
+    return taken, rest
+
+
+def flat(line: Line) -> Iterator[str | int]:
+    """Texts and numbers of spaces of a line; short ones next to each other are one text."""
+    held: list[str] = []
+    stack: list = [line]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, tuple):
+            stack.extend(reversed(x[1]))
+        elif isinstance(x, str):
+            held.append(x)
+        elif x <= SHORT:
+            held.append(SPACES[:x])
+        else:
+            yield "".join(held)
+            yield x
+            held = []
+    yield "".join(held)
+
+
+def _spaced(pieces: Iterable[str | int]) -> Iterator[str]:
+    for x in pieces:
+        if isinstance(x, str):
+            yield x
+        else:
+            for at in range(0, x, len(SPACES)):
+                yield SPACES[: x - at]
+
+
+def draw(body: list[Line | Block]) -> Iterator[str]:
+    """The text of a body piece by piece, without empty lines at its ends."""
+    begun, empty = False, 0
+    lead: list[str | int] = []  # what lines of the innermost open block begin with, its characters and, unless too long, its text
+    long, known = 0, ""
+    open_: list[tuple] = [(0, 0, iter(body))]  # pieces and characters of the lead around it, what is left
+    while open_:
+        mark, outer, left = open_[-1]
+        for x in left:
+            if isinstance(x, Block):
+                open_.append((len(lead), long, iter(x.body)))
+                if x.lead is not None:
+                    own = [*flat(x.lead), " "]
+                    lead += own
+                    long += size(x.lead) + 1
+                    known = known + "".join(_spaced(own)) if known is not None and long <= KNOWN else None
+                break
+            if not long and not size(x):
+                empty += begun
+                continue
+            if begun:
+                yield "\n" * (empty + 1)
+            begun, empty = True, 0
+            if known is None and long <= KNOWN:
+                known = "".join(_spaced(lead))
+            if known is None:
+                yield from _spaced(lead if size(x) else lead[:-1])
+            elif long:
+                yield known if size(x) else known[:-1]
+            if isinstance(x, str):
+                yield x
+            else:
+                yield from _spaced(flat(x))
+        else:
+            open_.pop()
+            if len(lead) > mark:
+                del lead[mark:]
+                long, known = outer, None if known is None else known[:outer]
+
+
+def parts(pieces: Iterable[str], most: int) -> Iterator[str]:
+    """A text in parts of ``most`` characters, the last one of fewer; an empty text is one part."""
+    held, n, whole = [], 0, True
+    for s in pieces:
+        while n + len(s) > most:
+            cut = most - n
+            held.append(s[:cut])
+            yield "".join(held)
+            held, n, s, whole = [], 0, s[cut:], False
+        held.append(s)
+        n += len(s)
+    if n or whole:
+        yield "".join(held)
+
+
 class Flow:
     """Lines of one box; white space collapses and blank lines between blocks don't add up."""
 
     def __init__(self):
-        self.lines: list[str] = []
+        self.lines: list[Line | Block] = []
         self.line: list[str] = []
         self.space = False
         self.gap = False
-        self.marker = ""
+        self.marker: tuple[int, str] | None = None  # spaces and sign before the next line
 
     def word(self, s: str) -> None:
         """Inline text, white space collapsed."""
@@ -227,14 +422,25 @@ class Flow:
             self.line = []
         self.space = False
 
-    def put(self, line: str) -> None:
+    def put(self, line: Line) -> None:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
         if self.marker:
-            line, self.marker = self.marker + line, ""
+            indent, sign = self.marker
+            line, self.marker = joined(indent, sign + line if isinstance(line, str) else joined(sign, line)), None
         self.lines.append(line)
 
+    def add(self, body: list[Line | Block]) -> None:
+        """Lines that are laid out already."""
+        if not body:
+            return
+        first, rest = take(body, 1) if self.marker or self.gap else ([], body)
+        for line in first:
+            self.put(line)
+        if rest:
+            self.lines.append(block(None, rest))
+
     def blank(self) -> None:
         """A blank line before whatever comes next."""
         self.flush()
@@ -250,72 +456,144 @@ def _span(attrs: str, name: str, most: int) -> int:
     return n or (most if name == "rowspan" else 1)
 
 
+class Held:
+    """Columns that cells from above hold, as pieces with the row in which each is free again."""
+
+    def __init__(self):
+        self.starts, self.until = [0], [0]  # pieces in order, the last without an end; 0: free
+        self.free = [0]  # starts of the free pieces, no two of which touch
+        self.ends: list[tuple[int, int]] = []  # heap of (row, start)
+
+    def row(self, row: int) -> None:
+        """Free what is held up to this row."""
+        while self.ends and self.ends[0][0] <= row:
+            _, start = heappop(self.ends)
+            k = bisect_left(self.starts, start)
+            if k == len(self.starts) or self.starts[k] != start or not 0 < self.until[k] <= row:
+                continue
+            self.until[k] = 0
+            insort(self.free, start)
+            for n in (k + 1, k):
+                if n and not self.until[n] and not self.until[n - 1]:
+                    del self.free[bisect_left(self.free, self.starts[n])]
+                    del self.starts[n], self.until[n]
+
+    def first(self, at: int) -> int:
+        """The first free column from here on."""
+        return at if not self.until[bisect_right(self.starts, at) - 1] else self.free[bisect_right(self.free, at)]
+
+    def _cut(self, at: int) -> None:
+        k = bisect_left(self.starts, at)
+        if k == len(self.starts) or self.starts[k] != at:
+            until = self.until[k - 1]
+            self.starts.insert(k, at)
+            self.until.insert(k, until)
+            if until:
+                heappush(self.ends, (until, at))
+            else:
+                insort(self.free, at)
+
+    def hold(self, at: int, end: int, until: int) -> None:
+        """Hold columns up to a row; what is held for longer stays so."""
+        self._cut(at)
+        self._cut(end)
+        k = bisect_left(self.starts, at)
+        while self.starts[k] < end:
+            if self.until[k] < until:
+                if not self.until[k]:
+                    del self.free[bisect_left(self.free, self.starts[k])]
+                self.until[k] = until
+                heappush(self.ends, (until, self.starts[k]))
+            k += 1
+
+
 class Grid:
     """Cells of a table in the making: rows of (column, lines)."""
 
     def __init__(self, layout: Layout = BOUNDED):
         self.layout = layout
-        self.rows: list[list[tuple[int, list[str]]]] = []
-        self.taken: list[int] = []  # rows for which a cell from above still holds a column
-        self.widths: list[int] = []
+        self.rows: list[list[tuple[int, list[Line | Block]]]] = []
+        self.held = Held()
+        self.widths: dict[int, int] = {}
         self.at = 0
 
     def row(self) -> None:
-        self.taken = [max(0, n - 1) for n in self.taken]
+        self.held.row(len(self.rows))
         self.rows.append([])
         self.at = 0
 
-    def cell(self, lines: list[str], attrs: str) -> None:
+    def cell(self, body: list[Line | Block], attrs: str) -> None:
         """Put a cell into the first free column; it holds its columns for its rows. Columns beyond the last tracked one are one."""
-        last = None if self.layout.columns is None else self.layout.columns - 1
-        at = self.at
-        while (last is None or at < last) and at < len(self.taken) and self.taken[at]:
-            at += 1
+        most = self.layout.columns
+        at = self.held.first(self.at)
         wide, high = _span(attrs, "colspan", 1000), _span(attrs, "rowspan", 65534)
-        end = at + wide if last is None else min(at + wide, last)
-        missing = max(end, at + 1) - len(self.taken)
-        self.taken += [0] * missing
-        self.widths += [0] * missing
-        for k in range(at, end):
-            self.taken[k] = max(self.taken[k], high)
+        end = at + wide
+        if most is not None:
+            at, end = min(at, most - 1), min(end, most - 1)
+        if high > 1 and at < end:
+            self.held.hold(at, end, len(self.rows) - 1 + high)
         if wide == 1:
-            self.widths[at] = max([self.widths[at], *(len(x) for x in lines if _within(len(x), self.layout.cell_width))])
+            limit = self.layout.cell_width
+            self.widths[at] = max(self.widths.get(at, 0), width(body) if limit is None else max([n for n in map(size, lines_of(body)) if n <= limit], default=0))
         self.at = end
-        self.rows[-1].append((at, lines))
+        self.rows[-1].append((at, body))
 
-    def lines(self) -> list[str]:
+    def lines(self) -> list[Line | Block]:
         """Rows with cells at the offsets of their columns; a cell's further lines stay in its column."""
-        rows = [r for r in self.rows if any(any(lines) for _, lines in r)]
+        rows = [r for r in self.rows if any(width(body) for _, body in r)]
         begin, starts = 0, {}
         for k in sorted({at for r in rows for at, _ in r}):
             starts[k] = begin
-            begin += self.widths[k] + 3
-        out = []
-        for live in rows:
-            for k in range(max(len(lines) for _, lines in live)):
+            begin += self.widths.get(k, 0) + 3
+        pad = lambda at, length: max(0, starts[at] - 3 - length) if _within(starts[at], self.layout.aligned) else 0
+        out: list[Line | Block] = []
+        for row in rows:
+            # lines that cells share are put together; what the tallest has below them is one block
+            high = [height(body) for _, body in row]
+            tall = high.index(max(high))
+            shared = max(high[:tall] + high[tall + 1 :] + [1]) if len(row) > 1 else 0
+            rest: list[Line | Block] = []
+            live = []
+            for n, (at, body) in enumerate(row):
+                if n == tall:
+                    lines, rest = take(body, shared)
+                else:
+                    lines = list(lines_of(body))
+                live.append((at, lines))
+            for k in range(shared):
                 if k:
                     live = [c for c in live if len(c[1]) > k]
-                parts, length = [], 0
+                line, length = [], 0
                 for n, (at, lines) in enumerate(live):
                     text = lines[k] if lines else ""
+                    if n == len(live) - 1:
+                        text = stripped(text)
                     if at or n:
-                        pad = starts[at] - 3 - length if _within(starts[at], self.layout.aligned) else 0
-                        text = " " * pad + " | " + text
-                    parts.append(text)
-                    length += len(text)
-                out.append("".join(parts).rstrip())
+                        line += (pad(at, length), " | " if size(text) or n < len(live) - 1 else " |")
+                        length += line[-2] + 3
+                    line.append(text)
+                    length += size(text)
+                out.append(joined(*line))
+            if rest:
+                at = row[tall][0]
+                out.append(block(joined(pad(at, 0), " |") if at else None, [x if isinstance(x, Block) else stripped(x) for x in rest]))
         return out
 
 
 def render(html: str | None, layout: Layout = BOUNDED) -> str:
-    """The visible text of a page as laid out; null is empty.
+    """The visible text of a page as laid out; null is empty."""
+    return "".join(draw(lay_out(html, layout)))
+
+
+def lay_out(html: str | None, layout: Layout) -> list[Line | Block]:
+    """The lines of a page's visible text, to be drawn.
 
     A comment ends at ``-->`` or ``--!>``, an empty one at ``<!-->`` or ``<!--->``; one that
     doesn't end hides the rest. ``visibility`` is inherited, so a child may be seen within a
     hidden parent. Of svg its text and foreign objects are shown, of math all but annotations.
     """
     if not html:
-        return ""
+        return []
     flows = [Flow()]
     grids: list[Grid | None] = []  # None: a table laid out as blocks
     lists: list[list] = []
@@ -366,7 +644,7 @@ def render(html: str | None, layout: Layout = BOUNDED) -> str:
                 depth = depth if _within(depth, layout.indents) else layout.indents
                 kind = lists[-1] if lists else ["ul", 0]
                 kind[1] += 1
-                flow.marker = "" if not own else "  " * depth + (f"{kind[1]}. " if kind[0] == "ol" else "- ")
+                flow.marker = (2 * depth, f"{kind[1]}. " if kind[0] == "ol" else "- ") if own else None
             elif tag == "pre":
                 pre += 1
             elif tag == "table":
@@ -401,35 +679,55 @@ def render(html: str | None, layout: Layout = BOUNDED) -> str:
             pre -= 1
         if tag == "table":
             flow.flush()
-            grid = grids.pop()
-            for line in grid.lines() if grid else ():
-                flow.put(line)
+            if grid := grids.pop():
+                flow.add(grid.lines())
         if tag in ("ul", "ol") and lists:
             lists.pop()
         if tag == "li":
             flow.flush()
-            flow.marker = ""
+            flow.marker = None
         if tag in SPACED and not (tag in ("ul", "ol") and lists):
             flow.blank()
         elif tag in BLOCK:
             flow.flush()
     flows[0].flush()
-    return "\n".join(flows[0].lines).strip("\n")
+    return flows[0].lines
 
 
-def extract(pages: DataFrame, html: str = "html", key: str = "page_id", layout: Layout = BOUNDED) -> DataFrame:
-    """key, text, n_chars, n_lines, text_sha256 of every page.
+def extract(pages: DataFrame, html: str = "html", key: str = "page_id", layout: Layout = EXACT, whole: int = WHOLE, part: int = PART) -> DataFrame:
+    """key, text, n_chars, n_lines, text_sha256, part of every page.
 
-    Null and empty pages have empty texts (and no lines); a page is rendered whole, by default
-    in time and size linear in it (``layout=EXACT`` aligns everything instead). Repeated rows give repeated results, null keys stay null,
-    and other columns are not read; an empty table gives no rows.
+    A page is rendered whole. A text longer than ``whole`` characters and than its page is in several
+    rows of ``part`` characters, numbered by the column ``part`` from 0, whose texts joined are the
+    page's; the other columns are the whole page's in each of them. Null and empty pages have empty texts (and no lines). Repeated rows give repeated
+    results, null keys stay null, and other columns are not read; an empty table gives no rows.
     """
     source = pages.select(F.col(key).cast("long").alias("key"), F.col(html).alias("html"))
 
+    def texts(page: str | None) -> Iterator[tuple]:
+        body = lay_out(page, layout)
+        n_chars, breaks, digest, first = 0, 0, sha256(), None
+        for n, s in enumerate(parts(draw(body), max(whole, len(page or "")))):
+            n_chars, breaks = n_chars + len(s), breaks + s.count("\n")
+            digest.update(s.encode())
+            first = s if n == 0 else None
+        # a text of one row is at hand; a longer one is drawn again, since its figures are known at its end only
+        for k, s in enumerate(parts(draw(body), part) if first is None else (first,)):
+            yield s, n_chars, breaks + (n_chars > 0), digest.hexdigest(), k
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_lines", pa.int64()), ("text_sha256", pa.string()), ("part", pa.int32())])
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(x, layout) for x in batch.column(1).to_pylist()], pa.string())], ["key", "text"])
-
-    made = source.mapInArrow(run, "key long, text string")
-    lines = F.when(F.col("text") == "", F.lit(0)).otherwise(F.size(F.split("text", "\n")))
-    return made.select(F.col("key").alias(key), "text", F.length("text").cast("long").alias("n_chars"), lines.cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+            rows, held = [], 0
+            for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for text in texts(page):
+                    rows.append((k, *text))
+                    held += len(text[0])
+                    if held >= WHOLE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    made = source.mapInArrow(run, "key long, text string, n_chars long, n_lines long, text_sha256 string, part int")
+    return made.withColumnRenamed("key", key)

@@ -61,7 +61,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(pages(spark, sf_dir))
+    return html_text.extract(pages(spark, sf_dir), layout=html_text.EXACT)
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

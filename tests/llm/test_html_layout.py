@@ -1,11 +1,14 @@
 """HTML extraction against a plain layout of the same document, made from its structure instead of its tags."""
 
+import hashlib
 import random
 import time
+import tracemalloc
 
 import pytest
 
-from asofly.llm.html_text import BOUNDED, EXACT, render
+from asofly.llm.html_text import BOUNDED, EXACT, Held, draw, extract, lay_out, parts, render
+from asofly.llm.queries import op9_html_extraction
 
 
 def layout(blocks, limits=BOUNDED):
@@ -179,3 +182,68 @@ def test_all_text_stays():
     deep = render("".join(f"<table><tr><td>x{k}<td>" for k in range(BOUNDED.grids + 4)) + "end")
     assert all(f"x{k}" in deep for k in range(BOUNDED.grids + 4)) and deep.endswith("end")
     assert render("<script>a</script x>b<title>t</title\n>c") == "bc"
+
+
+BEYOND = {
+    "columns": "<table>" + "".join("<tr>" + "".join(f"<td>{'x' * (1 + i * k % 3)}" for k in range(60)) for i in (1, 2)) + "</table>",
+    "far columns": "<table>" + "".join("<tr>" + "".join(f"<td>{'x' * (1 + i * k % 30)}" for k in range(12)) for i in (1, 2)) + "</table>",
+    "wide cells": f"<table><tr><td>{'w' * 61}<td>b<tr><td>a<td>b</table>",
+    "deep lists": "<ul><li>a" * 12,
+    "deep tables": "<table><tr><td>p<td>" * 5 + "q" + "</table>" * 5,
+}
+
+
+def test_query_has_no_limits(spark, tmp_path):
+    """The query lays out each page as the exact layout does, whichever bound it is beyond."""
+    spark.createDataFrame(list(enumerate(BEYOND.values())), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in op9_html_extraction(spark, str(tmp_path)).collect()}
+    for k, page in enumerate(BEYOND.values()):
+        whole = render(page, EXACT)
+        assert whole != render(page, BOUNDED)
+        assert (got[k].text, got[k].n_chars, got[k].n_lines, got[k].part) == (whole, len(whole), whole.count("\n") + 1, 0)
+    bars = [[i for i, c in enumerate(line) if c == "|"] for line in got[0].text.split("\n")]
+    assert len(bars[0]) == 59 and bars[0] == bars[1]
+
+
+def test_long_texts_go_on_in_further_rows(spark):
+    wide = "<table><tr><td>" + "é" * 40 + "<td>b" + "<tr><td>a<td>b" * 9
+    pages = [(1, "<ul><li>a" * 40), (2, None), (3, "é" * 100), (4, "é" * 101), (5, wide), (None, "<pre>a\n\nb</pre>")]
+    rows = extract(spark.createDataFrame(pages, "page_id long, html string"), whole=100, part=30).collect()
+    for key, page in pages:
+        mine = sorted((r for r in rows if r.page_id == key), key=lambda r: r.part)
+        whole = render(page, EXACT)
+        assert "".join(r.text for r in mine) == whole and [r.part for r in mine] == list(range(len(mine))) and len(mine) == (1 if len(whole) <= max(100, len(page or "")) else -(-len(whole) // 30))
+        assert (len(mine) > 1) == (key in (1, 5))
+        figures = (len(whole), whole.count("\n") + 1 if whole else 0, hashlib.sha256(whole.encode()).hexdigest())
+        assert {(r.n_chars, r.n_lines, r.text_sha256) for r in mine} == {figures}
+
+
+@pytest.mark.parametrize("page", HOSTILE.values(), ids=HOSTILE)
+def test_exact_layout_is_small_until_drawn(page):
+    """Whatever its text comes to, a page in the making and what is drawn of it at a time hold some hundred bytes a character."""
+    html = page(20_000)
+    tracemalloc.start()
+    n = most = 0
+    for s in parts(draw(lay_out(html, EXACT)), 100_000):
+        n, most = n + len(s), max(most, len(s))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000 and most <= 100_000
+    assert n == len(render(html, EXACT))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_held_columns(seed):
+    """Held columns against a list of each column's row."""
+    rnd, held, until = random.Random(seed), Held(), [0] * 2000
+    for row in range(60):
+        held.row(row)
+        at = 0
+        for _ in range(rnd.randint(0, 8)):
+            want = next(k for k in range(at, 2000) if until[k] <= row)
+            assert (at := held.first(at)) == want
+            end, to = at + rnd.choice((1, 1, 2, 5, 20)), row + rnd.randint(2, 9)
+            held.hold(at, end, to)
+            until[at:end] = [max(x, to) for x in until[at:end]]
+            at = end
+    assert len(held.free) == len(set(held.free)) and held.free == sorted(held.free)
