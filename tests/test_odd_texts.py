@@ -58,7 +58,7 @@ SEARCHED = [
 ]
 
 
-@pytest.mark.parametrize("name", ["target_with_residual", "target_resolution"])
+@pytest.mark.parametrize("name", ["target_with_residual", "target_resolution", "target_resolution_whole"])
 def test_texts_are_searched_once(spark, tmp_path, name):
     texts = SEARCHED * 9
     got, want = both(spark, tmp_path, name, texts)
